@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterspark.llm import bpe, tokenfile
+from rasterspark.llm import bpe, langid, neighbours, quality, threshold, tokenfile
+from rasterspark.session import Scratch
+
+
+def _fold(n: int):
+    """crc32 of the id as text, modulo n; a null id is in no fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +22,36 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(_fold(3) != 1))
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score", "accepted")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    measured = Scratch(spark, "quality").table(quality.measure(docs), "measured")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0)
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return quality.score(measured, quality.train(measured, labels)).select("doc_id", held_out, "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_file, op4_threshold_top_k, op7_language, op8_neighbours, op9_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
