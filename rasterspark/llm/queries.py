@@ -8,7 +8,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterspark.llm import bpe, langid, neighbours, quality, threshold, tokenfile
+from rasterspark.llm import bpe, langid, neardup, neighbours, quality, threshold, tokenfile
 from rasterspark.session import Scratch
 
 
@@ -22,6 +22,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
+
+
 def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op4_threshold_top_k, op7_language, op8_neighbours, op9_bpe, op10_quality)}
+    return {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op4_threshold_top_k, op7_language, op8_neighbours, op9_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
