@@ -177,31 +177,32 @@ def codec(rank_path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
     """Add an array<int> column with the ids of each whole text (null: no ids).
 
-    All other columns are kept; a column already called `ids` is replaced. An empty text has an
-    empty array, an empty table stays empty.
+    Columns in `keep` are carried (all by default); one already called `ids` is replaced. A null or empty
+    text has an empty array, an empty table stays empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    df = df.drop(ids)
-    schema = StructType([*df.schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    schema = StructType([*(df.schema[c] for c in keep), StructField(ids, ArrayType(IntegerType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
+            column = batch.column(len(keep))
             _, offsets = flat(column)
             for a, b in slices(offsets, 8_000_000):
                 got, ends = own.encode(column.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow.field(i).type) for i in range(part.num_columns)), lists.cast(arrow.field(len(arrow) - 1).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow.field(i).type) for i in range(len(keep))), lists.cast(arrow.field(len(arrow) - 1).type)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

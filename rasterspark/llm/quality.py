@@ -232,3 +232,24 @@ def score(measured: DataFrame, forest: Forest, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return measured.select("doc_id", "stats").mapInArrow(run, SCORED)
+
+
+def keep(df: DataFrame, forest: Forest, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df`, with all their columns, whose text scores `threshold` or more.
+
+    Scored row by row in one pass, so null and repeated ids need no join; a null text counts as empty.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("boolean")
+    def good(column):
+        import pandas as pd
+
+        data, offsets = flat(pa.array(column, pa.string()))
+        out = np.empty(len(column), bool)
+        for a, b in slices(offsets):
+            base = offsets[a]
+            out[a:b] = forest.score(statistics(data[base : offsets[b]], offsets[a : b + 1] - base)) >= threshold
+        return pd.Series(out)
+
+    return df.where(good(F.col(f"`{text}`").cast("string")))
