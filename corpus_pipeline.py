@@ -1,12 +1,72 @@
-"""Corpus pipeline; stages are added as their operators are built."""
+"""A corpus pipeline over `documents`: five stages, each written as Parquet and read by the next."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rasterspark.llm import bpe, langid, mixing, neardup, quality
+from rasterspark.llm.queries import TARGETS
+from rasterspark.session import Scratch, prepare
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found with a sufficient margin stay; the model learns from `lang`."""
+    model = langid.train(docs)
+    return langid.predict(docs, model).where("accepted").select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1 stay; it learns from `labels`.
+
+    Documents with null or repeated ids are judged by their own text.
+    """
+    scratch = Scratch(spark, "stage-quality")
+    measured = scratch.table(quality.measure(docs), "measured")
+    forest = quality.train(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, forest)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    return neardup.deduplicate(docs, size=5, percent=80)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that their tokens have the target shares of source, language and topic."""
+    rows = docs.withColumn("topic", mixing.topic())
+    return mixing.mix(rows, TARGETS).where("taken").select(*docs.columns)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, with the digest of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.encode(docs, ranks, keep=["doc_id", "lang", "source", "n_chars"])
+    return bpe.decode(out, ranks).select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("byte_level_bpe", byte_level_bpe),
+]
+
+#: Compression, boosted trees and byte-level merges are beyond SQL; the stages are tested in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to `documents`; each stage's rows are written to the shared folder and reread."""
+    prepare(spark)
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
