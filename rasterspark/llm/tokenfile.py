@@ -1,11 +1,11 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 Format. A corpus is a set of shards; a shard is one uncompressed Arrow stream file with the columns
-`input_ids` (fixed-size list of uint32, `seq_len` long) and `mask` (fixed-size list of uint8, 1 for a
-token and 0 for padding). Every record batch but the last has `rows_per_batch` rows, so all full
+`input_ids` (fixed-size list of uint16, or uint32 for a vocabulary of more than 65,536 ids, `seq_len`
+long) and `mask` (fixed-size list of booleans, true for a token and false for padding). Every record batch but the last has `rows_per_batch` rows, so all full
 batches have one byte length. The documents of a shard follow each other in ascending id, each with
-its end id, over the sequences; only the tail of a shard is padded. A memory-mapped file gives any
-sequence, mask or token run as a numpy view without copying. The index, a Parquet table, has one row
+its end id, over the sequences; only the tail of a shard is padded. In a memory-mapped file any
+sequence, mask (as an Arrow array over its bits) or token run is a view; nothing is copied. The index, a Parquet table, has one row
 for each document: its shard, the file, the offset in the shard and its length.
 """
 
@@ -33,9 +33,10 @@ ROWS_PER_BATCH = 32
 END_ID = 2
 
 
-def stream_schema(seq_len: int, rows_per_batch: int) -> pa.Schema:
+def stream_schema(seq_len: int, rows_per_batch: int, vocabulary: int) -> pa.Schema:
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
     return pa.schema(
-        [pa.field("input_ids", pa.list_(pa.uint32(), seq_len), nullable=False), pa.field("mask", pa.list_(pa.uint8(), seq_len), nullable=False)],
+        [pa.field("input_ids", pa.list_(kind, seq_len), nullable=False), pa.field("mask", pa.list_(pa.bool_(), seq_len), nullable=False)],
         metadata={"seq_len": str(seq_len), "rows_per_batch": str(rows_per_batch)},
     )
 
@@ -43,13 +44,13 @@ def stream_schema(seq_len: int, rows_per_batch: int) -> pa.Schema:
 class TokenWriter:
     """Appends runs of ids to one stream file; holds at most one batch in memory."""
 
-    def __init__(self, uri: str, seq_len: int = SEQ_LEN, rows_per_batch: int = ROWS_PER_BATCH):
+    def __init__(self, uri: str, seq_len: int = SEQ_LEN, rows_per_batch: int = ROWS_PER_BATCH, vocabulary: int = 1 << 32):
         fs, path = pafs.FileSystem.from_uri(uri)
         self.seq_len, self.size = seq_len, seq_len * rows_per_batch
-        self.schema = stream_schema(seq_len, rows_per_batch)
+        self.schema = stream_schema(seq_len, rows_per_batch, vocabulary)
         self.out = fs.open_output_stream(path)
         self.writer = pa.ipc.new_stream(self.out, self.schema)
-        self.held = np.zeros(self.size, np.uint32)
+        self.held = np.zeros(self.size, np.uint16 if vocabulary <= 1 << 16 else np.uint32)
         self.used = self.written = 0
 
     def append(self, ids: np.ndarray) -> int:
@@ -72,7 +73,7 @@ class TokenWriter:
         n = rows * self.seq_len
         ids = self.held[:n].copy()
         ids[self.used :] = 0
-        mask = (np.arange(n) < self.used).astype(np.uint8)
+        mask = np.arange(n) < self.used
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.used = 0
@@ -100,23 +101,23 @@ class TokenFile:
         self.ids, self.masks = [], []
         for batch in reader:
             self.ids.append(batch.column(0).flatten().to_numpy(zero_copy_only=True))
-            self.masks.append(batch.column(1).flatten().to_numpy(zero_copy_only=True))
+            self.masks.append(batch.column(1).flatten())
 
     def __len__(self) -> int:
         """Number of sequences."""
         return sum(len(x) for x in self.ids) // self.seq_len
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of the i-th sequence, as views."""
         batch, row = divmod(i, self.rows_per_batch)
-        at = slice(row * self.seq_len, (row + 1) * self.seq_len)
-        return self.ids[batch][at], self.masks[batch][at]
+        at = row * self.seq_len
+        return self.ids[batch][at : at + self.seq_len], self.masks[batch].slice(at, self.seq_len)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """Ids start..start+n of the shard; a view if they lie in one batch."""
         batch, at = divmod(start, self.size)
         if at + n <= self.size:
-            return self.ids[batch][at : at + n] if n else np.empty(0, np.uint32)
+            return self.ids[batch][at : at + n] if n else np.empty(0, np.uint16)
         parts = []
         while n:
             part = self.ids[batch][at : at + n]
@@ -127,7 +128,8 @@ class TokenFile:
 
 
 @lru_cache(maxsize=2)
-def _store(tokenizer_path: str) -> UnitStore:
+def _store(tokenizer_path: str) -> tuple[UnitStore, int]:
+    """The encoder of a tokenizer file, made once per Python worker, and its vocabulary's size."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -140,7 +142,7 @@ def _store(tokenizer_path: str) -> UnitStore:
             out += [e.ids for e in own.encode_batch_fast([u.decode("utf-8") for u in units[k : k + 4096]], add_special_tokens=False)]
         return out
 
-    return UnitStore(encode)
+    return UnitStore(encode), own.get_vocab_size()
 
 
 INDEX = "shard int, path string, doc_id long, offset long, n_tokens long"
@@ -156,13 +158,13 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, writer = _store(tokenizer_path), None
+        (store, vocabulary), writer = _store(tokenizer_path), None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             if not batch.num_rows:
                 continue
-            writer = writer or TokenWriter(uri, seq_len, rows_per_batch)
+            writer = writer or TokenWriter(uri, seq_len, rows_per_batch, max(vocabulary, end_id + 1))
             data, offsets = flat(batch.column(1))
             for a, b in slices(offsets, 8_000_000):
                 base = offsets[a]
@@ -204,7 +206,7 @@ def read_digests(index: DataFrame) -> DataFrame:
                     path, file = p, TokenFile(p)
                 ids = file.tokens(at, n)
                 lengths[i] = len(ids)
-                sums[i] = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+                sums[i] = zlib.crc32(ids.astype("<u4"))
             start = np.asarray(column["base"].to_numpy(zero_copy_only=False), np.int64) + column["offset"].to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([column["doc_id"], pa.array(start), pa.array(lengths), pa.array(sums), column["shard"], column["offset"]], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
 
