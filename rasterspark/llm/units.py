@@ -4,7 +4,9 @@ A byte-level BPE whose pre-tokens are those of public_tokenizers.PATTERN never j
 two kinds of place, so a text may be cut there and each piece encoded alone:
 
 * before a space that a non-space follows (the space always opens the next pre-token);
-* around a newline with non-spaces on both sides (it is a pre-token by itself).
+* around a newline with non-spaces on both sides (it is a pre-token by itself);
+* between an ASCII letter and ASCII punctuation, in either order (runs of letters and of marks are
+  separate pre-tokens), but not after an apostrophe, which may open a contraction.
 
 Cuts are made only where single bytes prove the place; elsewhere a unit just gets longer. Equal units
 are encoded once per batch, and a bounded store keeps their ids from batch to batch. Units are
@@ -29,6 +31,12 @@ _SOLID[0xC3:0xF5] = True
 _SOLID[[0xE1, 0xE2, 0xE3]] = False
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = _PLAIN & ~_LETTER
+_MARK[0x30:0x3A] = False
+_OPENER = _MARK.copy()
+_OPENER[0x27] = False
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -46,6 +54,8 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         line[0] = False
         starts[:n] |= line
         starts[1 : n + 1] |= line
+        letter = _LETTER[data]
+        starts[1:n] |= (letter[:-1] & _MARK[data[1:]]) | (_OPENER[data[:-1]] & letter[1:])
     return np.flatnonzero(starts[:n])
 
 
