@@ -54,9 +54,9 @@ def _zones(column: pa.Array) -> list:
 def _errors(name: str, run: Callable) -> Callable:
     """Errors carry the function's name."""
 
-    def guarded(*columns: pa.Array) -> pa.Array:
+    def guarded(*columns: pa.Array, **named: pa.Array) -> pa.Array:
         try:
-            return run(*columns)
+            return run(*columns, **named)
         except (ValueError, OSError, EOFError) as e:
             raise ValueError(f"{name}: {e}") from e
 
@@ -235,10 +235,9 @@ FUNCTIONS: dict[str, tuple[str, Callable]] = {
 }
 
 
-# Spark reads the kind of an Arrow UDF from its type hints, so each number of arguments has its own.
 def _typed(run: Callable, ddl: str):
-    def one(*columns: pa.Array) -> pa.Array:
-        return run(*columns)
+    def one(*columns: pa.Array, **named: pa.Array) -> pa.Array:
+        return run(*columns, **named)
 
     return arrow_udf(one, spark_type(ddl))
 

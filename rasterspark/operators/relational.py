@@ -116,7 +116,7 @@ def sample_points(points: DataFrame, *, path: str = "path", x: str = "x", y: str
     inside = (F.col("__c") >= 0) & (F.col("__c") < top["width"]) & (F.col("__r") >= 0) & (F.col("__r") < top["height"]) & (F.lit(band) >= 1) & (F.lit(band) <= F.col("meta.bands"))
     rows = rows.withColumn("__tx", F.when(inside, F.floor(F.col("__c") / top["tile_width"]))).withColumn("__ty", F.when(inside, F.floor(F.col("__r") / top["tile_height"]))).drop("meta")
     dealt = _dealt(rows, [path, "__ty", "__tx"], salt, F.xxhash64("__c", "__r"))
-    kept = [f for f in dealt.schema.fields if not f.name.startswith("__")]
+    kept = [f for f in dealt.schema.fields if f.name not in ("__c", "__r", "__tx", "__ty")]
     schema = StructType([*kept, StructField(value, DoubleType())])
     arrow = to_arrow_schema(schema)
 
