@@ -279,8 +279,9 @@ _SCENE_ROWS = f"{PX}, hit AS (SELECT event_type AS scene, n_nationkey, v1 AS v F
 
 def _scene_zones(spark, sf_dir) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("nation")
-    zones = spark.sql(f"SELECT n_nationkey, z AS zone, 1 AS one FROM ({_BOXES})")
-    return eventgrid.scenes(spark, sf_dir).withColumn("one", F.lit(1)).join(zones, "one").drop("one")
+    zones = spark.sql(f"SELECT n_nationkey, z AS zone FROM ({_BOXES})")
+    known = F.array(*(F.struct(F.lit(r.scene).alias("scene"), F.lit(r.path).alias("path")) for r in eventgrid.scenes(spark, sf_dir).collect()))  # five
+    return zones.select("n_nationkey", "zone", F.explode(known).alias("s")).select("s.scene", "s.path", "n_nationkey", "zone")
 
 
 @query(f"WITH {_SCENE_ROWS}, every AS (SELECT DISTINCT event_type AS scene, n_nationkey FROM px, nation) SELECT scene, n_nationkey, count(v) AS n, sum(v) AS s FROM every LEFT JOIN hit USING (scene, n_nationkey) GROUP BY scene, n_nationkey")
