@@ -15,10 +15,15 @@ from rasterspark.session import Scratch, prepare
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _whole(docs: DataFrame, *columns) -> DataFrame:
+    """The rows as one column beside those that a stage needs, so that added columns clash with none."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a sufficient margin stay; the model learns from `lang`."""
     model = langid.train(docs)
-    return langid.predict(docs, model).where("accepted").select(*docs.columns)
+    return langid.predict(_whole(docs, "text"), model, keep=["__row"]).where("accepted").select("__row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that their tokens have the target shares of source, language and topic."""
-    rows = docs.withColumn("topic", mixing.topic())
-    return mixing.mix(rows, TARGETS).where("taken").select(*docs.columns)
+    rows = _whole(docs, "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"))
+    return mixing.mix(rows, TARGETS, weight=F.col("tokens")).where("taken").select("__row.*")
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
