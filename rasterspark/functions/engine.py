@@ -11,7 +11,7 @@ import numpy as np
 from rasterspark.functions import cache
 from rasterspark.functions.model import Meta, check_bbox, read_meta
 from rasterspark.functions.zone import Zone
-from rasterspark.sources.bytesource import BytesSource, ByteSource, is_remote, open_source
+from rasterspark.sources.bytesource import BytesSource, ByteSource, concurrently, is_remote, open_source
 
 TILES_AT_ONCE = 16
 STATS = ("count", "sum", "mean", "min", "max")
@@ -246,7 +246,15 @@ class Opener:
         return self.held[path]
 
 
+    def ahead(self, paths: Sequence[str | bytes | None]) -> None:
+        """Open the distinct remote paths of a batch, several at a time; the first error in their order is raised."""
+        new = [p for p in dict.fromkeys(paths) if isinstance(p, str) and is_remote(p) and p not in self.held]
+        for _ in concurrently(self, new):
+            pass
+
+
 def metas(paths: Sequence[str | bytes | None]) -> dict[str | bytes, Meta]:
     """Metadata of the distinct paths."""
     opener = Opener()
+    opener.ahead(paths)
     return {p: opener(p).meta for p in dict.fromkeys(paths) if p is not None}

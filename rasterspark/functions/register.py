@@ -119,6 +119,7 @@ def _points(path: pa.Array, x: pa.Array, y: pa.Array, bands: Sequence[list]) ->
     rows_of: dict = {}
     for i in np.flatnonzero(whole):
         rows_of.setdefault(paths[i], []).append(i)
+    opener.ahead(list(rows_of))
     for p, rows in rows_of.items():
         raster = opener(p)
         for k, band in enumerate(bands):
@@ -174,6 +175,7 @@ def _zonal_rows(path: pa.Array, zones: list, bands: list) -> list[engine.Stats |
     for i, (p, z, b) in enumerate(zip(_list(path), zones, bands, strict=True)):
         if p is not None and z is not None and b is not None:
             groups.setdefault((p, b), []).append(i)
+    opener.ahead([p for p, _ in groups])
     for p, _ in groups:
         opener(p)
     for (p, b), rows in groups.items():

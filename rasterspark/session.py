@@ -64,18 +64,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.names: set[str] = set()
         self.path = f"{shared_dir(spark)}/rasterspark/{label}-{uuid.uuid4().hex}"
         make_dirs(spark, self.path)
         atexit.register(self._close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         remove(self.spark, f"{self.path}/{name}")
 
+    def drop_all_but(self, *kept: str) -> None:
+        """Remove every table that no returned plan reads any more."""
+        for name in self.names - set(kept):
+            self.drop(name)
+
     def _close(self) -> None:
         try:
             remove(self.spark, self.path)

@@ -8,7 +8,8 @@ from __future__ import annotations
 import http.client
 import os
 import threading
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow.fs as pafs
@@ -41,23 +42,25 @@ class ByteSource:
 
     def read_many(self, ranges: Sequence[tuple[int, int]]) -> list[bytes]:
         """Several ranges; neighbours are fetched together."""
-        order = sorted(range(len(ranges)), key=lambda i: ranges[i])
+        groups: list[tuple[int, int, list[int]]] = []
+        for i in sorted(range(len(ranges)), key=lambda i: ranges[i]):
+            a, b = ranges[i]
+            if groups and a <= groups[-1][1] + MERGE_GAP:
+                first, last, members = groups[-1]
+                groups[-1] = (first, max(last, b), [*members, i])
+            else:
+                groups.append((a, b, [i]))
         out: list[bytes] = [b""] * len(ranges)
-        k = 0
-        while k < len(order):
-            first, last = ranges[order[k]]
-            group = [order[k]]
-            while k + 1 < len(order) and ranges[order[k + 1]][0] <= last + MERGE_GAP:
-                k += 1
-                group.append(order[k])
-                last = max(last, ranges[order[k]][1])
-            data = self.read(first, last)
-            for i in group:
+        for (first, _, members), data in zip(groups, self.each([(a, b) for a, b, _ in groups]), strict=True):
+            for i in members:
                 a, b = ranges[i]
                 out[i] = data[a - first : b - first]
-            k += 1
         return out
 
+    def each(self, ranges: Sequence[tuple[int, int]]) -> Iterator[bytes]:
+        """The ranges one by one; remote sources fetch several at a time."""
+        return (self.read(a, b) for a, b in ranges)
+
 
 def _checked(start: int, end: int) -> None:
     if start < 0 or end < start:
@@ -110,6 +113,19 @@ class StoreSource(ByteSource):
         return self.file.read_at(min(end, self.size) - start, start)
 
 
+def concurrently(run: Callable, items: Sequence) -> Iterator:
+    """run(item) of all items in their order, COG_FETCH_CONCURRENCY (16) at a time; the first error is raised."""
+    if len(items) < 2:
+        return map(run, items)
+    global _threads
+    if _threads is None or _threads[0] != os.getpid():  # workers are forked
+        _threads = (os.getpid(), ThreadPoolExecutor(max(1, int(os.environ.get("COG_FETCH_CONCURRENCY", "16") or 16))))
+    return _threads[1].map(run, items)
+
+
+_threads: tuple[int, ThreadPoolExecutor] | None = None
+
+
 class HttpSource(ByteSource):
     """Range requests over connections that are kept and shared by origin within a thread."""
 
@@ -148,6 +164,9 @@ class HttpSource(ByteSource):
             return answer.status, data
         raise SourceError(f"cannot open '{self.url}': too many redirects")
 
+    def each(self, ranges: Sequence[tuple[int, int]]) -> Iterator[bytes]:
+        return concurrently(lambda r: self.read(*r), ranges)
+
     def read(self, start: int, end: int) -> bytes:
         _checked(start, end)
         if start == end:
@@ -170,6 +189,12 @@ class CountingSource(ByteSource):
     def __init__(self, inner: ByteSource):
         self.inner, self.fetches, self.bytes = inner, 0, 0
 
+    def each(self, ranges: Sequence[tuple[int, int]]) -> Iterator[bytes]:
+        for data in self.inner.each(ranges):
+            self.fetches += 1
+            self.bytes += len(data)
+            yield data
+
     def read(self, start: int, end: int) -> bytes:
         data = self.inner.read(start, end)
         self.fetches += 1

@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from rasterspark import hostqueries
 from rasterspark.functions.register import register
 from rasterspark.operators import relational
 from rasterspark.queries import QUERIES, search_server
@@ -120,7 +121,7 @@ def test_registered_queries_equal_their_sql(spark):
     db = duckdb.connect()
     for f in os.listdir(sf):
         db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{sf}/{f}')")
-    for name, run in QUERIES.items():
+    for name, run in (QUERIES | hostqueries.QUERIES).items():
         rows = run(spark, sf)
         answer = db.execute(oracle[name])
         columns = [c[0] for c in answer.description]

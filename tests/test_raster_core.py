@@ -274,6 +274,18 @@ def test_remote_rasters_and_tiles_are_cached(server, monkeypatch):
     assert len(calls) == 4  # opened again, and nothing of the old tiles is used
 
 
+def test_remote_reads_run_together_in_order(server, paths, monkeypatch):
+    url, _ = server
+    names = ["basic", "edge", "tiny", "multiband", "stats", "deflate"]
+    found = engine.metas([f"{url}/{n}" for n in names] + [None, f"{url}/edge"])
+    assert [found[f"{url}/{n}"].levels[0].width for n in names] == [512, 400, 16, 64, 64, 128]
+    with pytest.raises(ValueError, match="none1"):
+        engine.metas([f"{url}/none1", f"{url}/edge", f"{url}/none2"])
+    local = LocalSource(paths["basic"])
+    spans = [(k * 60_000, k * 60_000 + 100) for k in (5, 1, 3, 0, 2, 4)]
+    assert HttpSource(f"{url}/basic").read_many(spans) == [local.read(a, b) for a, b in spans]
+
+
 def test_tile_cache_keeps_its_budget():
     held = cache.TileCache(1000)
     for i in range(10):
