@@ -18,8 +18,8 @@ def connected(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     Loops and repeated edges do no harm; no edges give no rows.
     """
     now = scratch.table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    state, step = _state(now), 0
-    while state[0]:
+    step = 0
+    while not _stars(now):
         step += 1
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,17 +29,15 @@ def connected(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them
         least = scratch.table(star.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-small")
         moved = star.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        before, now = now, scratch.table(moved.distinct(), f"{name}-{step}")
+        now = scratch.table(moved.distinct(), f"{name}-{step}")
         for old in (f"{name}-{step}-large", f"{name}-{step}-star", f"{name}-{step}-small", f"{name}-{step - 1}"):
             scratch.drop(old)
-        last, state = state, _state(now)
-        if state == last:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges and a sum of their hashes: equal states mean that nothing moved."""
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(h.bitwiseAND((1 << 31) - 1)).alias("a"), F.sum(F.shiftrightunsigned(h, 33)).alias("b")).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most and none of these has one itself."""
+    ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", "n", F.lit(0).alias("root"))
+    roots = edges.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("root"))
+    both = ends.unionByName(roots).groupBy("u").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    return both.where("n > 1 OR (n > 0 AND root > 0)").isEmpty()

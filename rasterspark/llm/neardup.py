@@ -5,11 +5,14 @@ b, are computed for each set; the keys of the m * m hash tables are the pairs (a
 need 2 * m composed hashes only. A pair of similarity s meets in a table with probability
 (1 - (1 - s**r)**m)**2, and m is chosen so that a pair at the threshold is missed with at most `MISS`.
 
-Documents with equal sets are one node from the start. In every table bucket all nodes are compared
-with one of them, the centre; a bucket whose nodes then are not all in one component is compared
-again with other centres, and what still lies across components in a bucket is compared pair by pair.
-So no bucket is expanded into all pairs, and no link that joins two components of a bucket is left out.
-Candidates are confirmed on full sets.
+Documents with equal sets are one node from the start. Nodes that share some a_i are compared with one of
+them, the centre, if they also share a b_j with it; the centre is the node whose a_i are commonest, which in a
+group of near copies is the one that most of them were made from. Where nodes that share an a_i then still
+lie in several components, what lies across components is compared in full: in a small group the pairs
+that share a table key, equal buckets taken once; in a large group all nodes, block against block, as products of
+incidence matrices that give the joined components only. So no group is expanded into all its pairs, and
+no link between two components of a bucket is left out.
+Candidates are confirmed on full sets, which are made once.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from rasterspark.llm.components import connected
 from rasterspark.llm.textbytes import flat, lower_ascii, mix, shingles, slices, span_hashes, words
@@ -28,7 +31,9 @@ from rasterspark.session import Scratch
 
 MISS = 1e-5
 ROWS = 2  # minhashes composed into one
-STAR_ROUNDS = 3
+LARGE = 64  # nodes of an a_i from which they are compared in blocks
+BLOCK_GRAMS = 400_000  # shingles of a block, on average
+CHUNK = 4096  # columns of an incidence matrix
 
 
 def tables(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -100,36 +105,97 @@ def _full_sets(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, "node long, grams array<long>")
 
 
-class _Links:
-    """Confirms candidate pairs on full sets and keeps the links and the pairs tried so far."""
-
-    def __init__(self, scratch: Scratch, docs: DataFrame, size: int, percent: int):
-        self.scratch, self.docs, self.size, self.percent = scratch, docs, size, percent
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def similar_sizes(self, x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
-
-    def confirm(self, pairs: DataFrame, name: str) -> None:
-        """pairs: (u, v), u < v."""
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
-        pairs = self.scratch.table(pairs, f"pairs-{name}")
-        wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        grams = self.scratch.table(_full_sets(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), self.size), f"sets-{name}")
-        left = grams.select(F.col("node").alias("u"), F.col("grams").alias("x"))
-        right = grams.select(F.col("node").alias("v"), F.col("grams").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        linked = pairs.join(left, "u").join(right, "v").where(shared * 100 >= (F.size("x") + F.size("y") - shared) * self.percent)
-        found = self.scratch.table(linked.select("u", "v").distinct(), f"links-{name}")
-        self.scratch.drop(f"sets-{name}")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-
-
-def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _similar_sizes(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs` (with nodes u and v) whose full sets are similar."""
+    left = grams.select(F.col("node").alias("u"), F.col("grams").alias("x"))
+    right = grams.select(F.col("node").alias("v"), F.col("grams").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "u").join(right, "v").where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select(*pairs.columns)
+
+
+def joined_components(percent: int, own: tuple, other: tuple | None) -> set[tuple[int, int]]:
+    """Pairs of components that a link joins, enough of them to connect all that links do.
+
+    own and other: (sizes, components, grams of all rows in a row); without other, own against itself.
+    Counts of shared shingles are products of 0/1 matrices over the shingles that both sides have.
+    """
+    sides = (own, other or own)
+    values, columns = [], []
+    for sizes, _, grams in sides:
+        found, at = np.unique(grams, return_inverse=True)
+        values.append(found)
+        columns.append((np.repeat(np.arange(len(sizes)), sizes), at))
+    both, left_at, right_at = np.intersect1d(values[0], values[1], assume_unique=True, return_indices=True)
+    shared = np.zeros((len(own[0]), len(sides[1][0])), np.float32)
+    place = []
+    for (_, at), known, found in zip(columns, (left_at, right_at), values, strict=True):
+        new = np.full(len(found), -1)
+        new[known] = np.arange(len(both))
+        place.append(new[at])
+    if other is None:  # a shingle of one row only is shared with no other row
+        frequent = np.bincount(place[0], minlength=len(both)) > 1
+        renumber = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        place = [renumber[p] for p in place]
+        both = both[frequent]
+    for first in range(0, len(both), CHUNK):
+        parts = []
+        for (rows, _), at, (sizes, _, _) in zip(columns, place, sides, strict=True):
+            mine = (at >= first) & (at < first + CHUNK)
+            part = np.zeros((len(sizes), min(CHUNK, len(both) - first)), np.float32)
+            part[rows[mine], at[mine] - first] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    total = sides[0][0][:, None] + sides[1][0][None, :] - shared
+    x, y = np.nonzero((100 * shared >= percent * total) & (own[1][:, None] != sides[1][1][None, :]))
+    joined = np.unique(np.sort(np.column_stack([own[1][x], sides[1][1][y]]), axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+    root: dict[int, int] = {}
+    out = set()
+    for u, v in joined.tolist():
+        tops = []
+        for k in (u, v):
+            while root.get(k, k) != k:
+                k = root[k]
+            tops.append(k)
+        if tops[0] != tops[1]:
+            root[max(tops)] = min(tops)
+            out.add((u, v))
+    return out
+
+
+def _across_blocks(large: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of components that links inside large groups join.
+
+    Rows are dealt to blocks by a hash, as many as keep a block at BLOCK_GRAMS shingles on average; each pair of
+    blocks of a group meets in one task. large: (ka, node, n, component, total).
+    """
+    blocks = F.ceil(F.col("total") / BLOCK_GRAMS).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
+    rows = large.select("ka", "node", "n", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("ka", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "component").join(grams, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        p, q = group["p"][0].as_py(), group["q"][0].as_py()
+        own = group["own"].to_numpy()
+        sides = []
+        for side in dict.fromkeys((p, q)):
+            part = group.filter(pa.array(own == side))
+            lists = part["grams"].combine_chunks()
+            sides.append((part["n"].to_numpy(), part["component"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)))
+        if len(sides) == 2 and not len(sides[0][0]) * len(sides[1][0]):
+            found = set()
+        else:
+            found = joined_components(percent, sides[0], sides[1] if len(sides) == 2 else None)
+        u, v = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.select("ka", "p", "q", "own", "n", "component", "grams").groupBy("ka", "p", "q").applyInArrow(compare, "u long, v long")
+
+
+def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     A text's words are the runs outside [\\x20\\x09-\\x0D] after A-Z are lower-cased; its set has the distinct
@@ -139,7 +205,10 @@ def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "d
     and is kept. Repeated rows keep a row each; rows of one id with different texts act as one node. Other
     columns are not looked at; no rows give no rows.
     """
-    scratch = Scratch(df.sparkSession, "neardup")
+    return _components(Scratch(df.sparkSession, "neardup"), df, size, percent, key, text)
+
+
+def _components(scratch: Scratch, df: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     m = tables(percent)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = scratch.table(_signed(docs, size, m), "signed")
@@ -149,9 +218,12 @@ def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "d
     hashes = [c for c in signed.columns if c[0] in "ab" and c[1:].isdigit()]
     nodes = scratch.table(whole.groupBy(*group).agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in hashes)), "nodes")
 
-    buckets = _buckets(scratch, nodes, m)
-    links = _Links(scratch, docs, size, percent)
-    found = _link_buckets(scratch, buckets, links, star_rounds)
+    alive = _alive(scratch, nodes, m)
+    wanted = alive.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    grams = scratch.table(_full_sets(texts, size), "sets")
+    found = _link(scratch, alive, grams, percent)
+    scratch.drop_all_but("signed", "nodes", "linked")
 
     named = nodes.select(*group, "node").join(found, "node", "left").select(*group, F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", *group).withColumn("node_g", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("g1")))
@@ -160,80 +232,79 @@ def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "d
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _buckets(scratch: Scratch, nodes: DataFrame, m: int) -> DataFrame:
-    """(key, i, node, n) of every table bucket with two nodes or more.
+def _alive(scratch: Scratch, nodes: DataFrame, m: int) -> DataFrame:
+    """(ka, i, node, n, b, weight) of every node that shares its a_i with another.
 
-    Only nodes that share some a_i with another are expanded to their table keys.
+    ka stands for i and a_i, b is the array of all b_j, weight the number of nodes that share the a_i, over all i.
     """
     first = F.posexplode(F.array(*(f"a{i}" for i in range(m)))).alias("i", "a")
     sides = scratch.table(nodes.select("node", first).select("node", "i", F.xxhash64("i", "a").alias("ka")), "sides")
-    shared = scratch.table(sides.groupBy("ka").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("ka"), "shared")
-    alive = sides.join(shared, "ka", "left_semi")
-    second = nodes.select("node", "n", F.array(*(f"b{i}" for i in range(m))).alias("b"))
-    keyed = alive.join(second, "node").select("node", "n", "i", "ka", F.posexplode("b").alias("j", "bj")).select(F.xxhash64("ka", "j", "bj").alias("key"), "i", "node", "n")
-    keyed = scratch.table(keyed, "keyed")
-    full = scratch.table(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "full")
-    out = scratch.table(keyed.join(full, "key", "left_semi"), "buckets")
-    for old in ("sides", "shared", "keyed", "full"):
+    shared = scratch.table(sides.groupBy("ka").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
+    rows = scratch.table(sides.join(shared, "ka"), "some")
+    weights = scratch.table(rows.groupBy("node").agg(F.sum("many").alias("weight")), "weights")
+    known = nodes.select("node", "n", F.array(*(f"b{i}" for i in range(m))).alias("b")).join(weights, "node")
+    out = scratch.table(rows.drop("many").join(scratch.table(known, "known"), "node"), "alive")
+    for old in ("sides", "shared", "some", "weights"):
         scratch.drop(old)
     return out
 
 
-def _link_buckets(scratch: Scratch, buckets: DataFrame, links: _Links, star_rounds: int) -> DataFrame:
+def _link(scratch: Scratch, alive: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that have links."""
-    live = buckets.withColumn("component", F.col("node"))
-    found = None
-    for turn in range(star_rounds + 1):
-        # the first centres differ by i, so a node meets m of them at most; later ones by bucket
-        order = F.xxhash64("node", "i") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-        if turn < star_rounds:
-            centres = live.withColumn("order", order).groupBy("key").agg(*(F.min_by(c, "order").alias(f"c_{c}") for c in ("node", "n", "component")))
-            centres = scratch.table(centres, f"centres-{turn}")
-            met = live.join(centres, "key").where("component != c_component").where(links.similar_sizes("n", "c_n"))
-            pairs = met.select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v"))
-        else:
-            pairs = _across(live, links)
-        links.confirm(pairs, str(turn))
-        found = connected(scratch, links.links, f"components-{turn}")
-        if turn == star_rounds:
-            break
-        found = scratch.table(found, f"found-{turn}")
-        named = buckets.join(found, buckets["node"] == found["node"], "left").select(buckets["*"], F.coalesce(found["component"], buckets["node"]).alias("component"))
-        named = scratch.table(named, f"named-{turn}")
-        mixed = scratch.table(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), f"mixed-{turn}")
-        live = scratch.table(named.join(mixed, "key", "left_semi"), f"live-{turn}")
-        rest, crossing = live.count(), _crossing(live)
-        if not crossing:
-            break
-        if crossing <= 4 * rest or turn == star_rounds - 1:
-            links.confirm(_across(live, links), "rest")
-            found = connected(scratch, links.links, "components-rest")
-            break
-    return found
-
-
-def _crossing(live: DataFrame) -> int:
-    """Number of pairs across components, over all buckets."""
-    each = live.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-    return int(each.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0)
-
-
-def _across(live: DataFrame, links: _Links) -> DataFrame:
-    """All pairs of nodes that share a bucket and lie in different components."""
+    order = F.xxhash64("node").bitwiseAND((1 << 20) - 1) - F.shiftleft("weight", 20)
+    centres = alive.withColumn("order", order).groupBy("ka").agg(F.min_by("node", "order").alias("centre"))
+    known = alive.select(F.col("node").alias("centre"), F.col("n").alias("c_n"), F.col("b").alias("c_b")).dropDuplicates(["centre"])
+    centres = scratch.table(centres.join(known, "centre"), "centres")
+    same_b = F.exists(F.zip_with("b", "c_b", lambda x, y: x == y), lambda same: same)
+    met = alive.join(centres, "ka").where("node != centre").where(_similar_sizes("n", "c_n", percent)).where(same_b)
+    pairs = scratch.table(met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "pairs")
+    found = scratch.table(connected(scratch, _confirmed(pairs, grams, percent), "first"), "found")
+
+    rows = alive.select("ka", "node", "n", "b").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = scratch.table(rows, "named")
+    groups = rows.groupBy("ka").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = scratch.table(groups.where("low < high").select("ka", "many", "total"), "groups")
+    rows = scratch.table(rows.join(groups, "ka"), "mixed")
+
+    in_blocks = _across_blocks(rows.where(F.col("many") >= LARGE).drop("b"), grams, percent)
+    in_pairs = _across_pairs(scratch, rows.where(F.col("many") < LARGE), percent)
+    in_pairs = _confirmed(in_pairs.join(pairs, ["u", "v"], "left_anti"), grams, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    edges = scratch.table(in_blocks.unionByName(in_pairs).distinct(), "edges")
+    joined = scratch.table(connected(scratch, edges, "second"), "joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return scratch.table(moved.unionByName(alone), "linked")
+
+
+def _across_pairs(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v, cu, cv) of nodes that share a table key and lie in different components; a group has few rows."""
+    keyed = rows.select("node", "n", "component", "ka", F.posexplode("b").alias("j", "bj")).select(F.xxhash64("ka", "j", "bj").alias("key"), "node", "n", "component")
+    keyed = scratch.table(keyed, "keyed")
+    h = F.xxhash64("node")
+    buckets = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(h.bitwiseAND((1 << 31) - 1)).alias("s1"), F.sum(F.shiftrightunsigned(h, 31)).alias("s2"),
+        F.min("component").alias("c_low"), F.max("component").alias("c_high"),
+    )
+    # buckets of equal members are one bucket
+    once = scratch.table(buckets.where("c_low < c_high").groupBy("k", "low", "high", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "once")
+    live = scratch.table(keyed.join(once, "key", "left_semi"), "live")
+    scratch.drop("keyed")
     other = live.select("key", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("component").alias("o_component"))
-    met = live.join(other, "key").where("component < o_component").where(links.similar_sizes("n", "o_n"))
-    return met.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v"))
+    met = live.join(other, "key").where("node < o_node AND component != o_component").where(_similar_sizes("n", "o_n", percent))
+    return scratch.table(met.select(F.col("node").alias("u"), F.col("o_node").alias("v"), F.col("component").alias("cu"), F.col("o_component").alias("cv")).distinct(), "across")
 
 
-def deduplicate(df: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def deduplicate(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` that stay: of each component the document of the smallest id, once.
 
     Rows with a null id stay. Of repeated rows of one id one stays.
     """
     scratch = Scratch(df.sparkSession, "deduplicate")
-    found = scratch.table(components(df, key=key, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")), "found")
+    rows = _components(scratch, df, size, percent, key, text).where("doc_id IS NOT NULL")
+    found = scratch.table(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).where("NOT kept OR rows > 1"), "kept")
+    scratch.drop_all_but("kept")
     columns = df.columns
-    gone = found.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("__key"))
+    gone = found.select(F.col("doc_id").alias("__key"))
     out = df.join(gone, F.col(f"`{key}`").cast("long") == F.col("__key"), "left_anti")
     again = found.where("kept AND rows > 1").select(F.col("doc_id").alias("__key"))
     if not again.isEmpty():

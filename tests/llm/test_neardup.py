@@ -71,8 +71,10 @@ def edited(rng, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_large_group_of_near_copies_and_edge_cases(spark, rounds):
+@pytest.mark.parametrize(("large", "grams"), [(10**9, 1), (2, 500), (64, 400_000)])
+def test_large_group_of_near_copies_and_edge_cases(spark, monkeypatch, large, grams):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", grams)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = [(i, edited(rng, base, rng.choice([0, 1, 1, 2, 3]))) for i in range(1, 120)]
@@ -80,7 +82,7 @@ def test_large_group_of_near_copies_and_edge_cases(spark, rounds):
     rows += [(400, " ".join(f"l{i}" for i in range(20_000))), (401, " ".join(f"l{i}" for i in range(19_900)))]
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, t, 1, "x", 2) for k, t in rows], "doc_id long, text string, n int, component string, key int")
-    assert found(neardup.components(df, size=3, percent=80, star_rounds=rounds)) == brute(rows, 3, 80)
+    assert found(neardup.components(df, size=3, percent=80)) == brute(rows, 3, 80)
 
 
 def test_empty_table(spark):
@@ -129,3 +131,28 @@ def test_sets_are_exact():
     grams, counts = neardup.sets(*flat(pa.array(texts)), 3)
     assert counts.tolist() == [len(word_set(t, 3)) for t in texts]
     assert len(set(itertools.chain(grams.tolist()))) == len(set().union(*(word_set(t, 3) for t in texts)))
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_blocks_find_every_joined_component(monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    base = np.arange(60)
+    sets = [np.unique(np.concatenate([rng.choice(base, 52, replace=False), rng.integers(100, 400, rng.integers(0, 9))])) for _ in range(40)]
+    parts = rng.integers(0, 12, 40)
+
+    def side(at):
+        return np.array([len(sets[i]) for i in at]), np.array([parts[i] for i in at]), np.concatenate([sets[i] for i in at])
+
+    def reach(pairs):
+        root = {int(c): {int(c)} for c in parts}
+        for u, v in pairs:
+            whole = root[int(u)] | root[int(v)]
+            for k in whole:
+                root[k] = whole
+        return root
+
+    for left, right in ((range(40), None), (range(15), range(15, 40))):
+        want = [(parts[i], parts[j]) for i in left for j in (right or left) if parts[i] != parts[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        got = neardup.joined_components(80, side(left), side(right) if right else None)
+        assert want and reach(got) == reach(want) and len(got) < 12
