@@ -77,10 +77,10 @@ def nearest(df: DataFrame, *, every: int = 50, k: int = 5, key: str = "vec_id",
     Queries are the rows whose id is divisible by `every`, candidates all rows but those of the query's own
     id; with fewer candidates all are returned. Equal scores go to the smaller id. Vectors that are null,
     empty, zero or hold a null or non-finite component take no part, nor do rows with a null id.
-    Vectors must have one length.
+    Repeated rows count once. Vectors must have one length.
     """
     scratch = Scratch(df.sparkSession, "neighbours")
     some = F.exists(F.col(vector), lambda x: x != 0)
     rows = df.where(F.col(key).isNotNull() & blocks.usable(vector) & some).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = scratch.table(rows, "vectors")
+    rows = scratch.table(rows.distinct(), "vectors")
     return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "double", block_rows)

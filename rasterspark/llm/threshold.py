@@ -75,10 +75,10 @@ def quantised(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     """(vec_id, vector) of rows that take part, each component x as floor(factor * x), x as double.
 
     Null vectors, empty ones and those with a null or non-finite component take no part, nor do rows
-    with a null id.
+    with a null id. Repeated rows count once.
     """
     whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * factor).cast("double"))
-    return df.where(F.col(key).isNotNull() & blocks.usable(vector)).select(F.col(key).cast("long").alias("vec_id"), whole.alias("vector"))
+    return df.where(F.col(key).isNotNull() & blocks.usable(vector)).select(F.col(key).cast("long").alias("vec_id"), whole.alias("vector")).distinct()
 
 
 def top_k(df: DataFrame, *, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", factor: int = 1024, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:

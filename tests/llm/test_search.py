@@ -68,7 +68,7 @@ def test_threshold_stops_early():
 
 def test_fewer_candidates_and_repeated_rows(spark):
     known = {0: np.ones(3, np.float32), 5: np.ones(3, np.float32), 9: np.array([1, 0, 0], np.float32)}
-    df = frame(spark, known)
+    df = frame(spark, known).unionByName(frame(spark, known))
     assert found(threshold.top_k(df, every=100, k=10)) == {0: [(5, 3 * 1024 * 1024), (9, 1024 * 1024)]}
     assert threshold.top_k(df.limit(0)).collect() == []
     got = found(neighbours.nearest(df, every=50))
