@@ -2,7 +2,9 @@
 
 Each language has a raw-content zstandard dictionary cut from labelled texts. A text is normalised,
 compressed in blocks with every dictionary, and gets the language whose blocks are smallest in sum.
-The margin over the second smallest decides whether the choice is accepted.
+The margin over the second smallest decides whether the choice is accepted. Sizes are whole bytes, too coarse
+for a short text, so that is compressed behind several contexts of each language, and what it adds to them
+counts.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 64  # bound of the labelled sample: texts for each language, on average
-SAMPLE_BYTES = 256  # taken from each of them
+SAMPLE_DOCS = 256  # bound of the labelled sample: texts for each language, on average
+SAMPLE_BYTES = 256  # taken from each of them; half of the pieces make the dictionary, half the contexts
+CONTEXTS = 4
+CONTEXT_BYTES = 2048
+CONTEXT_PIECE = 64  # bytes of a piece in the contexts, so that they have many authors
+SHORT = 256  # normalised bytes below which the contexts are used
 LEVEL = 12
 BLOCK = 2048
 MIN_MARGIN = 0.005
@@ -40,13 +46,22 @@ def normalise(text: str | None) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages by falling share of the labelled texts (ties by name), and their dictionaries."""
+    """Languages by falling share of the labelled texts (ties by name), their dictionaries and contexts."""
 
     langs: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
+    contexts: tuple[tuple[bytes, ...], ...] = ()
     level: int = LEVEL
     block: int = BLOCK
 
+    def sizes(self, data: bytes) -> list[int]:
+        """What the normalised text costs in each language."""
+        tools, bases = _tools(self)
+        if self.contexts and len(data) < SHORT:
+            return [max(1, sum(len(c.compress(x + data)) for x in own) - base) for c, own, base in zip(tools, self.contexts, bases, strict=True)]
+        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in tools]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin, 1 - smallest / second smallest size; no letters: `und` and 0.
 
@@ -55,8 +70,7 @@ class Model:
         data = normalise(text)
         if not data or not self.langs:
             return UNKNOWN, 0.0
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        sizes = [sum(len(c.compress(b)) for b in blocks) for c in _compressors(self)]
+        sizes = self.sizes(data)
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         if len(order) == 1:
             return self.langs[0], 1.0
@@ -64,13 +78,21 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
+def _tools(model: Model) -> tuple[list[zstandard.ZstdCompressor], list[int]]:
+    """A compressor for each language, and the size of its bare contexts."""
     out = []
     for raw in model.dictionaries:
         own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.precompute_compress(level=model.level)
         out.append(zstandard.ZstdCompressor(dict_data=own, level=model.level, write_checksum=False, write_content_size=False, write_dict_id=False))
-    return out
+    return out, [sum(len(c.compress(x)) for x in own) for c, own in zip(out, model.contexts or [()] * len(out), strict=True)]
+
+
+def _contexts(pieces: list[bytes]) -> tuple[bytes, ...]:
+    """CONTEXTS runs of equal length, CONTEXT_BYTES at most, from the pieces."""
+    whole = b" ".join(pieces)
+    size = min(CONTEXT_BYTES, len(whole) // CONTEXTS)
+    return tuple(whole[k * size : (k + 1) * size] + b" " for k in range(CONTEXTS))
 
 
 def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -91,10 +113,10 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     taken = rows.where(spread < rate[F.col("lang")]).select("lang", "key", piece.alias("piece")).collect()
     out = []
     for k in langs:
-        pieces = [p for r in sorted((r for r in taken if r["lang"] == k), key=lambda r: (str(r["key"]), r["piece"])) if (p := normalise(r["piece"])[:sample_bytes])]
-        out.append(b" ".join(pieces[: 4 * sample_docs]))
-    kept = [(k, d) for k, d in zip(langs, out, strict=True) if len(d) >= 8]  # zstd takes no shorter dictionary
-    return Model(tuple(k for k, _ in kept), tuple(d for _, d in kept))
+        pieces = [p for r in sorted((r for r in taken if r["lang"] == k), key=lambda r: (str(r["key"]), r["piece"])) if (p := normalise(r["piece"])[:sample_bytes])][: 4 * sample_docs]
+        out.append((k, b" ".join(pieces[::2]), _contexts([p[-CONTEXT_PIECE:] for p in pieces[1::2] or pieces])))
+    kept = [x for x in out if len(x[1]) >= 8]  # zstd takes no shorter dictionary
+    return Model(*(tuple(x[i] for x in kept) for i in range(3)))
 
 
 PREDICTED = "lang_pred string, score double, accepted boolean"

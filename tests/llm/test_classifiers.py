@@ -47,6 +47,15 @@ def test_language_edge_cases(spark):
     assert langid.predict(df.limit(0), model).collect() == []
 
 
+def test_short_texts_are_told_apart(spark):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist()
+    short = [r for r in table if 20 < len(r["text"]) < 200]
+    got = [model.predict(r["text"]) for r in short]
+    assert len(short) > 200 and np.mean([g == r["lang"] for (g, _), r in zip(got, short, strict=True)]) > 0.95
+    assert np.mean([m >= langid.MIN_MARGIN for _, m in got]) > 0.97
+
+
 def test_narrow_margins_are_rejected(spark):
     model = langid.Model(("a", "b"), (b"same dictionary " * 9, b"same dictionary " * 9))
     df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
