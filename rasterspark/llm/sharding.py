@@ -40,14 +40,14 @@ def directory(scratch: Scratch, rows: DataFrame, limit: int) -> list[tuple[DataF
         cells = scratch.table(rows.groupBy(_prefix(depth).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.min("h").alias("x"), F.max("h").alias("y")), f"cells-{depth}")
         above = cells.select("*", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("d")).withColumn("shard", F.expr(f"shiftright(cell, {depth} - d)"))
         buckets = scratch.table(above.groupBy("d", "shard").agg(F.sum("b").alias("shard_bytes"), F.min("x").alias("x"), F.max("y").alias("y")).where((F.col("shard_bytes") <= limit) | (F.col("x") == F.col("y"))).select("d", "shard", "shard_bytes"), f"buckets-{depth}")
-        fitting = above.select("cell", "d", "shard").join(buckets, ["d", "shard"])
+        fitting = above.select("cell", "d", "shard").join(buckets.hint("merge"), ["d", "shard"])  # grows with the shards: no broadcast
         leaf = fitting.groupBy("cell").agg(F.min("d").alias("local_depth"), F.min_by("shard", "d").alias("shard"), F.min_by("shard_bytes", "d").alias("shard_bytes"))
         leaf = scratch.table(leaf, f"leaves-{depth}")
         rounds.append((leaf, depth))
-        open_cells = cells.select("cell").join(leaf, "cell", "left_anti")
+        open_cells = cells.select("cell").join(leaf.hint("merge"), "cell", "left_anti")
         if depth == BITS or open_cells.isEmpty():
             return rounds
-        rows = scratch.table(rows.withColumn("cell", _prefix(depth)).join(open_cells, "cell", "left_semi").drop("cell"), f"open-{depth}")
+        rows = scratch.table(rows.withColumn("cell", _prefix(depth)).join(open_cells.hint("merge"), "cell", "left_semi").drop("cell"), f"open-{depth}")
         low, depth = depth + 1, min(BITS, depth + STEP)
 
 
@@ -67,9 +67,9 @@ def assign(df: DataFrame, *, limit: int, key: str = "doc_id", text: str = "text"
     out, rest = None, rows
     for leaf, depth in directory(scratch, rows.select("h", "n_bytes"), limit):
         keyed = rest.withColumn("cell", _prefix(depth))
-        done = keyed.join(leaf, "cell").select("doc_id", "n_bytes", F.col("local_depth").cast("int").alias("local_depth"), "shard", "shard_bytes")
+        done = keyed.join(leaf.hint("merge"), "cell").select("doc_id", "n_bytes", F.col("local_depth").cast("int").alias("local_depth"), "shard", "shard_bytes")
         out = done if out is None else out.unionByName(done)
-        rest = keyed.join(leaf, "cell", "left_anti").drop("cell")
+        rest = keyed.join(leaf.hint("merge"), "cell", "left_anti").drop("cell")
     return out
 
 
@@ -82,7 +82,7 @@ def write(df: DataFrame, folder: str, *, limit: int, key: str = "doc_id", text:
     name = F.concat_ws("-", F.col("local_depth"), F.col("shard"))
     placed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("")))
     shards = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"), name.alias("shard_name")).distinct()
-    placed.join(shards, "__key").drop("__key").repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
+    placed.join(shards.hint("merge"), "__key").drop("__key").repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
     return found
 
 
