@@ -20,7 +20,7 @@ import pyspark.sql.functions as F
 import regex
 from pyspark.sql import DataFrame
 
-from rasterspark.llm.textbytes import flat, mix, slices, span_hashes
+from rasterspark.llm.textbytes import flat, mix, release, slices, span_hashes
 from rasterspark.llm.units import UnitStore
 
 
@@ -177,46 +177,53 @@ def codec(rank_path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add an array<int> column with the ids of each whole text (null: no ids).
 
     Columns in `keep` are carried (all by default); one already called `ids` is replaced. A null or empty
-    text has an empty array, an empty table stays empty.
+    text has an empty array, an empty table stays empty. `decoded` names a further column with the SHA-256
+    of the bytes that the ids decode to.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    added = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else [])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in added}]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = StructType([*(df.schema[c] for c in keep), StructField(ids, ArrayType(IntegerType()))])
+    schema = StructType([*(df.schema[c] for c in keep), *added])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path)
         for batch in batches:
-            column = batch.column(len(keep))
-            _, offsets = flat(column)
-            for a, b in slices(offsets, 8_000_000):
-                got, ends = own.encode(column.slice(a, b - a))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32)))
+            data, offsets = flat(batch.column(len(keep)))
+            for a, b in slices(offsets):
+                base = offsets[a]
+                got, ends = own.store.encode_texts(data[base : offsets[b]], offsets[a : b + 1] - base)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow.field(i).type) for i in range(len(keep))), lists.cast(arrow.field(len(arrow) - 1).type)], schema=arrow)
+                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got.astype(np.int32))).cast(arrow.field(len(keep)).type))
+                if decoded:
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(got, ends)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        release()
 
     return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add a binary column with the bytes that an array column of ids stands for (null: empty)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
-    def back(column):
-        own = codec(rank_path)
-        parts = [np.asarray(x if x is not None else [], np.int64) for x in column]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        import pandas as pd
-
-        return pd.Series(own.decode(np.concatenate([np.empty(0, np.int64), *parts]), offsets))
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.types import BinaryType
+
+    @arrow_udf(BinaryType())
+    def back(column: pa.Array) -> pa.Array:
+        own, parts = codec(rank_path), []
+        for a in range(0, len(column), 512):
+            part = column.slice(a, 512)
+            lengths = part.value_lengths().fill_null(0).to_numpy()
+            parts += own.decode(part.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+        return pa.array(parts, pa.binary())
 
     return df.withColumn(out, back(F.col(ids)))
 
@@ -237,7 +244,7 @@ def digest(df: DataFrame, rank_path: str, text: str = "text", key: str = "doc_id
         for batch in batches:
             column = batch.column(1)
             data, offsets = flat(column)
-            for a, b in slices(offsets, 8_000_000):
+            for a, b in slices(offsets):
                 base = offsets[a]
                 ids, ends = own.store.encode_texts(data[base : offsets[b]], offsets[a : b + 1] - base)
                 plain = own.decode(ids, ends)
@@ -253,5 +260,6 @@ def digest(df: DataFrame, rank_path: str, text: str = "text", key: str = "doc_id
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"],
                 )
+        release()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, DIGEST)

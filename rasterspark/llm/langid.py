@@ -19,6 +19,8 @@ import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import DataFrame
 
+from rasterspark.llm.textbytes import release
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 256  # bound of the labelled sample: texts for each language, on average
 SAMPLE_BYTES = 256  # taken from each of them; half of the pieces make the dictionary, half the contexts
@@ -146,5 +148,6 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
             known = np.array([g != UNKNOWN for g, _ in got], bool)
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([g for g, _ in got], pa.string()), pa.array(margins), pa.array(known & (margins >= min_margin))], schema=arrow)
+        release()
 
     return rows.mapInArrow(run, schema)

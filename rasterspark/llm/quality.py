@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from rasterspark.llm.textbytes import flat, lower_ascii, shingles, slices, span_hashes, words
+from rasterspark.llm.textbytes import flat, lower_ascii, release, shingles, slices, span_hashes, words
 
 SAMPLE_ROWS = 20_000  # bound of the labelled rows that reach the driver, on average
 TREES = 80
@@ -111,6 +111,7 @@ def measure(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
                 got = statistics(data[base : offsets[b]], offsets[a : b + 1] - base)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1], dtype=np.int32)), pa.array(got.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), lists], names=["doc_id", "stats"])
+        release()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<float>")
 
@@ -239,17 +240,16 @@ def keep(df: DataFrame, forest: Forest, *, text: str = "text", threshold: float
 
     Scored row by row in one pass, so null and repeated ids need no join; a null text counts as empty.
     """
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.types import BooleanType
 
-    @pandas_udf("boolean")
-    def good(column):
-        import pandas as pd
-
-        data, offsets = flat(pa.array(column, pa.string()))
+    @arrow_udf(BooleanType())
+    def good(column: pa.Array) -> pa.Array:
+        data, offsets = flat(column)
         out = np.empty(len(column), bool)
         for a, b in slices(offsets):
             base = offsets[a]
             out[a:b] = forest.score(statistics(data[base : offsets[b]], offsets[a : b + 1] - base)) >= threshold
-        return pd.Series(out)
+        return pa.array(out)
 
     return df.where(good(F.col(f"`{text}`").cast("string")))

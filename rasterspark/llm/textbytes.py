@@ -6,6 +6,8 @@ memory; a longer text makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,15 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system; Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) whose texts have about `size` bytes together, at least one row each."""
     n, a = len(offsets) - 1, 0

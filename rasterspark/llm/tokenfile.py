@@ -24,7 +24,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from rasterspark.llm.textbytes import flat, slices
+from rasterspark.llm.textbytes import flat, release, slices
 from rasterspark.llm.units import UnitStore
 from rasterspark.session import Scratch, make_dirs
 
@@ -166,7 +166,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
                 continue
             writer = writer or TokenWriter(uri, seq_len, rows_per_batch, max(vocabulary, end_id + 1))
             data, offsets = flat(batch.column(1))
-            for a, b in slices(offsets, 8_000_000):
+            for a, b in slices(offsets):
                 base = offsets[a]
                 ids, ends = store.encode_texts(data[base : offsets[b]], offsets[a : b + 1] - base)
                 lengths = np.diff(ends) + 1
@@ -178,6 +178,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
                 )
         if writer:
             writer.close()
+        release()
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX)

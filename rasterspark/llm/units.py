@@ -62,7 +62,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class UnitStore:
     """Ids of units seen before, at most `limit` of them, else only those of the last batch."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._set(pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.zeros(1, np.int64))
 
