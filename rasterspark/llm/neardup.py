@@ -26,13 +26,14 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from rasterspark.llm.components import connected
-from rasterspark.llm.textbytes import flat, lower_ascii, mix, shingles, slices, span_hashes, words
+from rasterspark.llm.textbytes import flat, lower_ascii, mix, release, shingles, slices, span_hashes, words
 from rasterspark.session import Scratch
 
 MISS = 1e-5
 ROWS = 2  # minhashes composed into one
 LARGE = 64  # nodes of an a_i from which they are compared in blocks
 BLOCK_GRAMS = 400_000  # shingles of a block, on average
+BLOCK_ROWS = 2048  # nodes of a block, on average
 CHUNK = 4096  # columns of an incidence matrix
 
 
@@ -88,6 +89,7 @@ def _signed(df: DataFrame, size: int, m: int) -> DataFrame:
                 grams, counts = sets(data[base : offsets[b]], offsets[a : b + 1] - base, size)
                 out = signature(grams, counts, m).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(out.shape[1]))], names=["doc_id", "n", *names])
+        release()
 
     return df.mapInArrow(run, ", ".join(["doc_id long", "n long", *(f"{x} long" for x in names)]))
 
@@ -101,6 +103,7 @@ def _full_sets(df: DataFrame, size: int) -> DataFrame:
                 grams, counts = sets(data[base : offsets[b]], offsets[a : b + 1] - base, size)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))], names=["node", "grams"])
+        release()
 
     return df.mapInArrow(run, "node long, grams array<long>")
 
@@ -169,10 +172,10 @@ def joined_components(percent: int, own: tuple, other: tuple | None) -> set[tupl
 def _across_blocks(large: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(u, v) of components that links inside large groups join.
 
-    Rows are dealt to blocks by a hash, as many as keep a block at BLOCK_GRAMS shingles on average; each pair of
-    blocks of a group meets in one task. large: (ka, node, n, component, total).
+    Rows are dealt to blocks by a hash, as many as keep a block at BLOCK_GRAMS shingles and BLOCK_ROWS nodes on
+    average; each pair of blocks of a group meets in one task. large: (ka, node, n, component, many, total).
     """
-    blocks = F.ceil(F.col("total") / BLOCK_GRAMS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_GRAMS, F.col("many") / BLOCK_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     rows = large.select("ka", "node", "n", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("ka", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "component").join(grams, "node")

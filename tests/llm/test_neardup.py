@@ -75,6 +75,7 @@ def edited(rng, words, changes):
 def test_large_group_of_near_copies_and_edge_cases(spark, monkeypatch, large, grams):
     monkeypatch.setattr(neardup, "LARGE", large)
     monkeypatch.setattr(neardup, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 30 if grams < 1000 else 2048)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = [(i, edited(rng, base, rng.choice([0, 1, 1, 2, 3]))) for i in range(1, 120)]
