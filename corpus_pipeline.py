@@ -51,8 +51,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.encode(docs, ranks, keep=["doc_id", "lang", "source", "n_chars"])
-    return bpe.decode(out, ranks).select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = ["doc_id", "lang", "source", "n_chars"]
+    out = bpe.encode(docs, ranks, keep=kept, decoded="decoded_sha256")
+    return out.select(*kept, F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Stage]] = [
