@@ -35,6 +35,7 @@ LARGE = 64  # nodes of an a_i from which they are compared in blocks
 BLOCK_GRAMS = 400_000  # shingles of a block, on average
 BLOCK_ROWS = 2048  # nodes of a block, on average
 CHUNK = 4096  # columns of an incidence matrix
+GROUP = ["g1", "g2", "n"]  # digests and size of a set: what makes a node
 
 
 def tables(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -88,10 +89,10 @@ def _signed(df: DataFrame, size: int, m: int) -> DataFrame:
                 base = offsets[a]
                 grams, counts = sets(data[base : offsets[b]], offsets[a : b + 1] - base, size)
                 out = signature(grams, counts, m).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(out.shape[1]))], names=["doc_id", "n", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(out.shape[1]))], names=["doc_id", "digest", "n", *names])
         release()
 
-    return df.mapInArrow(run, ", ".join(["doc_id long", "n long", *(f"{x} long" for x in names)]))
+    return df.mapInArrow(run, ", ".join(["doc_id long", "digest long", "n long", *(f"{x} long" for x in names)]))
 
 
 def _full_sets(df: DataFrame, size: int) -> DataFrame:
@@ -205,34 +206,47 @@ def components(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "d
     runs of `size` words, or the whole sequence if it has fewer. Documents are linked if 100 * intersection >=
     percent * union; component_id is the smallest doc_id that links reach. Null, empty and blank texts have
     an empty set and are linked with nothing. A row with a null id is linked with nothing, has a null component
-    and is kept. Repeated rows keep a row each; rows of one id with different texts act as one node. Other
-    columns are not looked at; no rows give no rows.
+    and is kept. Repeated rows keep a row each; rows of one id with different texts are linked by their texts
+    only, so they may have different components. Other columns are not looked at; no rows give no rows.
     """
-    return _components(Scratch(df.sparkSession, "neardup"), df, size, percent, key, text)
+    signed, nodes = _resolved(Scratch(df.sparkSession, "neardup"), df, size, percent, key, text)
+    named = nodes.select(F.col("g1").alias("node_g"), "g2", "n", F.col("best.doc_id").alias("component"))
+    rows = signed.select("doc_id", *GROUP).withColumn("node_g", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("g1")))
+    out = rows.join(named, ["node_g", "g2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
 
 
-def _components(scratch: Scratch, df: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+def _resolved(scratch: Scratch, df: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with the digests of its text and set, and every node (g1, g2, n) with `best`.
+
+    best is the smallest (doc_id, digest) of the node's component. A node is a set, not an id: texts of one
+    id are nodes of their own, and ids of equal sets share one. Each node's full set is made from one row.
+    """
     m = tables(percent)
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _digest(text).alias("digest"))
     signed = scratch.table(_signed(docs, size, m), "signed")
 
-    group = ["g1", "g2", "n"]
     whole = signed.where("n > 0 AND doc_id IS NOT NULL")
     hashes = [c for c in signed.columns if c[0] in "ab" and c[1:].isdigit()]
-    nodes = scratch.table(whole.groupBy(*group).agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in hashes)), "nodes")
+    nodes = whole.groupBy(*GROUP).agg(F.min(F.struct("doc_id", "digest")).alias("first"), *(F.min(c).alias(c) for c in hashes))
+    nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     alive = _alive(scratch, nodes, m)
-    wanted = alive.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = alive.select("node").distinct().join(nodes.select("node", "first.*"), "node")
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "digest"])  # repeated rows go before they are dealt
+    texts = once.join(wanted.hint("shuffle_hash"), ["doc_id", "digest"]).select("node", "text")
     grams = scratch.table(_full_sets(texts, size), "sets")
     found = _link(scratch, alive, grams, percent)
     scratch.drop_all_but("signed", "nodes", "linked")
 
-    named = nodes.select(*group, "node").join(found, "node", "left").select(*group, F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", *group).withColumn("node_g", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("g1")))
-    out = rows.join(named.withColumnRenamed("g1", "node_g"), ["node_g", "g2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    placed = nodes.select(*GROUP, "node", "first").join(found, "node", "left")
+    lowest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("low"))
+    return signed, placed.join(scratch.table(lowest, "lowest"), "component", "left").select(*GROUP, F.coalesce("low", "first").alias("best"))
 
 
 def _alive(scratch: Scratch, nodes: DataFrame, m: int) -> DataFrame:
@@ -298,19 +312,25 @@ def _across_pairs(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` that stay: of each component the document of the smallest id, once.
+    """The rows of `df` that stay: of each component the text of the smallest id, once.
 
-    Rows with a null id stay. Of repeated rows of one id one stays.
+    Decided by text, not by id: rows of one id with different texts stay unless their own text is a copy.
+    Rows with a null id stay. Of rows that repeat both id and text one stays; blank texts are copies of nothing else.
     """
     scratch = Scratch(df.sparkSession, "deduplicate")
-    rows = _components(scratch, df, size, percent, key, text).where("doc_id IS NOT NULL")
-    found = scratch.table(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).where("NOT kept OR rows > 1"), "kept")
+    signed, nodes = _resolved(scratch, df, size, percent, key, text)
+    pairs = signed.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    best = nodes.select("best.*").withColumn("first", F.lit(True)).distinct()
+    kept = (F.col("n") == 0) | F.coalesce("first", F.lit(False))
+    found = pairs.join(best, ["doc_id", "digest"], "left").select("doc_id", "digest", "rows", kept.alias("kept"))
+    found = scratch.table(found.where("NOT kept OR rows > 1"), "kept")
     scratch.drop_all_but("kept")
     columns = df.columns
-    gone = found.select(F.col("doc_id").alias("__key"))
-    out = df.join(gone, F.col(f"`{key}`").cast("long") == F.col("__key"), "left_anti")
-    again = found.where("kept AND rows > 1").select(F.col("doc_id").alias("__key"))
+    marked = df.withColumn("__key", F.col(f"`{key}`").cast("long")).withColumn("__digest", _digest(text))
+    named = found.select(F.col("doc_id").alias("__key"), F.col("digest").alias("__digest"), "kept", "rows")
+    out = marked.join(named, ["__key", "__digest"], "left_anti")
+    again = named.where("kept AND rows > 1")
     if not again.isEmpty():
-        once = df.join(again, F.col(f"`{key}`").cast("long") == F.col("__key"), "left_semi").dropDuplicates([key])
-        out = out.unionByName(once)
+        once = marked.where("__key IS NOT NULL").dropDuplicates(["__key", "__digest"])
+        out = out.unionByName(once.join(again, ["__key", "__digest"], "left_semi"))
     return out.select(*[F.col(f"`{c}`") for c in columns])

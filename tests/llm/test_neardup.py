@@ -100,6 +100,16 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or -1, r.kept) for r in out.collect()) == [(-1, "f"), (3, "b"), (11, "d"), (12, "e"), (13, "g")]
 
 
+def test_texts_of_one_id_are_decided_by_themselves(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(5, words("a")), (5, words("b")), (5, words("c")), (5, words("c")), (3, words("a") + " more"), (7, words("b") + " more"), (8, words("c")), (9, words("d")), (9, words("e")), (6, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text or "") for r in neardup.deduplicate(df).collect())
+    assert got == sorted([(3, words("a") + " more"), (5, words("b")), (5, words("c")), (6, ""), (6, ""), (9, words("d")), (9, words("e"))])
+    ids = sorted((r.doc_id, r.component_id) for r in neardup.components(df).collect())
+    assert ids == sorted([(3, 3), (5, 3), (5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9), (6, 6), (6, 6)])
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = connected(Scratch(spark, "test"), spark.createDataFrame(edges, "u long, v long"), "c").collect()
