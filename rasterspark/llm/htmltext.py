@@ -30,13 +30,20 @@ DROPPED = frozenset("nav footer aside form menu dialog button fieldset".split())
 _SIBLINGS = frozenset("li tr dt dd option".split())
 _SCOPES = frozenset("ul ol table dl div section article main blockquote".split())
 ARTICLE = frozenset("article main".split())
-# Words in class, id or role that mark regions outside the article.
+# Elements that a mark can name as a region; headings, paragraphs, items and inline elements are content.
+CONTAINERS = frozenset("div section ul ol dl table header article main center details".split())
+# Words that mark regions outside the article, as a whole name of class, id or role or as its first word.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert "
     "comment comments commentlist disqus respond reply replies discussion sidebar aside menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing "
     "social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager copyright contentinfo complementary search skip".split()
 )
+# Of these, words that also head ordinary names ("search-algorithms"): they mark as a whole class or role only.
+ORDINARY = frozenset("alert aside banner comment copyright discussion login menu notice notices notification overlay related replies reply respond search share sharing skip social widget".split())
+# Regions that may hold more text than the article does.
+_LONG = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _NO_ARTICLE = frozenset("comment comments ad ads advert sponsored promo related".split())
+PASSES = 8  # readings of a page whose marked regions turn out to wrap its text; the last one ignores marks
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)|<[!?/][^>]*+(?:>|$)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?=[\s=/>]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -55,7 +62,7 @@ class Line:
 
 
 def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
-    """Words of class, id and role; whether the element is hidden; whether it is an article's body."""
+    """Marks by class, id and role; whether the element is hidden; whether it is an article's body."""
     words, hidden, body = set(), False, False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -68,15 +75,41 @@ def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
         elif name == "itemprop":
             body |= value.lower() == "articlebody"
         else:
-            words.update(w.lower() for w in _WORD.findall(value))
+            for token in value.split():
+                whole, first = token.lower(), _WORD.search(token)
+                if whole in MARKS and (name != "id" or whole not in ORDINARY):
+                    words.add(whole)
+                elif first and (head := first[0].lower()) in MARKS and head not in ORDINARY and first.start() == 0:
+                    words.add(head)
+                elif whole == "header":
+                    words.add(whole)
             body |= name == "role" and value.lower() == "main"
     return frozenset(words), hidden, body
 
 
 def lines(page: str) -> list[Line]:
-    """The blocks of a page; a dropped region counts as one line without text."""
+    """The blocks of a page; a dropped region counts as one line without text.
+
+    A region dropped for a mark is read again as content if it holds an article element, or most of the
+    page's text (comments may).
+    """
+    spared: set[int] = set()
+    for left in range(PASSES - 1, -1, -1):
+        out, regions = _lines(page, spared, bool(left))
+        whole = sum(len(x.text) for x in out) + sum(chars for chars, _, _ in regions.values())
+        wraps = {at for at, (chars, holds, long) in regions.items() if holds or (2 * chars > whole and not long)}
+        if not wraps:
+            break
+        spared |= wraps
+    return out
+
+
+def _lines(page: str, spared: set[int], by_marks: bool) -> tuple[list[Line], dict[int, list]]:
+    """The blocks, and of every region dropped for a mark by its place: characters, holds an article, may be long."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, article
+    regions: dict[int, list] = {}
+    region = None  # of the text being read
+    stack: list[tuple[str, bool, int, int | None]] = []  # name, dropped, article, region
     pieces: list[str] = []
     linked: list[str] = []
     dropped, article, articles, links, heading = False, 0, 0, 0, False
@@ -92,6 +125,8 @@ def lines(page: str) -> list[Line]:
         heading = False
 
     def add(text: str) -> None:
+        if dropped and region is not None and text:
+            regions[region][0] += len(" ".join(text.split()))
         if dropped or not text:
             return
         if "&" in text:
@@ -123,7 +158,7 @@ def lines(page: str) -> list[Line]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
                 del stack[depth:]
-                _, dropped, article = stack[-1] if stack else ("", False, 0)
+                _, dropped, article, region = stack[-1] if stack else ("", False, 0, None)
             continue
         if name in RAW:
             flush()
@@ -143,25 +178,35 @@ def lines(page: str) -> list[Line]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or (stack[k][0] == name and name in _SIBLINGS)), None)
             if depth is not None and not any(x[0] in _SCOPES for x in stack[depth + 1 :]):
                 del stack[depth:]
-                _, dropped, article = stack[-1] if stack else ("", False, 0)
+                _, dropped, article, region = stack[-1] if stack else ("", False, 0, None)
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in VOID:
             continue
-        drop, inside = dropped, article
-        if not drop and name not in ("html", "body"):
+        drop, inside, within = dropped, article, region
+        if name not in ("html", "body") and (not drop or region is not None):
             words, hidden, body = _marks(found["attrs"] or found["attrs2"] or "")
-            marked = bool(words & (MARKS if name not in ARTICLE else _NO_ARTICLE))
-            header = (name == "header" or "header" in words) and not inside and name not in ARTICLE
-            drop = hidden or name in DROPPED or marked or header
+            marks = words & (MARKS if name not in ARTICLE else _NO_ARTICLE) if name in CONTAINERS else frozenset()
+            header = name in CONTAINERS and (name == "header" or "header" in words) and not inside and name not in ARTICLE
+            gone = hidden or name in DROPPED
+            marked = by_marks and (bool(marks) or header) and at not in spared
             if drop:
+                if gone or marks:
+                    within = None  # counts for no region
+                elif name in ARTICLE or body:
+                    regions[region][1] = True
+            elif gone or marked:
+                drop = True
                 out.append(Line("", 0, inside, False))
+                if not gone:
+                    within = at
+                    regions[at] = [0, False, bool(marks & _LONG)]
             elif name in ARTICLE or body:
                 articles += 1
                 inside = articles
-        stack.append((name, drop, inside))
-        dropped, article = drop, inside
+        stack.append((name, drop, inside, within))
+        dropped, article, region = drop, inside, within
     flush()
-    return out
+    return out, regions
 
 
 def core(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:

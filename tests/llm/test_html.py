@@ -60,6 +60,17 @@ def test_edge_cases(source, text):
     assert htmltext.extract(source) == text
 
 
+@pytest.mark.parametrize(
+    "region",
+    ['<h2 id="search-algorithms">{}</h2>', '<h2 id="social-effects">{}</h2>', '<section id="discussion"><p>{}</p></section>', '<p class="notice">{}</p>', '<p>a <span class="alert">{}</span></p>'],
+)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", '<div class="layout no-sidebar">{}</div>', '<div class="has-cookie-banner">{}</div>', '<div class="sidebar"><main>{}</main></div>', '<div id="overlay-page" class="widget">{}</div>'])
+def test_ordinary_words_and_wrappers_drop_no_text(region, wrap):
+    text = f"<p>{LONG}</p>{region.format('Kept words.')}<p>{LONG}</p>"
+    got = htmltext.extract(page('<div class="cookie-bar">Cookies!</div>' + wrap.format(text) + f'<div class="sidebar">{LONG}</div>'))
+    assert got.count(LONG.strip()) == 2 and "Kept words." in got and "Cookies" not in got
+
+
 def test_core_is_the_heaviest_run_between_surge_and_dive():
     lengths = np.array([90, 0, 0, 0, 0, 200, 5, 300, 0, 0, 0, 0, 100], float)
     a, b = htmltext.core(lengths)
