@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block of the page, in page order. Regi
 (scripts, menus, forms, adverts, comments and the like) become lines without text. The sums of text
 lengths over sliding windows of lines surge where the article begins and dive where it ends; the run with
 most text between a surge and a dive is the article's core. Where the page marks an article element, only
-its lines count, and short lines at its edges stay with the core; otherwise the text between is kept.
+its lines count, and short lines at its edges stay with the core; otherwise the text of every run that
+surges is kept, unless most of it is links.
 """
 
 from __future__ import annotations
@@ -209,18 +210,18 @@ def _lines(page: str, spared: set[int], by_marks: bool) -> tuple[list[Line], dic
     return out, regions
 
 
-def core(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """The run [a, b) of lines with most text between a surge and a dive of the window sums.
+def runs(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The runs [a, b) of lines between a surge and a dive of the window sums, in page order.
 
     A surge is a window with `surge` characters or more (or the largest sum, if no window has so many);
     the run goes on both ways until a window without text.
     """
     n = len(lengths)
     if not n or not lengths.any():
-        return 0, 0
+        return []
     padded = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(window // 2), lengths, np.zeros(window)]))])
     sums = (padded[window:] - padded[:-window])[:n]  # around each line
-    best, out, i = -1.0, (0, 0), 0
+    out, i = [], 0
     least = min(surge, float(sums.max()))
     while i < n:
         if sums[i] <= 0:
@@ -229,12 +230,17 @@ def core(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple
         j = i
         while j < n and sums[j] > 0:
             j += 1
-        if sums[i:j].max() >= least and (total := float(lengths[i:j].sum())) > best:
-            best, out = total, (i, j)
+        if sums[i:j].max() >= least:
+            out.append((i, j))
         i = j
     return out
 
 
+def core(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """The run of lines with most text; the first of equal ones."""
+    return max(runs(lengths, window, surge), key=lambda r: float(lengths[r[0] : r[1]].sum()), default=(0, 0))
+
+
 def extract(page: str | None) -> str:
     """Main text of a page: its blocks, white space collapsed, joined by empty lines; "" if none or null."""
     if not page:
@@ -244,8 +250,8 @@ def extract(page: str | None) -> str:
     lengths = np.array([0 if marked and not x.article else x.length for x in found], float)
     if marked and not lengths.any():
         lengths = np.array([len(x.text) if x.article else 0 for x in found], float)
-    a, b = core(lengths)
     if marked:
+        a, b = core(lengths)
         # the article element that holds most of the core, whole
         weight: dict[int, float] = {}
         for x, n in zip(found[a:b], lengths[a:b], strict=True):
@@ -256,13 +262,19 @@ def extract(page: str | None) -> str:
         # articles nested in it are numbered later and lie between its lines
         kept = [x for x in found[own[0] : own[-1] + 1] if x.article >= top and x.text]
     else:
-        while a > 0 and found[a - 1].text and found[a - 1].heading:
-            a -= 1
-        kept = [x for x in found[a:b] if x.text]
-        while kept and not kept[0].length and not kept[0].heading:
-            kept.pop(0)
-        while kept and not kept[-1].length:
-            kept.pop()
+        kept, last, heaviest = [], 0, core(lengths)
+        for a, b in runs(lengths):
+            if (a, b) != heaviest and 2 * lengths[a:b].sum() < sum(len(x.text) for x in found[a:b]):
+                continue  # mostly links
+            while a > last and found[a - 1].text and found[a - 1].heading:
+                a -= 1
+            run = [x for x in found[a:b] if x.text]
+            while run and not run[0].length and not run[0].heading:
+                run.pop(0)
+            while run and not run[-1].length:
+                run.pop()
+            kept += run
+            last = b
     return "\n\n".join(x.text for x in kept)
 
 

@@ -71,6 +71,15 @@ def test_ordinary_words_and_wrappers_drop_no_text(region, wrap):
     assert got.count(LONG.strip()) == 2 and "Kept words." in got and "Cookies" not in got
 
 
+@pytest.mark.parametrize("gap", ['<div class="ad">x</div>' * 3, '<ul><li><a href="/a">One</a><li><a href="/b">Two</a><li><a href="/c">Three</a><li><a href="/d">Four</a></ul>', '<div class="ad">x</div>' * 5 + "<h2>Next</h2>"])
+def test_text_on_both_sides_of_a_gap_stays(gap):
+    parts = [f"Part {k}. {LONG}".strip() for k in range(4)]
+    body = f"<div><p>{parts[0]}</p>{gap}<p>{parts[1]}</p><p>{parts[2]}</p>{gap}<p>{parts[3]}</p></div>"
+    got = htmltext.extract(page(body)).split("\n\n")
+    assert [x for x in got if x.startswith("Part")] == parts and "x" not in got
+    assert got.count("Next") == 2 * ("Next" in gap)
+
+
 def test_core_is_the_heaviest_run_between_surge_and_dive():
     lengths = np.array([90, 0, 0, 0, 0, 200, 5, 300, 0, 0, 0, 0, 100], float)
     a, b = htmltext.core(lengths)
