@@ -29,7 +29,7 @@ def _fold(n: int):
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return tokenfile.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,13 +128,16 @@ class TokenFile:
 
 
 @lru_cache(maxsize=2)
-def _store(tokenizer_path: str) -> tuple[UnitStore, int]:
+def _store(tokenizer_path: str, added_tokens: bool) -> tuple[UnitStore, int]:
     """The encoder of a tokenizer file, made once per Python worker, and its vocabulary's size."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
+    own.encode_special_tokens = not added_tokens
+    added = own.get_added_tokens_decoder().values() if added_tokens else ()
+    if any(x.lstrip or x.rstrip or x.single_word or (x.normalized and own.normalizer is not None) for x in added):
+        raise ValueError("an added token that depends on the text around it cannot be a unit")
 
     def encode(units: list[bytes]) -> list[list[int]]:
         out = []
@@ -142,23 +145,25 @@ def _store(tokenizer_path: str) -> tuple[UnitStore, int]:
             out += [e.ids for e in own.encode_batch_fast([u.decode("utf-8") for u in units[k : k + 4096]], add_special_tokens=False)]
         return out
 
-    return UnitStore(encode), own.get_vocab_size()
+    return UnitStore(encode, whole=[x.content.encode() for x in added]), own.get_vocab_size()
 
 
 INDEX = "shard int, path string, doc_id long, offset long, n_tokens long"
 
 
-def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_len: int = SEQ_LEN, rows_per_batch: int = ROWS_PER_BATCH, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_len: int = SEQ_LEN, rows_per_batch: int = ROWS_PER_BATCH, end_id: int = END_ID, key: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode whole texts and write them below `folder`, ascending by key over all shards.
 
     Returns the plan of the index; running it writes the files, so materialise it once. Each attempt of a
     task writes a file of its own name and only rows of attempts that were committed name their files, so
     lost executors and repeated tasks do no harm. A null text is empty (only its end id is written). Rows with
-    a null key come first; rows with equal keys are ordered by text. No rows give an empty index.
+    a null key come first; rows with equal keys are ordered by text. No rows give an empty index. With added_tokens
+    the strings of the tokenizer's added tokens in a text get their own ids, as the library does unless it
+    is told otherwise; without, they are ordinary text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, vocabulary), writer = _store(tokenizer_path), None
+        (store, vocabulary), writer = _store(tokenizer_path, added_tokens), None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:

@@ -15,6 +15,7 @@ compared by their bytes, never by hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -59,11 +60,26 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
+def occurrences(data: np.ndarray, offsets: np.ndarray, strings: re.Pattern[bytes]) -> np.ndarray:
+    """[start, end) of every match inside one text, in order."""
+    if strings.search(data) is None:
+        return np.empty((0, 2), np.int64)
+    found = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found += [(a + m.start(), a + m.end()) for m in strings.finditer(data[a:b])]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 class UnitStore:
-    """Ids of units seen before, at most `limit` of them, else only those of the last batch."""
+    """Ids of units seen before, at most `limit` of them, else only those of the last batch.
+
+    Occurrences of `whole` strings (the longest at a place) are units of their own, and what is between them
+    is cut like texts of their own.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], limit: int = 300_000, whole: Sequence[bytes] = ()):
         self.encode, self.limit = encode, limit
+        self.whole = re.compile(b"|".join(re.escape(x) for x in sorted(whole, key=len, reverse=True))) if whole else None
         self._set(pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def _set(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
@@ -87,7 +103,13 @@ class UnitStore:
         """Ids of all texts one after the other, and the n + 1 offsets of the texts in them."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = cut(data, offsets)
+        kept = occurrences(data, offsets, self.whole) if self.whole else ()
+        if len(kept):
+            starts = cut(data, np.unique(np.concatenate([offsets, kept.ravel()])))
+            at = np.searchsorted(kept[:, 0], starts, "left") - 1  # the last occurrence that begins before
+            starts = starts[(at < 0) | (starts >= kept[at, 1])]
+        else:
+            starts = cut(data, offsets)
         coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
         wanted = coded.dictionary
         places = self._places(wanted)

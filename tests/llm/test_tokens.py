@@ -108,6 +108,19 @@ def test_files_read_back(spark, seq_len, rows_per_batch):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got.collect()) == [(s, k, n, c) for k, s, n, c in expected_files(rows)]
 
 
+def test_added_tokens_get_the_ids_of_the_unmodified_library():
+    library = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    texts = [*ODD, f"a {end} b", f"a  {end}  b", f"{end}{end}", f"x{end}", f"{end}y\n{end}\nz", f"a\n {end}'s", "<|endoftext|", "|>", end[:5], end[5:], f"<|end{end}oftext|>", f"don'{end}t"]
+    store, _ = tokenfile._store(JSON, True)
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, ends = store.encode_texts(np.frombuffer(data, np.uint8), offsets)
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[len(ODD)]
+
+
 def test_no_rows_give_no_files(spark):
     assert tokenfile.round_trip(spark, table(spark, []), JSON, shards=2).collect() == []
 
