@@ -44,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that their tokens have the target shares of source, language and topic."""
-    rows = _whole(docs, "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"))
-    return mixing.mix(rows, TARGETS, weight=F.col("tokens")).where("taken").select("__row.*")
+    rows = _whole(docs, "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"), F.xxhash64("text").alias("digest"))
+    return mixing.mix(rows, TARGETS, weight=F.col("tokens"), digest=F.col("digest")).where("taken").select("__row.*")
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"))
-    return mixing.mix(rows, TARGETS, weight=F.col("tokens"))
+    rows = docs.select("doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"), F.xxhash64("text").alias("digest"))
+    return mixing.mix(rows, TARGETS, weight=F.col("tokens"), digest=F.col("digest")).drop("digest")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,16 @@ def test_sample_has_the_target_shares(spark):
     assert (taken["w"][taken["source"] == "s0"].sum() / taken["w"].sum()) == pytest.approx(0.6, abs=0.04)
 
 
+@pytest.mark.parametrize("copies", [False, True])
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_id_are_drawn_one_by_one(spark, key, copies):
+    rows = [(key, "same" if copies else f"t{i}", "a" if i < 1000 else "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, {"source": {"a": 0.5, "b": 0.5}}).toPandas()
+    assert len(out) == 3000
+    assert out["taken"][out["source"] == "a"].all() and out["taken"][out["source"] == "b"].mean() == pytest.approx(0.5, abs=0.05)
+
+
 def test_tempered_power_one_takes_all(spark):
     df = spark.createDataFrame([(i, "a b c", f"s{i % 5}") for i in range(50)], "doc_id long, text string, source string")
     out = mixing.mix(df, {"source": mixing.Tempered(("s0", "s1"), 1.0)}).collect()
