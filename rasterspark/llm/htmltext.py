@@ -1,11 +1,13 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page, in page order. Regions that never hold an article
-(scripts, menus, forms, adverts, comments and the like) become lines without text. The sums of text
-lengths over sliding windows of lines surge where the article begins and dive where it ends; the run with
-most text between a surge and a dive is the article's core. Where the page marks an article element, only
-its lines count, and short lines at its edges stay with the core; otherwise the text of every run that
-surges is kept, unless most of it is links.
+Markup is stripped to lines, one for each block of the page, in page order. Names of elements and classes only
+describe a line: it may lie in a suspect region (menu, form, advert, comments and the like) and in an article element.
+The sums of text lengths over sliding windows of lines surge where a text begins and dive where it ends; the run
+with most text between a surge and a dive is the article's core. A suspect region is left out if the core lies
+outside it: one that holds most of the page's text, a heavier article element, or the only text that
+surges, is a wrapper and its lines count like others. Where article elements hold the core, the one with most of
+it is kept whole, short lines at its edges too; otherwise the text of every run that surges is kept, unless most
+of it is links. Reading a page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ SURGE = 80  # characters in a window where a text begins
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr td th".split())
-DROPPED = frozenset("nav footer aside form menu dialog button fieldset".split())
+# Elements that hold no article, and those that may be wrapped around one.
+DROPPED = frozenset("nav footer aside menu dialog button".split())
+FORMS = frozenset("form fieldset".split())
 _SIBLINGS = frozenset("li tr dt dd option".split())
 _SCOPES = frozenset("ul ol table dl div section article main blockquote".split())
 ARTICLE = frozenset("article main".split())
@@ -44,8 +48,6 @@ ORDINARY = frozenset("alert aside banner comment copyright discussion login menu
 # Regions that may hold more text than the article does.
 _LONG = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _NO_ARTICLE = frozenset("comment comments ad ads advert sponsored promo related".split())
-PASSES = 8  # readings of a page whose marked regions turn out to wrap its text; the last one ignores marks
-
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/)?(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)|<[!?/][^>]*+(?:>|$)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?=[\s=/>]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
@@ -60,10 +62,26 @@ class Line:
     length: int  # characters outside links
     article: int
     heading: bool
+    region: int  # the innermost suspect region, 0 for none
+
+
+@dataclass(slots=True)
+class Region:
+    """A suspect part of a page, inside region `parent`; `hard` ones hold no article whatever is in them."""
 
+    parent: int
+    hard: bool
+    long: bool  # may have more text than the article (comments)
+    holds: bool = False  # an article element, not through a hard region
+    chars: int = 0  # outside links, with all regions in it
+    kept: bool = False
 
-def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
-    """Marks by class, id and role; whether the element is hidden; whether it is an article's body."""
+
+def _marks(attrs: str, by_head: bool) -> tuple[frozenset[str], bool, bool]:
+    """Marks by class, id and role; whether the element is hidden; whether it is an article's body.
+
+    A name marks as a whole or, `by_head`, by its first word.
+    """
     words, hidden, body = set(), False, False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -80,7 +98,7 @@ def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
                 whole, first = token.lower(), _WORD.search(token)
                 if whole in MARKS and (name != "id" or whole not in ORDINARY):
                     words.add(whole)
-                elif first and (head := first[0].lower()) in MARKS and head not in ORDINARY and first.start() == 0:
+                elif by_head and first and (head := first[0].lower()) in MARKS and head not in ORDINARY and first.start() == 0:
                     words.add(head)
                 elif whole == "header":
                     words.add(whole)
@@ -88,53 +106,66 @@ def _marks(attrs: str) -> tuple[frozenset[str], bool, bool]:
     return frozenset(words), hidden, body
 
 
-def lines(page: str) -> list[Line]:
-    """The blocks of a page; a dropped region counts as one line without text.
-
-    A region dropped for a mark is read again as content if it holds an article element, or most of the
-    page's text (comments may).
-    """
-    spared: set[int] = set()
-    for left in range(PASSES - 1, -1, -1):
-        out, regions = _lines(page, spared, bool(left))
-        whole = sum(len(x.text) for x in out) + sum(chars for chars, _, _ in regions.values())
-        wraps = {at for at, (chars, holds, long) in regions.items() if holds or (2 * chars > whole and not long)}
-        if not wraps:
-            break
-        spared |= wraps
-    return out
-
-
-def _lines(page: str, spared: set[int], by_marks: bool) -> tuple[list[Line], dict[int, list]]:
-    """The blocks, and of every region dropped for a mark by its place: characters, holds an article, may be long."""
+class _Open:
+    """The open elements of a page. Each scope counts what is open in it, so that no search walks the stack in vain."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = []  # name, article, region
+        self.count: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    def push(self, name: str, article: int, region: int) -> None:
+        self.stack.append((name, article, region))
+        self.count[name] = self.count.get(name, 0) + 1
+        if name in _SCOPES:
+            self.scopes.append({})
+        elif name == "p" or name in _SIBLINGS:
+            self.scopes[-1][name] = self.scopes[-1].get(name, 0) + 1
+
+    def close(self, names: tuple[str, ...]) -> tuple[int, int]:
+        """Close elements up to the innermost one of these names; article and region of what is left open."""
+        while True:
+            name, _, _ = self.stack.pop()
+            self.count[name] -= 1
+            if name in _SCOPES:
+                self.scopes.pop()
+            elif name in self.scopes[-1]:
+                self.scopes[-1][name] -= 1
+            if name in names:
+                return self.stack[-1][1:] if self.stack else (0, 0)
+
+    def ended_by(self, name: str) -> tuple[str, ...]:
+        """What the start of a block ends in its scope: an open paragraph; a list item, row or term also one of its kind."""
+        own = self.scopes[-1]
+        return tuple(x for x in (("p", name) if name in _SIBLINGS else ("p",)) if own.get(x))
+
+
+def lines(page: str) -> tuple[list[Line], list[Region]]:
+    """The blocks of a page, and its suspect regions (the first one stands for none); a region begins with a line without text."""
     out: list[Line] = []
-    regions: dict[int, list] = {}
-    region = None  # of the text being read
-    stack: list[tuple[str, bool, int, int | None]] = []  # name, dropped, article, region
+    regions = [Region(0, False, False, kept=True)]
+    open_ = _Open()
     pieces: list[str] = []
     linked: list[str] = []
-    dropped, article, articles, links, heading = False, 0, 0, 0, False
+    article = articles = region = links = 0
+    heading = False
 
     def flush() -> None:
         nonlocal heading
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Line(text, max(0, len(text) - len(" ".join("".join(linked).split()))), article, heading))
+                out.append(Line(text, max(0, len(text) - len(" ".join("".join(linked).split()))), article, heading, region))
             pieces.clear()
             linked.clear()
         heading = False
 
     def add(text: str) -> None:
-        if dropped and region is not None and text:
-            regions[region][0] += len(" ".join(text.split()))
-        if dropped or not text:
-            return
-        if "&" in text:
-            text = html.unescape(text)
-        pieces.append(text)
-        if links:
-            linked.append(text)
+        if text:
+            text = html.unescape(text) if "&" in text else text
+            pieces.append(text)
+            if links:
+                linked.append(text)
 
     at, size = 0, len(page)
     while at < size:
@@ -148,18 +179,18 @@ def _lines(page: str, spared: set[int], by_marks: bool) -> tuple[list[Line], dic
         if name is None:
             continue
         name = name.lower()
-        closing = found["close"] or found["close2"]
-        if closing:
+        if found["close"] or found["close2"]:
             if name == "a":
                 links = max(0, links - 1)
             if name not in INLINE:
                 flush()
             elif name in ("td", "th"):
                 add(" ")
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-                _, dropped, article, region = stack[-1] if stack else ("", False, 0, None)
+            if open_.count.get(name):
+                left = open_.close((name,))
+                if left != (article, region):
+                    flush()
+                article, region = left
             continue
         if name in RAW:
             flush()
@@ -175,41 +206,78 @@ def _lines(page: str, spared: set[int], by_marks: bool) -> tuple[list[Line], dic
         else:
             flush()
             links = 0
-            # a block start ends an open paragraph; a list item, row or term also one of its kind
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or (stack[k][0] == name and name in _SIBLINGS)), None)
-            if depth is not None and not any(x[0] in _SCOPES for x in stack[depth + 1 :]):
-                del stack[depth:]
-                _, dropped, article, region = stack[-1] if stack else ("", False, 0, None)
+            if ended := open_.ended_by(name):
+                article, region = open_.close(ended)
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in VOID:
             continue
-        drop, inside, within = dropped, article, region
-        if name not in ("html", "body") and (not drop or region is not None):
-            words, hidden, body = _marks(found["attrs"] or found["attrs2"] or "")
+        inside, within = article, region
+        if name not in ("html", "body"):
+            words, hidden, body = _marks(found["attrs"] or found["attrs2"] or "", name not in ARTICLE)
             marks = words & (MARKS if name not in ARTICLE else _NO_ARTICLE) if name in CONTAINERS else frozenset()
             header = name in CONTAINERS and (name == "header" or "header" in words) and not inside and name not in ARTICLE
-            gone = hidden or name in DROPPED
-            marked = by_marks and (bool(marks) or header) and at not in spared
-            if drop:
-                if gone or marks:
-                    within = None  # counts for no region
-                elif name in ARTICLE or body:
-                    regions[region][1] = True
-            elif gone or marked:
-                drop = True
-                out.append(Line("", 0, inside, False))
-                if not gone:
-                    within = at
-                    regions[at] = [0, False, bool(marks & _LONG)]
+            hard = hidden or name in DROPPED
+            if hard or marks or header or name in FORMS:
+                flush()
+                within = len(regions)
+                regions.append(Region(region, hard, bool(marks & _LONG)))
+                out.append(Line("", 0, inside, False, within))
             elif name in ARTICLE or body:
                 articles += 1
                 inside = articles
-        stack.append((name, drop, inside, within))
-        dropped, article, region = drop, inside, within
+                regions[region].holds = True
+        open_.push(name, inside, within)
+        article, region = inside, within
     flush()
     return out, regions
 
 
+def lengths_of(found: list[Line], regions: list[Region]) -> np.ndarray:
+    """Characters outside links of each line, 0 in regions that are not kept."""
+    return np.array([x.length if regions[x.region].kept else 0 for x in found], float)
+
+
+def spare(found: list[Line], regions: list[Region]) -> None:
+    """Mark the suspect regions that are wrapped around the text as kept.
+
+    Parents come before what is in them, so each rule is one walk over the regions.
+    """
+    in_articles = [0] * len(regions)
+    for x in found:
+        regions[x.region].chars += x.length
+        if x.article:
+            in_articles[x.region] += x.length
+    for k in range(len(regions) - 1, 0, -1):
+        r = regions[k]
+        regions[r.parent].chars += r.chars
+        in_articles[r.parent] += in_articles[k]
+        regions[r.parent].holds |= r.holds and not r.hard
+    whole = regions[0].chars
+    for r in regions[1:]:
+        r.kept = regions[r.parent].kept and not r.hard and not r.long and 2 * r.chars > whole
+    lengths = lengths_of(found, regions)
+    a, b = core(lengths)
+    heaviest = lengths[a:b].sum()
+    for k, r in enumerate(regions[1:], 1):
+        r.kept = r.kept or (regions[r.parent].kept and not r.hard and r.holds and in_articles[k] >= heaviest)
+    lengths = lengths_of(found, regions)
+    if len(runs(lengths)) and _sums(lengths, WINDOW).max() >= SURGE:
+        return
+    # nothing surges: the heaviest region with a text that does, comments last, and what fills most of it
+    left = [r for r in regions[1:] if regions[r.parent].kept and not r.kept and not r.hard and r.chars >= SURGE]
+    if left:
+        top = max(left, key=lambda r: (not r.long, r.chars))
+        top.kept = True
+        for r in regions[1:]:
+            r.kept = r.kept or (regions[r.parent].kept and not r.hard and not r.long and 2 * r.chars > top.chars)
+
+
+def _sums(lengths: np.ndarray, window: int) -> np.ndarray:
+    """The sum of the window around each line."""
+    padded = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(window // 2), lengths, np.zeros(window)]))])
+    return (padded[window:] - padded[:-window])[: len(lengths)]
+
+
 def runs(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """The runs [a, b) of lines between a surge and a dive of the window sums, in page order.
 
@@ -219,8 +287,7 @@ def runs(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[
     n = len(lengths)
     if not n or not lengths.any():
         return []
-    padded = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(window // 2), lengths, np.zeros(window)]))])
-    sums = (padded[window:] - padded[:-window])[:n]  # around each line
+    sums = _sums(lengths, window)
     out, i = [], 0
     least = min(surge, float(sums.max()))
     while i < n:
@@ -241,23 +308,38 @@ def core(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> tuple
     return max(runs(lengths, window, surge), key=lambda r: float(lengths[r[0] : r[1]].sum()), default=(0, 0))
 
 
+def _article(found: list[Line], lengths: np.ndarray) -> int:
+    """The article element that holds most of the core, 0 if there is none.
+
+    Several elements without a surge (teasers) are none where the text outside them surges.
+    """
+    inside = np.array([x.article for x in found])
+    if not any(x.article and x.text for x in found):
+        return 0
+    own = np.where(inside > 0, lengths, 0)
+    if len(np.unique(inside[inside > 0])) > 1 and _sums(own, WINDOW).max() < SURGE <= _sums(np.where(inside > 0, 0, lengths), WINDOW).max():
+        return 0
+    if not own.any():
+        own = np.array([len(x.text) if x.article else 0 for x in found], float)
+    a, b = core(own)
+    weight: dict[int, float] = {}
+    for k in range(a, b):
+        if inside[k]:
+            weight[inside[k]] = weight.get(inside[k], 0) + own[k]
+    return int(max(weight, key=lambda k: (weight[k], -k)))
+
+
 def extract(page: str | None) -> str:
     """Main text of a page: its blocks, white space collapsed, joined by empty lines; "" if none or null."""
     if not page:
         return ""
-    found = lines(page)
-    marked = any(x.article and x.text for x in found)
-    lengths = np.array([0 if marked and not x.article else x.length for x in found], float)
-    if marked and not lengths.any():
-        lengths = np.array([len(x.text) if x.article else 0 for x in found], float)
-    if marked:
-        a, b = core(lengths)
-        # the article element that holds most of the core, whole
-        weight: dict[int, float] = {}
-        for x, n in zip(found[a:b], lengths[a:b], strict=True):
-            weight[x.article] = weight.get(x.article, 0) + n
-        weight.pop(0, None)
-        top = max(weight, key=lambda k: (weight[k], -k))
+    found, regions = lines(page)
+    spare(found, regions)
+    for x in found:
+        if not regions[x.region].kept:
+            x.text, x.length = "", 0
+    lengths = np.array([x.length for x in found], float)
+    if top := _article(found, lengths):
         own = [k for k, x in enumerate(found) if x.article == top]
         # articles nested in it are numbered later and lie between its lines
         kept = [x for x in found[own[0] : own[-1] + 1] if x.article >= top and x.text]

@@ -97,3 +97,54 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t", 5), (None, None, None, None, None), (1, "u", "<p>x", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltext.extract_pages(df).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
     assert htmltext.extract_pages(df.limit(0)).collect() == []
+
+
+WRAPPERS = ['<form id="aspnetForm">{}</form>', '<div id="page" class="no-sidebar">{}</div>', '<div class="wrapper has-sidebar">{}</div>', '<div class="search-page">{}</div>', '<div class="comments-enabled">{}</div>', '<div class="banner-layout">{}</div>', '<fieldset><form><div class="ad-free">{}</div></form></fieldset>']
+
+
+@pytest.mark.parametrize("wrap", [*WRAPPERS, "{}"])
+@pytest.mark.parametrize("body", ["<article>{}</article>", '<article class="post comments-open social">{}</article>', "<div>{}</div>"])
+def test_wrapping_forms_and_classes_keep_the_article(wrap, body):
+    text = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    got = htmltext.extract(page("<nav><a href='/'>Home</a></nav>" + wrap.format(body.format(text) + f'<div class="comments"><p>{LONG * 9}</p></div>') + f"<footer>{LONG}</footer>"))
+    assert got.split("\n\n") == ["Title", LONG.strip(), "Short.", LONG.strip()]
+
+
+def test_small_forms_and_notices_outside_the_core_go():
+    form = f'<form action="/subscribe"><p>{LONG}</p></form>'
+    for body in ("<article>{}</article>", "<div>{}</div>"):
+        got = htmltext.extract(page(form + body.format(f"<p>{LONG * 2}</p>{form}<p>{LONG * 2}</p>") + f'<div class="cookie-consent">{LONG}</div>'))
+        assert got.split("\n\n") == [(LONG * 2).strip()] * 2
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div>Welcome here</div><p><a href='/1'>one</a></p><p><a href='/2'>two</a></p><p><a href='/3'>three</a></p><p>{LONG}</p>",
+        f"<article><p>First. {LONG}</p></article><article><p>Second. {LONG}</p><p>{LONG}</p></article>",
+        f"<article>teaser a</article><article>teaser b</article><nav>x</nav><nav>y</nav><nav>z</nav><p>{LONG}</p><p>{LONG}</p>",
+    ],
+)
+def test_windows_decide(monkeypatch, body):
+    got = htmltext.extract(page(body))
+    assert LONG.strip() in got and "Welcome" not in got and "First" not in got and "teaser" not in got
+    monkeypatch.setattr(htmltext, "runs", lambda lengths, *_: [(0, len(lengths))] if len(lengths) else [])
+    monkeypatch.setattr(htmltext, "core", lambda lengths, *_: (0, len(lengths)))
+    monkeypatch.setattr(htmltext, "WINDOW", 10**6)
+    monkeypatch.setattr(htmltext, "_article", lambda found, lengths: min((x.article for x in found if x.article), default=0))
+    assert htmltext.extract(page(body)) != got
+
+
+@pytest.mark.parametrize("kind", ["<div>", "<b>", "<p><b>", "<div class='ad'>", "<ul><li>", "<table><tr><td>", "<form>", "</div>", "<article>", "<a href='x'>", "<p title='", "<div class=sidebar><p>x"])
+def test_reading_is_linear_in_the_page(kind):
+    import time
+
+    began = time.perf_counter()
+    htmltext.extract(kind * 100_000 + f"<p>{LONG}</p>" + "<p>a</p></span></i>" * 20_000)
+    assert time.perf_counter() - began < 15
+
+
+def test_hot_regions_and_long_texts_are_whole():
+    text = "x" * 3_000_000
+    assert htmltext.extract(f"<form><p>{text}</p></form>") == text
+    assert htmltext.extract("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>").count(LONG.strip()) == 5000
