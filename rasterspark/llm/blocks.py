@@ -2,7 +2,8 @@
 
 Vectors become fixed-width rows of blocks, each block one binary value; a pair of a query block and a
 candidate block meets by an equal tile key in one task. A tile holds a bounded number of vectors, so no
-task gathers an unbounded group, and blocks are dealt by a hash of the id, so copies of one vector spread.
+task gathers an unbounded group, and blocks are dealt by a hash of the row, so copies of one vector and rows
+of one id spread. Only vectors of one length meet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from rasterspark.session import Scratch
 
 BLOCK_ROWS = 2048
-FOUND = "query_id long, vec_id long, score {kind}"
+FOUND = "query_row long, query_id long, vec_id long, score {kind}"
+PARTS = ("rows", "own", "ids", "vectors", "more")
 
 
 def usable(vector: str) -> Column:
@@ -28,79 +30,95 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad
 
 
-def pack(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, n, ids binary, vectors binary) from (vec_id, vector array<double>), ordered by id.
+def numbered(scratch: Scratch, rows: DataFrame, repeats: bool) -> DataFrame:
+    """(row, own, vec_id, vector, dims) from (vec_id, vector), written once so that row numbers stay.
 
-    Components are stored as float64. Rows of one block come together by a hash of their id.
+    `own` is equal for a query and what is no candidate of it: its own row if rows may repeat; else equal rows
+    become one, and no row of the query's id is a candidate.
     """
+    rows = (rows if repeats else rows.distinct()).withColumn("row", F.monotonically_increasing_id())
+    own = F.col("row" if repeats else "vec_id")
+    return scratch.table(rows.select("row", own.alias("own"), "vec_id", "vector", F.size("vector").alias("dims")), "vectors")
 
-    def gather(frame):
-        import pandas as pd
 
-        frame = frame.sort_values("vec_id", kind="stable")
-        ids = frame["vec_id"].to_numpy(np.int64)
-        data = np.array(frame["vector"].tolist(), np.float64)
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "n": [len(ids)], "ids": [ids.tobytes()], "vectors": [data.tobytes()]})
+def pack(rows: DataFrame, n_blocks: int, more: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(dims, block, rows, own, ids, vectors, more), all but the first two binary, from what `numbered` gives.
 
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), "vec_id", "vector")
-    return dealt.groupBy("block").applyInPandas(gather, "block int, n int, ids binary, vectors binary")
+    Components are stored as float64, in the order of ids; `more` adds what a tile needs of the whole block, made once.
+    """
+
+    def gather(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        dims = key[0].as_py()
+        data = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        parts = [*(group[n].to_numpy() for n in ("row", "own", "vec_id")), data, more(data) if more else np.empty(0)]
+        return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(PARTS, parts, strict=True)}})
+
+    dealt = rows.select("dims", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"), "row", "own", "vec_id", "vector")
+    return dealt.groupBy("dims", "block").applyInArrow(gather, "dims int, block int, " + ", ".join(f"{n} binary" for n in PARTS))
 
 
-def search(scratch: Scratch, queries: DataFrame, candidates: DataFrame, tile: Callable, k: int, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k best of (query_id, rank, vec_id, score) for each query, ties to smaller vec_id.
+def search(scratch: Scratch, queries: DataFrame, candidates: DataFrame, tile: Callable, k: int, kind: str, block_rows: int = BLOCK_ROWS, more: Callable | None = None) -> DataFrame:
+    """The k best of (query_id, rank, vec_id, score) for each query row, ties to smaller vec_id.
 
-    `tile(query ids, query vectors, candidate ids, candidate vectors, floors)` returns arrays of query ids, ids
-    and scores. It has at least the k best of the tile, but may leave out what is below its query's
-    floor, the k-th score that earlier tiles of the task have reached. All vectors must have one length.
+    queries and candidates: rows of `numbered`. `tile(query own, query vectors, candidate ids, candidate vectors, floors,
+    candidate own, what `more` made)` returns arrays of query places, ids and scores. It has at least the k best of the tile, but may leave out what is
+    below its query's floor, the k-th score that earlier tiles of the task have reached.
     """
     n_candidates, n_queries = (max(1, -(-df.count() // block_rows)) for df in (candidates, queries))
-    right = scratch.table(pack(candidates, n_candidates), "candidates")
+    right = scratch.table(pack(candidates, n_candidates, more), "candidates")
     left = scratch.table(pack(queries, n_queries), "queries")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.select(F.col("block").alias("q"), every(n_candidates).alias("c"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    right = right.select(F.col("block").alias("c"), every(n_queries).alias("q"), "ids", "vectors")
+    left = left.select("dims", F.col("block").alias("q"), every(n_candidates).alias("c"), *(F.col(x).alias(f"q_{x}") for x in PARTS[:-1]))
+    right = right.select("dims", F.col("block").alias("c"), every(n_queries).alias("q"), *PARTS[1:])
     typed = pa.int64() if kind == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, heaps = None, Heaps(k)
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != block:
+                at = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                if (now := (at["dims"].as_py(), at["q"].as_py())) != block:
                     yield from heaps.flush(typed)
-                    block = batch.column(0)[i].as_py()
-                q_ids, q, ids, c = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate((np.int64, np.float64, np.int64, np.float64), 1))
-                heaps.add(*tile(q_ids, q.reshape(len(q_ids), -1), ids, c.reshape(len(ids), -1), heaps.floors(q_ids)))
+                    block = now
+                whole = {n: np.frombuffer(at[n].as_buffer(), np.int64) for n in ("q_rows", "q_own", "q_ids", "own", "ids")}
+                q, c = (np.frombuffer(at[n].as_buffer(), np.float64).reshape(-1, now[0]) for n in ("q_vectors", "vectors"))
+                places, ids, scores = tile(whole["q_own"], q, whole["ids"], c, heaps.floors(whole["q_rows"]), whole["own"], at["more"].as_buffer())
+                heaps.add(whole["q_rows"], whole["q_ids"], places, ids, scores)
         yield from heaps.flush(typed)
 
-    tiles = left.join(right, ["q", "c"]).select("q", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, FOUND.format(kind=kind))
+    tiles = left.join(right, ["dims", "q", "c"]).drop("c").mapInArrow(run, FOUND.format(kind=kind))
     # row_number below k is also applied before the exchange, so a query sends k rows of each task at most
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return tiles.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 class Heaps:
-    """A heap of the k best hits for each query of the block at hand; the worst hit is on top."""
+    """A heap of the k best hits for each query row of the block at hand; the worst hit is on top."""
 
     def __init__(self, k: int):
-        self.k, self.of = k, {}
+        self.k = k
+        self.of: dict[int, tuple[int, list]] = {}  # by row: the query's id and its heap
 
-    def floors(self, q_ids: np.ndarray) -> np.ndarray:
-        """The k-th score so far of each query, minus infinity while it has fewer hits."""
-        return np.array([h[0][0] if len(h := self.of.get(i, ())) == self.k else -np.inf for i in q_ids.tolist()], float)
+    def floors(self, rows: np.ndarray) -> np.ndarray:
+        """The k-th score so far of each query row, minus infinity while it has fewer hits."""
+        held = (self.of.get(i, (0, ()))[1] for i in rows.tolist())
+        return np.array([h[0][0] if len(h) == self.k else -np.inf for h in held], float)
 
-    def add(self, q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q, i, s in zip(q_ids.tolist(), ids.tolist(), scores.tolist(), strict=True):
-            heap = self.of.setdefault(q, [])
+    def add(self, rows: np.ndarray, q_ids: np.ndarray, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        for q, i, s in zip(places.tolist(), ids.tolist(), scores.tolist(), strict=True):
+            _, heap = self.of.setdefault(int(rows[q]), (int(q_ids[q]), []))
             if len(heap) < self.k:
                 heappush(heap, (s, -i))
             elif (s, -i) > heap[0]:
                 heapreplace(heap, (s, -i))
 
     def flush(self, typed: pa.DataType) -> Iterator[pa.RecordBatch]:
-        hits = [(q, -i, s) for q, heap in self.of.items() for s, i in heap]
+        hits = [(row, q, -i, s) for row, (q, heap) in self.of.items() for s, i in heap]
         self.of = {}
         if hits:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), typed), strict=True)], names=["query_id", "vec_id", "score"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), typed)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), kinds, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

@@ -31,17 +31,29 @@ class Quantised:
         self.error = np.sqrt(((unit - self.codes * self.scale[:, None]) ** 2).sum(axis=1)) + 1e-12
 
 
+def _in_range(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring the largest component near 1, so that no square overflows; exact."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with the same row of b, in double precision.
+    """Cosine of each row of a with the same row of b, in double precision: x.y / sqrt(x.x * y.y).
 
-    Each sum depends on its own two rows only, so copies of a vector have equal scores.
+    Sums run over the components in their order and depend on the two rows only, so copies of a vector have equal scores.
     """
-    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    a, b = (np.ascontiguousarray(_in_range(x).T) for x in (a, b))
+    dot, aa, bb = np.zeros((3, a.shape[1]))
+    for x, y in zip(a, b, strict=True):
+        dot += x * y
+        aa += x * x
+        bb += y * y
+    return np.clip(dot / np.sqrt(aa * bb), -1.0, 1.0)
 
 
 def tile(k: int, step: int = 256):
-    def run(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray):
+    def run(q_own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray, own: np.ndarray | None = None, more=None):
+        own = ids if own is None else own
         left, right = Quantised(q), Quantised(c)
         # whole numbers below 2**24 in float32 are exact: an int8 product through the fast kernel
         wide = c.shape[1] * 127 * 127 < 1 << 24
@@ -53,7 +65,7 @@ def tile(k: int, step: int = 256):
             near = (left.codes[part].astype(kind) @ codes) * (left.scale[part, None] * right.scale[None, :])
             # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, with |y| = 1 and |x'| <= 1 + |x - x'|
             slack = left.error[part, None] + (1 + left.error[part, None]) * right.error[None, :]
-            near[q_ids[part, None] == ids[None, :]] = -np.inf
+            near[q_own[part, None] == own[None, :]] = -np.inf
             low = near - slack
             kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             kth = np.maximum(kth, floors[part])
@@ -63,7 +75,7 @@ def tile(k: int, step: int = 256):
             for r in range(len(near)):
                 a, b = edges[r], edges[r + 1]
                 best = a + blocks.best_of(ids[cols[a:b]], exact[a:b], k)
-                out_q.append(np.full(len(best), q_ids[s + r]))
+                out_q.append(np.full(len(best), s + r))
                 out_id.append(ids[cols[best]])
                 out_score.append(exact[best])
         return tuple(np.concatenate(x) for x in (out_q, out_id, out_score))
@@ -71,16 +83,27 @@ def tile(k: int, step: int = 256):
     return run
 
 
-def nearest(df: DataFrame, *, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest cosines of each query, nearest first.
+def nearest(df: DataFrame, *, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", block_rows: int = blocks.BLOCK_ROWS, repeats: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest cosines of each query row, nearest first.
 
-    Queries are the rows whose id is divisible by `every`, candidates all rows but those of the query's own
-    id; with fewer candidates all are returned. Equal scores go to the smaller id. Vectors that are null,
-    empty, zero or hold a null or non-finite component take no part, nor do rows with a null id.
-    Repeated rows count once. Vectors must have one length.
+    Queries are the rows whose id is divisible by `every`. With `repeats` every row but the query's own is a
+    candidate, rows of its id and equal rows included; without, equal rows count once and no row of the
+    query's id is a candidate. With fewer candidates all are returned. Equal scores go to the smaller id. Query rows of one id have k
+    rows each. Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
+    with a null id. Only vectors of one length meet. No rows give no rows; other columns are not looked at.
     """
     scratch = Scratch(df.sparkSession, "neighbours")
     some = F.exists(F.col(vector), lambda x: x != 0)
     rows = df.where(F.col(key).isNotNull() & blocks.usable(vector) & some).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = scratch.table(rows.distinct(), "vectors")
+    rows = blocks.numbered(scratch, rows, repeats)
     return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "double", block_rows)
+
+
+#: The same in SQL, by scoring every pair.
+ORACLE = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+"""

@@ -19,21 +19,26 @@ from rasterspark.session import Scratch
 STEP = 16
 
 
+def sorted_order(vectors: np.ndarray) -> np.ndarray:
+    """For each dimension the places of a block's vectors by rising component."""
+    return np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+
+
 class SortedLists:
-    """Candidates of one tile, sorted per dimension."""
+    """Candidates of one block, sorted per dimension; `order` may have been made before."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray | None = None, order: np.ndarray | None = None):
+        self.ids, self.vectors, self.own = ids, vectors, ids if own is None else own
+        self.order = sorted_order(vectors) if order is None else order
         self.values = np.take_along_axis(vectors, self.order, axis=0)
 
-    def top(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best candidates but the query's own id, and how many were scored.
+    def top(self, query_own: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best candidates but the query's own, and how many were scored.
 
         Candidates below `floor` may be left out.
         """
         n, dims = self.vectors.shape
-        own = self.ids == query_id
+        own = self.own == query_own
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = own.copy()
         at, scores = np.empty(0, np.int64), np.empty(0)
@@ -63,10 +68,11 @@ class SortedLists:
 
 
 def tile(k: int):
-    def run(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray):
-        lists = SortedLists(ids, c)
-        parts = [(i, *lists.top(i, v, k, f)[:2]) for i, v, f in zip(q_ids, q, floors, strict=True)]
-        return np.repeat(q_ids, [len(p[1]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
+    def run(q_own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray, own: np.ndarray | None = None, more=None):
+        order = np.frombuffer(more, np.int32).reshape(c.shape) if more is not None else None
+        lists = SortedLists(ids, c, own, order)
+        parts = [lists.top(o, v, k, f)[:2] for o, v, f in zip(q_own, q, floors, strict=True)]
+        return np.repeat(np.arange(len(q)), [len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
 
     return run
 
@@ -75,19 +81,30 @@ def quantised(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     """(vec_id, vector) of rows that take part, each component x as floor(factor * x), x as double.
 
     Null vectors, empty ones and those with a null or non-finite component take no part, nor do rows
-    with a null id. Repeated rows count once.
+    with a null id.
     """
     whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * factor).cast("double"))
-    return df.where(F.col(key).isNotNull() & blocks.usable(vector)).select(F.col(key).cast("long").alias("vec_id"), whole.alias("vector")).distinct()
+    return df.where(F.col(key).isNotNull() & blocks.usable(vector)).select(F.col(key).cast("long").alias("vec_id"), whole.alias("vector"))
 
 
-def top_k(df: DataFrame, *, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", factor: int = 1024, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest integer inner products of each query.
+def top_k(df: DataFrame, *, every: int = 100, k: int = 10, key: str = "vec_id", vector: str = "embedding", factor: int = 1024, block_rows: int = blocks.BLOCK_ROWS, repeats: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest integer inner products of each query row.
 
-    Queries are the rows whose id is divisible by `every`, candidates all rows but those of the query's own
-    id; with fewer candidates all are returned. Equal scores go to the smaller id. Vectors must have one
-    length; scores are exact while |score| < 2**53.
+    Queries are the rows whose id is divisible by `every`. With `repeats` every row but the query's own is a
+    candidate, rows of its id and equal rows included; without, equal rows count once and no row of the
+    query's id is a candidate. With fewer candidates all are returned. Equal scores go to the smaller id. Query rows of one id have k
+    rows each. Only vectors of one length meet; scores are exact while |score| < 2**53. No rows give no rows; other columns are not looked at.
     """
     scratch = Scratch(df.sparkSession, "threshold")
-    rows = scratch.table(quantised(df, key=key, vector=vector, factor=factor), "vectors")
-    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "long", block_rows)
+    rows = blocks.numbered(scratch, quantised(df, key=key, vector=vector, factor=factor), repeats)
+    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "long", block_rows, sorted_order)
+
+
+#: The same in SQL, by scoring every pair.
+ORACLE = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 10
+"""

@@ -110,3 +110,62 @@ def test_registered_queries_cover_the_table(spark):
     ints = {i: np.array(whole(np.float32(v)), np.int64) for i, v in known.items()}
     assert got == brute(ints, 100, 10, lambda a, b: int(a @ b))
     assert len(found(queries()["op8_neighbours"](spark, "/root/testdata/sf0.001"))) == sum(i % 50 == 0 for i in known)
+
+
+def by_rows(rows, every, k, score):
+    """For each query row the scores and ids of the k best other rows, as a sorted list over all query rows."""
+    out = []
+    for i, (q, u) in enumerate(rows):
+        if q % every == 0:
+            hits = sorted(((-score(u, v), c) for j, (c, v) in enumerate(rows) if j != i))[:k]
+            out.append((q, [(c, -s) for s, c in hits]))
+    return sorted(out, key=repr)
+
+
+def plain_cosine(a, b):
+    a, b = [float(x) for x in a], [float(x) for x in b]
+    dot = sum(x * y for x, y in zip(a, b, strict=True))
+    return round(dot / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 9)
+
+
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_every_row_is_a_query_and_a_candidate_of_its_own(spark, block_rows):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(60, 6)).astype(np.float32)
+    rows = [(i, data[i]) for i in range(60)] + [(0, data[7]), (0, data[0]), (0, data[0]), (20, data[3])] + [(21, data[50])] * 40
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1, 2, 3, "s") for i, v in rows], SCHEMA)
+    got = threshold.top_k(df, every=20, k=10, block_rows=block_rows, repeats=True).collect()
+    want = by_rows([(i, whole(v)) for i, v in rows], 20, 10, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
+    pairs = lambda q, hits: [(q, n + 1, c, s) for n, (c, s) in enumerate(hits)]
+    assert sorted(tuple(r) for r in got) == sorted(x for q, hits in want for x in pairs(q, hits))
+    got = neighbours.nearest(df, every=20, k=5, block_rows=block_rows, repeats=True).collect()
+    want = by_rows(rows, 20, 5, plain_cosine)
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(x for q, hits in want for x in pairs(q, hits))
+
+
+def test_vectors_of_different_length_do_not_meet(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0]), (100, [3.0]), (3, [1.0] * 5)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "s") for i, v in rows], SCHEMA)
+    assert found(threshold.top_k(df, factor=1, repeats=True)) == {0: [(1, 4)], 100: [(2, 3)]}
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(df, repeats=True).orderBy("query_id").collect()] == [(0, 1), (100, 2)]
+
+
+def test_registered_neighbours_equal_a_plain_scan(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    rows = list(zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist(), strict=True))
+    got = queries()["op8_neighbours"](spark, "/root/testdata/sf0.001").collect()
+    want = {q: hits for q, hits in by_rows(rows, 50, 5, plain_cosine)}
+    assert {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in got} == {(q, n + 1): hit for q, hits in want.items() for n, hit in enumerate(hits)}
+
+
+def test_cosines_are_those_of_plain_sums():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 200, 64))
+    for x, y, s in zip(a, b, neighbours.cosines(a, b), strict=True):
+        dot = xx = yy = 0.0
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            dot, xx, yy = dot + u * v, xx + u * u, yy + v * v
+        assert s == dot / np.sqrt(xx * yy)
+    assert neighbours.cosines(a[:1] * 1e200, b[:1] * 1e-200) == pytest.approx(neighbours.cosines(a[:1], b[:1]))
