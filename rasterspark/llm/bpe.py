@@ -134,10 +134,10 @@ class Codec:
         self.digits_of = pa.array([b"%d " % i for i in range(len(by_id))], pa.large_binary())
         self.store = UnitStore(self.encode_units)
 
-    def encode_units(self, units: list[bytes]) -> list[list[int]]:
+    def encode_units(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit; equal pre-tokens among them are resolved once."""
         find = self.pattern.findall
-        pieces = [find(u.decode("utf-8", "surrogateescape")) for u in units]
+        pieces = [find(u) for u in units]
         keys = {p: None for ps in pieces for p in ps}
         raw = [p.encode("utf-8", "surrogateescape") for p in keys]
         known: dict[str, list[int]] = {}

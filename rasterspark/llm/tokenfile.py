@@ -139,10 +139,10 @@ def _store(tokenizer_path: str, added_tokens: bool) -> tuple[UnitStore, int]:
     if any(x.lstrip or x.rstrip or x.single_word or (x.normalized and own.normalizer is not None) for x in added):
         raise ValueError("an added token that depends on the text around it cannot be a unit")
 
-    def encode(units: list[bytes]) -> list[list[int]]:
+    def encode(units: list[str]) -> list[list[int]]:
         out = []
         for k in range(0, len(units), 4096):
-            out += [e.ids for e in own.encode_batch_fast([u.decode("utf-8") for u in units[k : k + 4096]], add_special_tokens=False)]
+            out += [e.ids for e in own.encode_batch_fast(units[k : k + 4096], add_special_tokens=False)]
         return out
 
     return UnitStore(encode, whole=[x.content.encode() for x in added]), own.get_vocab_size()

@@ -9,18 +9,18 @@ two kinds of place, so a text may be cut there and each piece encoded alone:
   separate pre-tokens), but not after an apostrophe, which may open a contraction.
 
 Cuts are made only where single bytes prove the place; elsewhere a unit just gets longer. Equal units
-are encoded once per batch, and a bounded store keeps their ids from batch to batch. Units are
-compared by their bytes, never by hashes.
+are encoded once per batch, and a bounded store keeps the ids of those that come again. Units are
+compared by their characters, never by hashes alone. A cut never splits a character.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from rasterspark.llm.textbytes import binary_array, ragged
 
@@ -71,38 +71,78 @@ def occurrences(data: np.ndarray, offsets: np.ndarray, strings: re.Pattern[bytes
 
 
 class UnitStore:
-    """Ids of units seen before, at most `limit` of them, else only those of the last batch.
+    """Ids of units seen before, kept in two generations of at most half of `limit` units each.
 
-    Occurrences of `whole` strings (the longest at a place) are units of their own, and what is between them
-    is cut like texts of their own.
+    A unit found in the older generation moves to the younger; when that is full it becomes the older one, and
+    what was not met again is forgotten. Occurrences of `whole` strings (the longest at a place) are units of
+    their own, and what is between them is cut like texts of their own.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], limit: int = 300_000, whole: Sequence[bytes] = ()):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 600_000, whole: Sequence[bytes] = ()):
         self.encode, self.limit = encode, limit
         self.whole = re.compile(b"|".join(re.escape(x) for x in sorted(whole, key=len, reverse=True))) if whole else None
-        self._set(pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.zeros(1, np.int64))
-
-    def _set(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
-        self.keys, self.ids, self.offsets = keys, ids, offsets
-
-    def _places(self, wanted: pa.Array) -> np.ndarray:
-        """Where each wanted unit stands in the store, after encoding those not in it."""
-        at = pc.index_in(wanted, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False)
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.ids, self.offsets, self.used = np.empty(1024, np.uint32), np.zeros(1024, np.int64), 0
+
+    def __len__(self) -> int:
+        return len(self.young) + sum(u not in self.young for u in self.old)
+
+    def _append(self, made: Sequence[Sequence[int]]) -> None:
+        """Add the ids of new units to the arena, whose arrays grow by doubling."""
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
+        ends = self.offsets[self.used] + np.cumsum(lengths)
+        if self.used + len(made) >= len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros(max(len(self.offsets), len(made)), np.int64)])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[self.offsets[self.used] : ends[-1]] = flat
+        self.offsets[self.used + 1 : self.used + 1 + len(made)] = ends
+        self.used += len(made)
+
+    def _age(self) -> None:
+        """The younger generation becomes the older one; only its ids stay in the arena."""
+        if len(self.young) <= self.limit // 2:
+            return
+        kept = np.fromiter(self.young.values(), np.int64, len(self.young))
+        spans = self.offsets[kept + 1] - self.offsets[kept]
+        ids = self.ids[ragged(self.offsets[kept], spans)]
+        self.old, self.young = dict(zip(self.young, range(len(kept)), strict=True)), {}
+        self.ids, self.offsets, self.used = ids, np.concatenate([[0], np.cumsum(spans)]), len(kept)
+
+    def _places(self, wanted: list[str]) -> np.ndarray:
+        """Where each wanted unit stands in the arena, after encoding those not in it."""
+        young, old = self.young, self.old
+        at = np.fromiter(map(young.get, wanted, repeat(-1)), np.int64, len(wanted))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            fresh = wanted.take(pa.array(missing))
-            made = self.encode(fresh.to_pylist())
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((i for x in made for i in x), np.uint32, int(lengths.sum()))
-            at = at.copy()
-            at[missing] = len(self.keys) + np.arange(len(missing))
-            self._set(pa.concat_arrays([self.keys, fresh]), np.concatenate([self.ids, flat]), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)]))
+            again = [wanted[i] for i in missing.tolist()]
+            found = np.fromiter(map(old.get, again, repeat(-1)), np.int64, len(again))
+            fresh = [u for u, k in zip(again, found.tolist(), strict=True) if k < 0]
+            if fresh:
+                found[found < 0] = self.used + np.arange(len(fresh))
+                self._append(self.encode(fresh))
+            young.update(zip(again, found.tolist(), strict=True))
+            at[missing] = found
         return at
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the n + 1 offsets of the texts in them."""
-        if not len(data):
+        ids, begin, lengths, ends, starts = self._units(data, offsets)
+        if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        return ids[ragged(begin, lengths)], ends[np.searchsorted(starts, offsets)]
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of ids of each text."""
+        *_, ends, starts = self._units(data, offsets)
+        return np.diff(ends[np.searchsorted(starts, offsets)]) if len(starts) else np.zeros(len(offsets) - 1, np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The arena, where each unit's ids begin in it and how many they are, their running sum, and the units' starts."""
+        if not len(data):
+            return (*(np.empty(0, np.int64),) * 3, np.zeros(1, np.int64), np.empty(0, np.int64))
         kept = occurrences(data, offsets, self.whole) if self.whole else ()
         if len(kept):
             starts = cut(data, np.unique(np.concatenate([offsets, kept.ravel()])))
@@ -110,15 +150,10 @@ class UnitStore:
             starts = starts[(at < 0) | (starts >= kept[at, 1])]
         else:
             starts = cut(data, offsets)
-        coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
-        wanted = coded.dictionary
-        places = self._places(wanted)
-        unit = places[coded.indices.to_numpy()]
-        begin, lengths = self.offsets[unit], self.offsets[unit + 1] - self.offsets[unit]
-        ids = self.ids[ragged(begin, lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        out = ends[np.searchsorted(starts, offsets)]
-        if len(self.keys) > self.limit:
-            spans = self.offsets[places + 1] - self.offsets[places]
-            self._set(wanted, self.ids[ragged(self.offsets[places], spans)], np.concatenate([[0], np.cumsum(spans)]))
-        return ids, out
+        self._age()
+        coded = binary_array(data, np.append(starts, len(data)), pa.large_string()).dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist())
+        own = places[coded.indices.to_numpy()]
+        begin = self.offsets[own]
+        lengths = self.offsets[own + 1] - begin
+        return self.ids, begin, lengths, np.concatenate([[0], np.cumsum(lengths)]), starts
