@@ -167,3 +167,48 @@ def test_blocks_find_every_joined_component(monkeypatch, chunk):
         want = [(parts[i], parts[j]) for i in left for j in (right or left) if parts[i] != parts[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
         got = neardup.joined_components(80, side(left), side(right) if right else None)
         assert want and reach(got) == reach(want) and len(got) < 12
+
+
+def thue_morse(n, flip):
+    out = "b" if flip else "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_collide_under_polynomials_stay_apart(spark):
+    from rasterspark.llm.textbytes import span_hashes
+
+    words = [thue_morse(n, flip) for n in (8, 64, 1024, 2048, 4096) for flip in (False, True)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(span_hashes(data, ends - [len(w) for w in words], ends).tolist())) == len(words)
+    sides = [" ".join(f"x{i} {thue_morse(n, flip)}" for i in range(4) for n in (1024, 2048, 4096)) for flip in (False, True)]
+    rows = [(1, sides[0]), (2, sides[1]), (3, sides[0] + " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(neardup.components(df)) == brute(rows, 5, 80) == [(1, 20, 1), (2, 20, 2), (3, 20, 1)]
+    assert sorted(r.doc_id for r in neardup.deduplicate(df).collect()) == [1, 2]
+
+
+def test_hashes_depend_on_the_bytes_only():
+    from rasterspark.llm.textbytes import span_hashes
+
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 3, 3000, dtype=np.uint8)
+    starts = rng.integers(0, 2900, 4000)
+    ends = starts + rng.integers(0, 90, 4000)
+    got = {}
+    for s, e, h in zip(starts, ends, span_hashes(data, starts, ends).tolist(), strict=True):
+        assert got.setdefault(data[s:e].tobytes(), h) == h
+    assert len(set(got.values())) == len(got) > 3000
+    # the end of the data and what follows a span do not matter
+    whole = span_hashes(data[:13], np.array([5]), np.array([13]))
+    assert whole == span_hashes(data, np.array([5]), np.array([13]))
+
+
+def test_both_ways_of_comparing_groups_agree(spark, monkeypatch):
+    got = []
+    for large in (2, 10**9):
+        monkeypatch.setattr(neardup, "LARGE", large)
+        got.append(found(queries()["op2_near_duplicates"](spark, "/root/testdata/sf0.001")))
+    assert got[0] == got[1]
