@@ -28,6 +28,8 @@ from rasterspark.llm.textbytes import flat, release, slices
 from rasterspark.llm.units import UnitStore
 from rasterspark.session import Scratch, make_dirs
 
+_END = b"\xff\xff\xff\xff\0\0\0\0"  # fixed value: what ends an Arrow stream
+SHARD_BYTES = 64 << 20  # of text in a shard, about
 SEQ_LEN = 2048
 ROWS_PER_BATCH = 32
 END_ID = 2
@@ -85,46 +87,60 @@ class TokenWriter:
 
 
 class TokenFile:
-    """Random access to a shard; on a local or mounted path nothing is copied."""
+    """Random access to a shard. On a local or mounted path nothing is copied; elsewhere a batch is one ranged read."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, mapped: bool | None = None):
         fs, path = pafs.FileSystem.from_uri(uri)
-        if isinstance(fs, pafs.LocalFileSystem):
-            source = pa.memory_map(path)
-        else:
-            with fs.open_input_file(path) as f:
-                source = pa.BufferReader(f.read_buffer())
-        reader = pa.ipc.open_stream(source)
-        self.seq_len = int(reader.schema.metadata[b"seq_len"])
-        self.rows_per_batch = int(reader.schema.metadata[b"rows_per_batch"])
+        mapped = isinstance(fs, pafs.LocalFileSystem) if mapped is None else mapped
+        self.file = pa.memory_map(path) if mapped else fs.open_input_file(path)
+        reader = pa.ipc.open_stream(self.file)
+        self.schema = reader.schema
+        self.seq_len = int(self.schema.metadata[b"seq_len"])
+        self.rows_per_batch = int(self.schema.metadata[b"rows_per_batch"])
         self.size = self.seq_len * self.rows_per_batch
-        self.ids, self.masks = [], []
-        for batch in reader:
-            self.ids.append(batch.column(0).flatten().to_numpy(zero_copy_only=True))
-            self.masks.append(batch.column(1).flatten())
+        # full batches have one length, so the place of each follows from the first
+        self.first = self.file.tell()
+        try:
+            rows = reader.read_next_batch().num_rows
+        except StopIteration:
+            rows = 0
+        self.step = self.file.tell() - self.first
+        body = self.file.size() - self.first
+        self.batches = 0 if not rows else 1 if rows < self.rows_per_batch else -(-(body - len(_END)) // self.step)
+        self.held: tuple[int, np.ndarray, pa.BooleanArray] | None = None
+
+    def _batch(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the i-th batch; the last one asked for is kept."""
+        if not 0 <= i < self.batches:
+            raise IndexError(f"batch {i} of {self.batches}")
+        if self.held is None or self.held[0] != i:
+            at = self.first + i * self.step
+            message = pa.ipc.read_message(pa.BufferReader(self.file.read_at(min(self.step, self.file.size() - at), at)))
+            batch = pa.ipc.read_record_batch(message, self.schema)
+            self.held = (i, batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten())
+        return self.held[1:]
 
     def __len__(self) -> int:
         """Number of sequences."""
-        return sum(len(x) for x in self.ids) // self.seq_len
+        return (self.batches - 1) * self.rows_per_batch + len(self._batch(self.batches - 1)[0]) // self.seq_len if self.batches else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of the i-th sequence, as views."""
         batch, row = divmod(i, self.rows_per_batch)
+        ids, mask = self._batch(batch)
         at = row * self.seq_len
-        return self.ids[batch][at : at + self.seq_len], self.masks[batch].slice(at, self.seq_len)
+        return ids[at : at + self.seq_len], mask.slice(at, self.seq_len)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """Ids start..start+n of the shard; a view if they lie in one batch."""
         batch, at = divmod(start, self.size)
-        if at + n <= self.size:
-            return self.ids[batch][at : at + n] if n else np.empty(0, np.uint16)
         parts = []
-        while n:
-            part = self.ids[batch][at : at + n]
+        while n > 0:
+            part = self._batch(batch)[0][at : at + n]
             parts.append(part)
             n -= len(part)
             batch, at = batch + 1, 0
-        return np.concatenate(parts)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
 @lru_cache(maxsize=2)
@@ -157,7 +173,8 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
     Returns the plan of the index; running it writes the files, so materialise it once. Each attempt of a
     task writes a file of its own name and only rows of attempts that were committed name their files, so
     lost executors and repeated tasks do no harm. A null text is empty (only its end id is written). Rows with
-    a null key come first; rows with equal keys are ordered by text. No rows give an empty index. With added_tokens
+    a null key come first; rows with equal keys are ordered by a digest of the text, so that those of a hot key fill
+    several shards, equal rows by their place. No rows give an empty index. With added_tokens
     the strings of the tokenizer's added tokens in a text get their own ids, as the library does unless it
     is told otherwise; without, they are ordinary text.
     """
@@ -185,8 +202,10 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
             writer.close()
         release()
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX)
+    text = F.col(f"`{text}`").cast("string")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "digest", "place"]
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, INDEX)
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long"
@@ -219,10 +238,16 @@ def read_digests(index: DataFrame) -> DataFrame:
     return index.join(base, "shard").select("shard", "path", "doc_id", "offset", "n_tokens", "base").mapInArrow(run, READ)
 
 
+def shards_for(df: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards of about `shard_bytes` of text each, and no fewer than the session's shuffle partitions."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+
+
 def round_trip(spark: SparkSession, df: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write `df` as token files in the shared folder and return the digests read back from them."""
     scratch = Scratch(spark, "tokens")
     make_dirs(spark, f"{scratch.path}/files")
-    options.setdefault("shards", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    options.setdefault("shards", shards_for(df, options.get("text", "text")))
     index = scratch.table(write(df, f"{scratch.path}/files", tokenizer_path, **options), "index")
     return read_digests(index)

@@ -139,3 +139,63 @@ def test_random_access_does_not_copy(tmp_path):
     assert view.base is not None and view.tolist() == list(range(33, 53))
     sizes = {b.nbytes for b in list(pa.ipc.open_stream(pa.memory_map(f"{tmp_path}/a.arrow")))[:-1]}
     assert len(sizes) == 1
+
+
+def library_rows(rows):
+    """doc_id, start, n_tokens and crc of each row by the unmodified library, for distinct ids."""
+    library, out, start = Tokenizer.from_file(JSON), [], 0
+    for key, text in sorted(rows):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_registered_token_files_equal_the_unmodified_library(spark):
+    from rasterspark.llm.queries import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries()["op1_token_file"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == library_rows([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_special_strings_in_files_get_the_library_s_ids(spark):
+    end = "<|endoftext|>"
+    rows = [(i, t.replace("Z", end)) for i, t in enumerate(["a Z b", "Z", "ZZ x", "no mark", " Z\n", "Zs don'Zt", "", "x" * 9000 + "Z" * 700])]
+    got = tokenfile.round_trip(spark, table(spark, [(k, t, "x", 1, "p") for k, t in rows]), JSON, shards=3, seq_len=8, rows_per_batch=2, added_tokens=True).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == library_rows(rows)
+
+
+def test_a_hot_key_fills_several_shards(spark):
+    rows = [(5, f"text number {i}") for i in range(400)] + [(5, "same")] * 300 + [(1, "first"), (9, "last"), (None, "none")]
+    got = tokenfile.round_trip(spark, table(spark, [(k, t, "x", 1, "p") for k, t in rows]), JSON, shards=6).collect()
+    assert len(got) == len(rows)
+    by_start = sorted(got, key=lambda r: r.start)
+    ends = np.cumsum([r.n_tokens for r in by_start])
+    assert [r.start for r in by_start] == [0, *ends[:-1]]
+    assert [r.doc_id for r in by_start] == [None, 1, *[5] * 700, 9]
+    shards = [r.shard for r in got]
+    assert max(map(shards.count, set(shards))) < 300
+
+
+def test_shards_follow_from_bytes(spark):
+    df = table(spark, [(i, "word " * 200, "x", 1, "p") for i in range(50)])
+    assert tokenfile.shards_for(df, shard_bytes=1000) == 50 and tokenfile.shards_for(df) == 4
+    assert tokenfile.shards_for(df.limit(0)) == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 64, 100])
+def test_ranged_reads_equal_mapped_ones(tmp_path, n):
+    uri, ids = f"file://{tmp_path}/a.arrow", np.arange(1, n + 1, dtype=np.uint32)
+    writer = tokenfile.TokenWriter(uri, 8, 4, 1000)
+    writer.append(ids)
+    writer.close()
+    near, far = tokenfile.TokenFile(uri), tokenfile.TokenFile(uri, mapped=False)
+    assert len(near) == len(far) == -(-n // 8)
+    for a in range(0, n, 7):
+        assert near.tokens(a, min(45, n - a)).tolist() == far.tokens(a, min(45, n - a)).tolist() == ids[a : a + 45].tolist()
+    for i in range(len(near)):
+        (x, m), (y, k) = near.sequence(i), far.sequence(i)
+        assert x.tolist() == y.tolist() and m.to_pylist() == k.to_pylist()
+    with pytest.raises(IndexError):
+        near.sequence(len(near) + 4)
