@@ -206,20 +206,35 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int = DEPTH
     return Forest(np.array(roots), ints[0], flatten[:, 1].astype(np.float32), ints[1], ints[2], flatten[:, 4], base, depth)
 
 
+def _sample(labels: DataFrame, key: str, label: str, sample_rows: int) -> DataFrame:
+    """(doc_id, label) of at most `sample_rows` labelled ids, those of the smallest hashes; repeated labels of an id vote, 1 on a tie."""
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
+    voted = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    return voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+
+
 def train(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Forest:
-    """Fit on the statistics of labelled rows; of more than `sample_rows`, about so many, by a hash of the key.
+    """Fit on the statistics of labelled rows, `sample_rows` of them at most whatever keys repeat.
 
-    Rows without statistics, with a null key or a null label teach nothing; a label above 0 counts as 1.
+    Rows without statistics, with a null key or a null label teach nothing; a label above 0 counts as 1. Of the
+    rows of one id one teaches, that of the smallest statistics.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
-    total = known.count()
-    if total > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
-    rows = known.join(measured, "doc_id").select("doc_id", "label", "stats").toPandas().sort_values(["doc_id", "label"])
+    known = F.broadcast(_sample(labels, key, label, sample_rows))  # bounded by the parameter
+    one = measured.join(known, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("stats").alias("stats"))
+    rows = one.toPandas().sort_values("doc_id")
     x = np.array(rows["stats"].tolist(), np.float32).reshape(len(rows), len(STATISTICS))
     return grow(x, rows["label"].to_numpy(float), **options)
 
 
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Forest:
+    """`train` on documents of which only the sampled ones are measured."""
+    rows = _sample(labels, key, label, sample_rows).collect()  # bounded by the parameter
+    known = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
+    wanted = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    taught = wanted.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    return train(measure(taught), known, label="label", sample_rows=sample_rows, **options)
+
+
 SCORED = "doc_id long, score double, predicted int"
 
 

@@ -9,8 +9,6 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterspark.llm import bpe, htmltext, langid, mixing, neardup, neighbours, quality, sharding, threshold, tokenfile
-from rasterspark.session import Scratch
-
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -72,10 +70,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = Scratch(spark, "quality").table(quality.measure(docs), "measured")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0)
+    forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0))
     held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
-    return quality.score(measured, quality.train(measured, labels)).select("doc_id", held_out, "score", "predicted")
+    return quality.score(quality.measure(docs), forest).select("doc_id", held_out, "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL states in full; the others are tested against brute force."""
-    return {"op4_threshold_top_k": threshold.ORACLE, "op5_shards": sharding.oracle(SHARD_BYTES), "op8_neighbours": neighbours.ORACLE}
+    return {"op2_near_duplicates": neardup.oracle(3, 85), "op4_threshold_top_k": threshold.ORACLE, "op5_shards": sharding.oracle(SHARD_BYTES), "op8_neighbours": neighbours.ORACLE}
