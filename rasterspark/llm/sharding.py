@@ -51,39 +51,71 @@ def directory(scratch: Scratch, rows: DataFrame, limit: int) -> list[tuple[DataF
         low, depth = depth + 1, min(BITS, depth + STEP)
 
 
-def assign(df: DataFrame, *, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, local_depth, shard, shard_bytes) of every row.
-
-    n_bytes is the length of the text in UTF-8 (null: 0). `shard` is the number that the first local_depth
-    bits of the hash make; the two name a shard. Rows of one id stay together, so a shard is over the limit
-    only if it holds a single id (or ids of one hash). Rows with a null id count as one id. No rows
-    give no rows; other columns are not looked at.
-    """
-    if limit < 1:
-        raise ValueError("limit must be positive")
-    scratch = Scratch(df.sparkSession, "sharding")
-    n_bytes = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
-    rows = scratch.table(df.select(F.col(key).cast("long").alias("doc_id"), hash_bits(key).alias("h"), n_bytes.alias("n_bytes")), "rows")
+def _placed(scratch: Scratch, rows: DataFrame, limit: int) -> DataFrame:
+    """`rows`, which have h and n_bytes, with local_depth, shard and shard_bytes."""
     out, rest = None, rows
     for leaf, depth in directory(scratch, rows.select("h", "n_bytes"), limit):
         keyed = rest.withColumn("cell", _prefix(depth))
-        done = keyed.join(leaf.hint("merge"), "cell").select("doc_id", "n_bytes", F.col("local_depth").cast("int").alias("local_depth"), "shard", "shard_bytes")
+        done = keyed.join(leaf.hint("merge"), "cell").withColumn("local_depth", F.col("local_depth").cast("int")).drop("cell").select(*rows.columns, "local_depth", "shard", "shard_bytes")
         out = done if out is None else out.unionByName(done)
         rest = keyed.join(leaf.hint("merge"), "cell", "left_anti").drop("cell")
     return out
 
 
-def write(df: DataFrame, folder: str, *, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _split(rows: DataFrame, limit: int) -> DataFrame:
+    """Placed rows, those of leaves over the limit placed anew by bits that tell the rows of one id apart.
+
+    Below a leaf's depth the bits of one id decide nothing, so they are replaced by a hash of text and place; the
+    leaf then splits like any other. A leaf of one row stays.
+    """
+    spark = rows.sparkSession
+    over = rows.where(F.col("shard_bytes") > limit)
+    many = over.groupBy("local_depth", "shard").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    scratch = Scratch(spark, "sharding-ids")
+    hot = over.join(many.hint("merge"), ["local_depth", "shard"], "left_semi")
+    own = F.shiftrightunsigned(F.xxhash64("digest", "place"), 64 - BITS)
+    hot = hot.withColumn("own", own).withColumn("h", F.expr(f"shiftleft(shard, {BITS} - local_depth) | shiftright(own, local_depth)"))
+    hot = scratch.table(hot.drop("own", "local_depth", "shard", "shard_bytes"), "hot")
+    if hot.isEmpty():
+        return rows
+    rest = rows.join(many.hint("merge"), ["local_depth", "shard"], "left_anti")
+    return rest.select(*rows.columns).unionByName(_placed(scratch, hot, limit).select(*rows.columns))
+
+
+def _assigned(df: DataFrame, limit: int, key: str, text: str, split_ids: bool, payload: list) -> DataFrame:
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    scratch = Scratch(df.sparkSession, "sharding")
+    n_bytes = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), hash_bits(key).alias("h"), n_bytes.alias("n_bytes"), F.xxhash64(F.col(text).cast("string")).alias("digest"), *payload)
+    rows = scratch.table(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    placed = _placed(scratch, rows, limit)
+    return _split(placed, limit) if split_ids else placed
+
+
+def assign(df: DataFrame, *, limit: int, key: str = "doc_id", text: str = "text", split_ids: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, local_depth, shard, shard_bytes) of every row.
+
+    n_bytes is the length of the text in UTF-8 (null: 0). `shard` is the number that the first local_depth
+    bits of the hash make; the two name a shard. Rows of one id stay together, so a shard is over the limit
+    only if it holds a single id (or ids of one hash); with `split_ids` such a shard splits on bits of text and
+    place too, and only a single row can be over the limit. Rows with a null id count as one id. No rows
+    give no rows; other columns are not looked at.
+    """
+    return _assigned(df, limit, key, text, split_ids, []).select("doc_id", "n_bytes", "local_depth", "shard", "shard_bytes")
+
+
+def write(df: DataFrame, folder: str, *, limit: int, key: str = "doc_id", text: str = "text", split_ids: bool = False) -> DataFrame:
     """Write all rows as Parquet below `folder`, a folder for each shard, and return the assignment.
 
-    Rows of a shard are written by one task, whose rows are bounded by the limit.
+    Rows of a shard are written by one task. With `split_ids` they are bounded by the limit or are one row; without, an
+    id over the limit is one task's.
     """
-    found = assign(df, limit=limit, key=key, text=text)
-    name = F.concat_ws("-", F.col("local_depth"), F.col("shard"))
-    placed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    shards = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"), name.alias("shard_name")).distinct()
-    placed.join(shards.hint("merge"), "__key").drop("__key").repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
-    return found
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    found = _assigned(df, limit, key, text, split_ids, [whole])
+    name = F.concat_ws("-", F.col("local_depth"), F.col("shard")).alias("shard_name")
+    found.select("row.*", name).repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
+    return found.select("doc_id", "n_bytes", "local_depth", "shard", "shard_bytes")
 
 
 ORACLE = f"""
