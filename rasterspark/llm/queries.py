@@ -9,15 +9,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterspark.llm import bpe, htmltext, langid, mixing, neardup, neighbours, quality, sharding, threshold, tokenfile
+from rasterspark.session import Scratch
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
-#: Classes of source, language and topic whose shares of tokens are flattened a little.
-TARGETS = {
-    "source": mixing.Tempered(tuple(f"src{i}" for i in range(20)), 0.9),
-    "lang": mixing.Tempered(("en", "de", "fr", "es"), 0.9),
-    "topic": mixing.Tempered(("prose", "table", "marked", "shouted"), 1.0),
-}
+#: Powers that flatten the shares of tokens of sources, languages and topics; the classes come from the data.
+TARGETS = {"source": mixing.Tempered(None, 0.9), "lang": mixing.Tempered(None, 0.9), "topic": mixing.Tempered(None, 0.8)}
 
 
 def _fold(n: int):
@@ -43,13 +40,25 @@ def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit=SHARD_BYTES)
+    return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit=SHARD_BYTES, split_ids=True)
+
+
+def mixed(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Rows (with doc_id, source, lang and text) without their text but with topic, tokens, probability and taken.
+
+    The text is encoded once, for its tokens and its topic.
+    """
+    counts = mixing.counted(public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("counts")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "text"]
+    written = scratch.table(rows.select(*kept, F.xxhash64("text").alias("digest"), counts).select("*", "counts.*").drop("counts"), "counted")
+    classed = written.withColumn("topic", mixing.topic_of(mixing.learn_topics(written))).drop("profile")
+    return mixing.mix(classed, TARGETS, weight=F.col("tokens"), digest=F.col("digest")).drop("digest")
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"), F.xxhash64("text").alias("digest"))
-    return mixing.mix(rows, TARGETS, weight=F.col("tokens"), digest=F.col("digest")).drop("digest")
+    out = mixed(Scratch(spark, "mixture"), docs.select("doc_id", "source", "lang", "text"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", "taken")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,44 @@ def test_written_shards_fit(spark, tmp_path):
     assert max(sizes.values()) <= 200 and len(sizes) > 5
 
 
+@pytest.mark.parametrize("limit", [100, 1000])
+def test_a_hot_id_splits_until_every_shard_fits(spark, limit):
+    rows = [(7, f"text {i} " * 3) for i in range(300)] + [(7, "same text")] * 300 + [(None, f"n {i}") for i in range(200)] + [(i, "cold") for i in range(100, 160)] + [(9, "x" * 5000)]
+    got = sharding.assign(frame(spark, rows), limit=limit, split_ids=True).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes) for r in got) == sorted((k or -1, len(t.encode())) for k, t in rows)
+    shards = {}
+    for r in got:
+        shards.setdefault((r.local_depth, r.shard), []).append(r)
+    for held in shards.values():
+        assert {r.shard_bytes for r in held} == {sum(r.n_bytes for r in held)}
+        assert held[0].shard_bytes <= limit or len(held) == 1
+    # the shards are leaves of one tree, and only buckets over the limit have split
+    for depth, shard in shards:
+        assert not any((d, shard >> (depth - d)) in shards for d in range(depth))
+    sizes = {}
+    for (depth, shard), held in shards.items():
+        for d in range(depth):
+            sizes[d, shard >> (depth - d)] = sizes.get((d, shard >> (depth - d)), 0) + held[0].shard_bytes
+    assert all(size > limit for size in sizes.values())
+
+
+def test_without_hot_ids_splitting_changes_nothing(spark):
+    rows = [(i, "é" * (i * 7 % 50)) for i in range(150)] + [(777, "x" * 5000), (778, None)]
+    got = sharding.assign(frame(spark, rows), limit=200, split_ids=True).collect()
+    assert sorted(tuple(r) for r in got) == brute_shards(rows, 200)
+
+
+def test_written_shards_of_a_hot_id_fit(spark, tmp_path):
+    rows = [(5, f"words {i}") for i in range(200)] + [(6, "b")]
+    sharding.write(frame(spark, rows), str(tmp_path / "out"), limit=200, split_ids=True)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id, r.text) for r in back) == sorted(rows)
+    sizes = {}
+    for r in back:
+        sizes[r.shard_name] = sizes.get(r.shard_name, 0) + len(r.text)
+    assert max(sizes.values()) <= 200
+
+
 def test_no_rows(spark):
     assert sharding.assign(frame(spark, []), limit=10).collect() == []
     assert mixing.mix(frame(spark, []).withColumn("topic", mixing.topic()), TARGETS).collect() == []
@@ -116,3 +154,97 @@ def test_topics(spark):
     texts = {"": "empty", None: "empty", "plain words here.": "prose", "a | b | c": "table", "a&&& b%%% c$$$": "marked", "LOUD WORDS": "shouted"}
     df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("topic", mixing.topic())
     assert {r.text: r.topic for r in df.collect()} == texts
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_raking(cells, weights, shares):
+    """Raked weight of each cell by scaling one margin after the other, with dictionaries."""
+    table = dict(weights)
+    total = sum(table.values())
+    for _ in range(3000):
+        for axis, wanted in enumerate(shares):
+            have = {}
+            for cell, w in table.items():
+                have[cell[axis]] = have.get(cell[axis], 0) + w
+            table = {cell: w * wanted[cell[axis]] * total / have[cell[axis]] for cell, w in table.items()}
+    return table
+
+
+def test_registered_mixture_equals_plain_raking(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    import xxhash
+
+    from rasterspark.llm.queries import queries
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries()["op6_mixture"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    weights = {}
+    for r in rows:
+        assert (r.source, r.lang) == (docs[r.doc_id].source, docs[r.doc_id].lang)
+        assert r.tokens == len(library.encode_ordinary(docs[r.doc_id].text or ""))
+        cell = (r.source or "*", r.lang or "*", r.topic)
+        weights[cell] = weights.get(cell, 0) + r.tokens
+    weights = {c: w for c, w in weights.items() if w}
+    shares = []
+    for axis, target in enumerate(TARGETS.values()):
+        have = {}
+        for cell, w in weights.items():
+            have[cell[axis]] = have.get(cell[axis], 0) + w
+        total = sum(w**target.power for w in have.values())
+        shares.append({k: w**target.power / total for k, w in have.items()})
+    raked = plain_raking(None, weights, shares)
+    ratio = {c: raked[c] / weights[c] for c in weights}
+    top = max(ratio.values())
+    unsigned = (1 << 64) - 1
+    for r in rows:
+        want = ratio[r.source or "*", r.lang or "*", r.topic] / top if r.tokens else 0
+        assert r.probability == pytest.approx(want, abs=1e-9)
+        h = xxhash.xxh64_intdigest(str(r.doc_id).encode(), 42)
+        digest = xxhash.xxh64_intdigest(docs[r.doc_id].text.encode(), 42) if docs[r.doc_id].text is not None else 42
+        h = xxhash.xxh64_intdigest((digest & unsigned).to_bytes(8, "little"), h)
+        h = xxhash.xxh64_intdigest((0).to_bytes(4, "little"), h)
+        assert r.taken == ((h >> 11) / (1 << 53) < r.probability)
+    assert {r.topic for r in rows} > {"t0"} or len({r.topic for r in rows}) > 2
+
+
+def test_topics_are_those_of_plain_clustering(spark):
+    rng = np.random.default_rng(5)
+    groups = rng.integers(0, 3, 240)
+    counts = np.zeros((240, mixing.WIDTH))
+    for row, g in zip(counts, groups, strict=True):
+        np.add.at(row, rng.integers(20 * g, 20 * g + 18, 80), 1)
+    profiles = np.sqrt(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([([float(x) for x in p],) for p in [*profiles, np.zeros(mixing.WIDTH)]], "profile array<float>").repartition(5)
+    got = mixing.learn_topics(df, topics=4, rounds=4)
+    centres = np.abs(np.random.default_rng(0).normal(size=(4, mixing.WIDTH)))
+    centres /= np.sqrt((centres**2).sum(axis=1, keepdims=True))
+    for _ in range(4):
+        at = (profiles.astype(float) @ centres.T).argmax(axis=1)
+        for k in range(4):
+            total = profiles[at == k].astype(float).sum(axis=0)
+            centres[k] = total / np.sqrt((total**2).sum()) if total.any() else centres[k]
+    assert np.allclose(got, centres, atol=1e-6)
+    names = [r.t for r in df.select(mixing.topic_of(got).alias("t")).collect()]
+    assert names.count("empty") == 1 and set(names) <= {"t0", "t1", "t2", "t3", "empty"}
+    assert np.allclose(mixing.learn_topics(df.limit(0), topics=4, rounds=2), np.round(np.abs(np.random.default_rng(0).normal(size=(4, mixing.WIDTH))) / np.sqrt((np.random.default_rng(0).normal(size=(4, mixing.WIDTH)) ** 2).sum(axis=1, keepdims=True)), 9))
+
+
+def test_classes_come_from_the_data(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLASSES", 2)
+    rows = [(i, "a b c", s) for i, s in enumerate(["x"] * 6 + ["y"] * 4 + ["z"] * 2 + [None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.resolved(df, {"source": mixing.Tempered(None, 0.5)}, mixing.tokens())
+    assert found["source"] == mixing.Tempered(("x", "y"), 0.5)
+    out = mixing.mix(df, {"source": mixing.Tempered(None, 0.0)}).toPandas()
+    probability = out.groupby(out["source"].fillna("-"))["probability"].max()
+    assert probability["z"] == 1 and probability["-"] == 1  # one class of three rows
+    assert probability["x"] == pytest.approx(0.5) and probability["y"] == pytest.approx(0.75)
