@@ -1,10 +1,8 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary cut from labelled texts. A text is normalised,
-compressed in blocks with every dictionary, and gets the language whose blocks are smallest in sum.
-The margin over the second smallest decides whether the choice is accepted. Sizes are whole bytes, too coarse
-for a short text, so that is compressed behind several contexts of each language, and what it adds to them
-counts.
+Each language has a raw-content zstandard dictionary, made of whole labelled texts. A text is normalised,
+compressed in blocks with every dictionary, and gets the language whose blocks are smallest in sum, whatever its length.
+The margin over the second smallest decides whether the choice is accepted.
 """
 
 from __future__ import annotations
@@ -17,19 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from rasterspark.llm.textbytes import release
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 256  # bound of the labelled sample: texts for each language, on average
-SAMPLE_BYTES = 256  # taken from each of them; half of the pieces make the dictionary, half the contexts
-CONTEXTS = 4
-CONTEXT_BYTES = 2048
-CONTEXT_PIECE = 64  # bytes of a piece in the contexts, so that they have many authors
-SHORT = 256  # normalised bytes below which the contexts are used
-LEVEL = 12
-BLOCK = 2048
+SAMPLE_DOCS = 64  # bound of the labelled sample: distinct texts of each language, taken whole
+BLOCK = 4096
+SEARCH = 3  # of the match finder, as a power of two
 MIN_MARGIN = 0.005
 
 _MAP = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -48,21 +41,16 @@ def normalise(text: str | None) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages by falling share of the labelled texts (ties by name), their dictionaries and contexts."""
+    """Languages by falling share of the labelled texts (ties by name) and their dictionaries."""
 
     langs: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
-    contexts: tuple[tuple[bytes, ...], ...] = ()
-    level: int = LEVEL
     block: int = BLOCK
 
     def sizes(self, data: bytes) -> list[int]:
         """What the normalised text costs in each language."""
-        tools, bases = _tools(self)
-        if self.contexts and len(data) < SHORT:
-            return [max(1, sum(len(c.compress(x + data)) for x in own) - base) for c, own, base in zip(tools, self.contexts, bases, strict=True)]
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in tools]
+        return [sum(len(c.compress(b)) for b in blocks) for c in _tools(self)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and margin, 1 - smallest / second smallest size; no letters: `und` and 0.
@@ -80,45 +68,47 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _tools(model: Model) -> tuple[list[zstandard.ZstdCompressor], list[int]]:
-    """A compressor for each language, and the size of its bare contexts."""
+def _tools(model: Model) -> list[zstandard.ZstdCompressor]:
+    """A compressor for each language, whose window holds the dictionary and a block."""
     out = []
     for raw in model.dictionaries:
+        window = max(15, (len(raw) + model.block).bit_length())
+        table = min(window, 20)
+        how = zstandard.ZstdCompressionParameters(
+            window_log=window, hash_log=table, chain_log=table, search_log=SEARCH, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTLAZY2, write_checksum=False, write_content_size=False, write_dict_id=False
+        )
         own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        own.precompute_compress(level=model.level)
-        out.append(zstandard.ZstdCompressor(dict_data=own, level=model.level, write_checksum=False, write_content_size=False, write_dict_id=False))
-    return out, [sum(len(c.compress(x)) for x in own) for c, own in zip(out, model.contexts or [()] * len(out), strict=True)]
+        own.precompute_compress(compression_params=how)
+        out.append(zstandard.ZstdCompressor(dict_data=own, compression_params=how))
+    return out
 
 
-def _contexts(pieces: list[bytes]) -> tuple[bytes, ...]:
-    """CONTEXTS runs of equal length, CONTEXT_BYTES at most, from the pieces."""
-    whole = b" ".join(pieces)
-    size = min(CONTEXT_BYTES, len(whole) // CONTEXTS)
-    return tuple(whole[k * size : (k + 1) * size] + b" " for k in range(CONTEXTS))
+def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Fit on `sample_docs` distinct texts of each language at most, chosen by a hash of the text, each taken whole.
 
-
-def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on a bounded sample: about `sample_docs` texts of each language, chosen by a hash of the key.
-
-    All rows are counted; a language with fewer texts gives all of them. Rows with a null text or language,
-    or without a letter, teach nothing. What reaches the driver is one short piece of each sampled text.
+    All rows are counted; a language with fewer texts gives all of them, and none is left out that has a letter. Rows with a
+    null text or language, or without a letter, teach nothing. Copies of a text count once, whatever their ids.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
     share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(share, key=lambda x: (-share[x], x))
     if not langs:
         return Model((), ())
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / share[k]))])
-    # four times the bytes in characters are enough for the piece after digits and marks are dropped
-    piece = F.substring("text", 1, 4 * sample_bytes)
-    taken = rows.where(spread < rate[F.col("lang")]).select("lang", "key", piece.alias("piece")).collect()
-    out = []
-    for k in langs:
-        pieces = [p for r in sorted((r for r in taken if r["lang"] == k), key=lambda r: (str(r["key"]), r["piece"])) if (p := normalise(r["piece"])[:sample_bytes])][: 4 * sample_docs]
-        out.append((k, b" ".join(pieces[::2]), _contexts([p[-CONTEXT_PIECE:] for p in pieces[1::2] or pieces])))
-    kept = [x for x in out if len(x[1]) >= 8]  # zstd takes no shorter dictionary
-    return Model(*(tuple(x[i] for x in kept) for i in range(3)))
+    # a part that surely has enough texts, unless most are copies; then its distinct texts by hash
+    part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 8 * sample_docs / share[k]))])
+    own = rows.withColumn("h", F.xxhash64("text"))
+    some = own.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < part[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = some.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs).drop("place")
+    taken = some.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()  # bounded by the parameter
+    texts: dict[str, list[bytes]] = {k: [] for k in langs}
+    for r in taken:
+        texts[r["lang"]].append(normalise(r["text"]))
+    found = {k: b" ".join(filter(None, v)) for k, v in texts.items()}
+    known = [k for k in langs if found[k]]
+    # zstd takes no dictionary below 8 bytes, so a shorter one is repeated
+    return Model(tuple(known), tuple(found[k] if len(found[k]) >= 8 else (found[k] + b" ") * 8 for k in known))
 
 
 PREDICTED = "lang_pred string, score double, accepted boolean"
@@ -151,3 +141,16 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
         release()
 
     return rows.mapInArrow(run, schema)
+
+
+def keep(df: DataFrame, model: Model, *, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of `df`, with all their columns, whose text is accepted; only the text goes through Python."""
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.types import BooleanType
+
+    @arrow_udf(BooleanType())
+    def accepted(column: pa.Array) -> pa.Array:
+        got = (model.predict(t.as_py()) for t in column)
+        return pa.array([lang != UNKNOWN and margin >= min_margin for lang, margin in got], pa.bool_())
+
+    return df.where(accepted(F.col(f"`{text}`").cast("string")))
