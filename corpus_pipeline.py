@@ -8,22 +8,16 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterspark.llm import bpe, langid, mixing, neardup, quality
-from rasterspark.llm.queries import TARGETS
+from rasterspark.llm import bpe, langid, neardup, quality
+from rasterspark.llm.queries import mixed
 from rasterspark.session import Scratch, prepare
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _whole(docs: DataFrame, *columns) -> DataFrame:
-    """The rows as one column beside those that a stage needs, so that added columns clash with none."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a sufficient margin stay; the model learns from `lang`."""
-    model = langid.train(docs)
-    return langid.predict(_whole(docs, "text"), model, keep=["__row"]).where("accepted").select("__row.*")
+    return langid.keep(docs, langid.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents with null or repeated ids are judged by their own text.
     """
-    scratch = Scratch(spark, "stage-quality")
-    measured = scratch.table(quality.measure(docs), "measured")
-    forest = quality.train(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep(docs, forest)
+    return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that their tokens have the target shares of source, language and topic."""
-    rows = _whole(docs, "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"), F.xxhash64("text").alias("digest"))
-    return mixing.mix(rows, TARGETS, weight=F.col("tokens"), digest=F.col("digest")).where("taken").select("__row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that added columns clash with none
+    rows = docs.select(whole, "doc_id", "source", "lang", "text")
+    return mixed(Scratch(spark, "stage-mixture"), rows).where("taken").select("row.*")
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
