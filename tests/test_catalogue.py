@@ -7,11 +7,12 @@ import pytest
 
 from rasterspark import hostqueries
 from rasterspark.functions.register import register
-from rasterspark.operators import relational
-from rasterspark.queries import QUERIES, search_server
+from rasterspark.loopback import search_server
+from rasterspark.operators import joins, relational
+from rasterspark.queries import QUERIES
 from rasterspark.sources import stac
 from rasterspark.streaming import scenes
-from tests.fixtures import P1, P2, P3, make
+from tests.fixtures import SCENES, in_window, in_zone, make, zone
 
 
 def item(name="a", **more):
@@ -63,15 +64,16 @@ def paths(tmp_path_factory):
 
 def test_relational_zones_equal_the_functions(spark, paths):
     register(spark)
-    rows = [(i, paths["basic"], z) for i, z in enumerate([P1, P2, P3, "POLYGON EMPTY", "POLYGON ((0 0, 1 0, 1 1, 0 0))", None])] + [(9, None, P1), (10, paths["edge"], "POLYGON ((500000 3797000, 504000 3797000, 504000 3800000, 500000 3800000, 500000 3797000))")]
+    hills, strip = SCENES["hills"], SCENES["strip"]
+    rows = [(i, paths["hills"], z) for i, z in enumerate([zone("ell"), zone("pair"), zone("sliver"), "POLYGON EMPTY", "POLYGON ((0 0, 1 0, 1 1, 0 0))", None])] + [(9, None, zone("ell")), (10, paths["strip"], strip.wkt([[(20, 10), (300, 15), (310, 90), (60, 80)]]))]
     zones = spark.createDataFrame(rows, "k int, path string, zone string")
     for salt in (1, 4):
         got = {r.k: tuple(r)[1:] for r in relational.zonal_stats(zones, keys=["k"], salt=salt).collect()}
         want = {r.k: None if r.s is None else tuple(r.s) for r in zones.selectExpr("k", "RS_ZonalStatsAll(path, zone) AS s").collect()}
         assert {k: None if v[0] is None else v for k, v in got.items()} == want
-    boxes = spark.createDataFrame([(1, paths["basic"], [300000.0, 3999000.0, 301000.0, 4000000.0]), (2, paths["basic"], [0.0, 0.0, 1.0, 1.0]), (3, paths["basic"], [0.0, None, 1.0, 1.0])], "k int, path string, zone array<double>")
+    boxes = spark.createDataFrame([(1, paths["hills"], [float(v) for v in hills.box(100, 100, 199, 149)]), (2, paths["hills"], [0.0, 0.0, 1.0, 1.0]), (3, paths["hills"], [0.0, None, 1.0, 1.0])], "k int, path string, zone array<double>")
     got = {r.k: (r["count"], r["sum"]) for r in relational.zonal_stats(boxes, keys=["k"]).collect()}
-    assert got == {1: (10000, 326869359), 2: (0, None), 3: (None, None)}
+    assert got == {1: (5000, sum(in_window("hills", 100, 100, 199, 149))), 2: (0, None), 3: (None, None)}
     with pytest.raises(Exception, match="bbox"):
         relational.zonal_stats(boxes.selectExpr("k", "path", "array(2D, 0D, 1D, 1D) AS zone"), keys=["k"]).collect()
     assert relational.zonal_stats(zones.limit(0), keys=["k"]).collect() == []
@@ -81,7 +83,8 @@ def test_relational_zones_equal_the_functions(spark, paths):
 def test_relational_points_keep_all_rows(spark, paths):
     register(spark)
     rng = np.random.default_rng(0)
-    rows = [(i, paths["basic" if i % 3 else "edge"], float(300000 + rng.random() * 6000), float(3994000 + rng.random() * 7000)) for i in range(300)] + [(500, None, 1.0, 1.0), (501, paths["basic"], None, 1.0)]
+    spot = lambda s: (float(s.left + (rng.random() * 1.1 - 0.05) * s.width * s.pixel), float(s.top - (rng.random() * 1.1 - 0.05) * s.height * s.pixel))
+    rows = [(i, paths[n], *spot(SCENES[n])) for i in range(300) for n in ["hills" if i % 3 else "strip"]] + [(500, None, 1.0, 1.0), (501, paths["hills"], None, 1.0)]
     points = spark.createDataFrame(rows, "id int, path string, x double, y double")
     got = {r.id: r.value for r in relational.sample_points(points).collect()}
     assert got == {r.id: r.value for r in points.selectExpr("id", "RS_Value(path, x, y) AS value").collect()} and len(got) == 302
@@ -94,20 +97,21 @@ def test_stream_of_scenes(spark, tmp_path):
     register(spark)
     folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()
-    stats = lambda: scenes.zone_stats(scenes.arrivals(spark, str(folder)), {"p1": P1, "p3": P3})
+    stats = lambda: scenes.zone_stats(scenes.arrivals(spark, str(folder)), {"ell": zone("ell"), "sliver": zone("sliver")})
     made = make(folder)
     scenes.run_available(stats(), out, state)
     first = spark.read.parquet(out)
     assert first.count() == 2 * len(made)
-    assert {(r.zone_id, r["count"]) for r in first.where("path LIKE '%basic%'").collect()} == {("p1", 62400), ("p3", 7267)}
-    (folder / "late.tif").write_bytes((folder / "basic_512x512_u16.tif").read_bytes())
+    assert {(r.zone_id, r["count"]) for r in first.where("path LIKE '%hills%'").collect()} == {(z, len(in_zone("hills", z))) for z in ("ell", "sliver")}
+    (folder / "late.tif").write_bytes((folder / "hills.tif").read_bytes())
     scenes.run_available(stats(), out, state)
     assert spark.read.parquet(out).count() == 2 * len(made) + 2
     series = scenes.windowed(stats(), time="arrived", size="365 days")
     query = series.writeStream.format("memory").queryName("series").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     totals = {r.zone_id: r.pixels for r in spark.sql("SELECT zone_id, sum(pixels) AS pixels FROM series GROUP BY zone_id").collect()}
-    assert totals == {"p1": 124800, "p3": 14534}
+    counted = {z: first.where(f"zone_id = '{z}'").agg({"count": "sum"}).first()[0] + len(in_zone("hills", z)) for z in ("ell", "sliver")}
+    assert totals == counted
 
 
 def test_registered_queries_equal_their_sql(spark):

@@ -15,7 +15,7 @@ from rasterspark.functions.zone import ZoneError, parse
 from rasterspark.sources import tiff
 from rasterspark.sources.bytesource import BytesSource, CountingSource, HttpSource, LocalSource, open_source
 from rasterspark.sources.cogwrite import lzw, write_cog
-from tests.fixtures import P1, P2, P3, make, pixels
+from tests.fixtures import SCENES, in_zone, make, pixels, zone
 
 
 @pytest.fixture(scope="module")
@@ -114,10 +114,11 @@ def test_coordinates_round_trip(col, row):
     assert r.meta.world_to_grid(*r.meta.grid_to_world(col, row)) == (col, row)
 
 
-@pytest.mark.parametrize(("zone", "count", "total"), [(P1, 62400, 2043359680), (P2, 5000, 165209622), (P3, 7267, 239110784)])
-def test_polygons(paths, zone, count, total):
-    (s,) = engine.open_raster(paths["basic"]).zonal([parse(zone)], 1)
-    assert (s.count, s.sum) == (count, total)
+@pytest.mark.parametrize("name", ["ell", "pair", "sliver"])
+def test_polygons(paths, name):
+    (s,) = engine.open_raster(paths["hills"]).zonal([parse(zone(name))], 1)
+    want = in_zone("hills", name)
+    assert (s.count, s.sum, s.min, s.max) == (len(want), sum(want), min(want), max(want))
 
 
 def plain_contains(zone, x, y):
@@ -166,35 +167,39 @@ def test_opening_is_one_fetch_and_listing_none(paths):
         source, r = counted(path)
         assert source.fetches == 1
         assert list(r.meta.tiles()) and source.fetches == 1
-    source, _ = counted(paths["basic"])
-    assert source.bytes * 4 < LocalSource(paths["basic"]).size
+    source, _ = counted(paths["hills"])
+    assert source.bytes * 4 < LocalSource(paths["hills"]).size
 
 
 def test_tiles_of_a_batch_are_read_once(paths):
-    source, r = counted(paths["basic"])
+    source, r = counted(paths["hills"])
+    s, tile = SCENES["hills"], 128 * 128 * 2
     before = source.bytes
-    zones = [[300000 + 100 * i, 3999000, 300100 + 100 * i, 3999100] for i in range(20)]
+    zones = [s.box(i, 3 * i, i + 60, 3 * i + 40) for i in range(20)]
     r.zonal(zones, 1)
-    assert source.bytes - before == 256 * 256 * 2
+    assert source.bytes - before == tile
     r.zonal(zones, 9)
-    r.pixels([300005.0], [3999995.0], 9)
-    assert source.bytes - before == 256 * 256 * 2
+    r.pixels([s.x(0)], [s.y(0)], 9)
+    assert source.bytes - before == tile
     before = source.bytes
-    r.pixels([300005.0 + i for i in range(500)], [3999995.0] * 500, 1)
-    assert source.bytes - before == 256 * 256 * 2
+    r.pixels([s.x(i / 7) for i in range(500)], [s.y(5)] * 500, 1)
+    assert source.bytes - before == tile
 
 
 def test_batch_equals_single_zones(paths):
-    r = engine.open_raster(paths["edge"])
-    zones = [[500000 + 37 * i, 3797000 + 51 * i, 502000 + 41 * i, 3799000 + 13 * i] for i in range(12)]
+    r, s = engine.open_raster(paths["strip"]), SCENES["strip"]
+    zones = [s.box(9 * i, 2 * i, 9 * i + 40 + i, 2 * i + 30) for i in range(12)]
     assert r.zonal(zones, 1) == [r.zonal([z], 1)[0] for z in zones]
 
 
 def test_workload_sees_the_same_pixels(paths):
-    rows = dict(workload(paths["basic"]))
-    data = pixels("basic_512x512_u16")[0].astype(float)
-    places = [(int(512 * a), int(np.floor(512 * (1 - b)))) for a, b in scattered()]
-    assert rows["points_checksum"] == sum(data[y, x] for x, y in places) and rows["window_checksum"] == data[128:384, 128:384].sum()
+    rows = dict(workload(paths["deflated"]))
+    data = pixels("deflated")[0].astype(float)
+    height, width = data.shape
+    places = [(int(width * a), int(np.floor(height * (1 - b)))) for a, b in scattered()]
+    assert rows["points_checksum"] == sum(data[y, x] for x, y in places)
+    inside = data[(np.arange(height) + 0.5 >= height / 4) & (np.arange(height) + 0.5 <= height * 3 / 4)][:, (np.arange(width) + 0.5 >= width / 4) & (np.arange(width) + 0.5 <= width * 3 / 4)]
+    assert rows["window_checksum"] == inside.sum()
 
 
 # ------------------------------------------------------------------ sources and caches
@@ -223,7 +228,7 @@ def server(paths):
             path, _, flag = self.path.partition("?")
             if path == "/moved":
                 self.send_response(302)
-                self.send_header("Location", "/basic")
+                self.send_header("Location", "/hills")
                 self.send_header("Content-Length", "0")
                 self.end_headers()
                 return
@@ -249,11 +254,11 @@ def server(paths):
 
 def test_http_ranges(server, paths):
     url, _ = server
-    want = LocalSource(paths["basic"]).read(10, 50)
-    for path in ("basic", "moved", "basic?whole"):
+    want = LocalSource(paths["hills"]).read(10, 50)
+    for path in ("hills", "moved", "hills?whole"):
         assert HttpSource(f"{url}/{path}").read(10, 50) == want
     with pytest.raises(EOFError):
-        HttpSource(f"{url}/basic").read(10**9, 10**9 + 5)
+        HttpSource(f"{url}/hills").read(10**9, 10**9 + 5)
     with pytest.raises(OSError, match="404"):
         HttpSource(f"{url}/none").read(0, 5)
     with pytest.raises(OSError, match="cannot open"):
@@ -265,25 +270,25 @@ def test_remote_rasters_and_tiles_are_cached(server, monkeypatch):
     now = [0.0]
     monkeypatch.setattr(cache, "tiles", cache.TileCache(10_000_000))
     monkeypatch.setattr(cache, "rasters", cache.OpenCache(60, lambda: now[0]))
-    zones = [[300000 + 50 * i, 3999000, 300100 + 50 * i, 3999100] for i in range(30)]
+    zones = [SCENES["hills"].box(i, i, i + 20, i + 50) for i in range(30)]
     for z in zones:
-        engine.open_raster(f"{url}/basic").zonal([z], 1)
-    assert len(calls) == 2 and cache.tiles.hits == 29 and cache.tiles.bytes == 256 * 256 * 2
+        engine.open_raster(f"{url}/hills").zonal([z], 1)
+    assert len(calls) == 2 and cache.tiles.hits == 29 and cache.tiles.bytes == 128 * 128 * 2
     now[0] = 61
-    engine.open_raster(f"{url}/basic").zonal(zones, 1)
+    engine.open_raster(f"{url}/hills").zonal(zones, 1)
     assert len(calls) == 4  # opened again, and nothing of the old tiles is used
 
 
 def test_remote_reads_run_together_in_order(server, paths, monkeypatch):
     url, _ = server
-    names = ["basic", "edge", "tiny", "multiband", "stats", "deflate"]
-    found = engine.metas([f"{url}/{n}" for n in names] + [None, f"{url}/edge"])
-    assert [found[f"{url}/{n}"].levels[0].width for n in names] == [512, 400, 16, 64, 64, 128]
+    names = list(SCENES)
+    found = engine.metas([f"{url}/{n}" for n in names] + [None, f"{url}/strip"])
+    assert [found[f"{url}/{n}"].levels[0].width for n in names] == [s.width for s in SCENES.values()]
     with pytest.raises(ValueError, match="none1"):
-        engine.metas([f"{url}/none1", f"{url}/edge", f"{url}/none2"])
-    local = LocalSource(paths["basic"])
+        engine.metas([f"{url}/none1", f"{url}/strip", f"{url}/none2"])
+    local = LocalSource(paths["hills"])
     spans = [(k * 60_000, k * 60_000 + 100) for k in (5, 1, 3, 0, 2, 4)]
-    assert HttpSource(f"{url}/basic").read_many(spans) == [local.read(a, b) for a, b in spans]
+    assert HttpSource(f"{url}/hills").read_many(spans) == [local.read(a, b) for a, b in spans]
 
 
 def test_tile_cache_keeps_its_budget():
