@@ -225,42 +225,68 @@ def decompress(raw: bytes, method: int, size: int) -> bytes:
     raise TiffError(f"compression {method} is not supported")
 
 
+def _lzw_widths() -> np.ndarray:
+    """Bits of each code after a clear code: a code adds an entry, and widths grow one entry early, up to 12 bits."""
+    entries = 258 + np.arange(4096)  # before the code's own entry, which the first code does not make
+    return np.clip(np.ceil(np.log2(entries + 1)).astype(np.int64), 9, 12)
+
+
+_WIDTHS = _lzw_widths()
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
+CLEAR, END, FIRST = 256, 257, 258  # fixed values of the format
+
+
 def unlzw(raw: bytes) -> bytes:
-    """LZW as TIFF has it: most significant bit first, codes widen one entry early."""
-    out = bytearray()
-    table: list[bytes] = []
-    bits = have = at = 0
-    width, last = 9, b""
-    while True:
-        while have < width:
-            if at >= len(raw):
-                return bytes(out)
-            bits = (bits << 8) | raw[at]
-            have += 8
-            at += 1
-        code = (bits >> (have - width)) & ((1 << width) - 1)
-        have -= width
-        bits &= (1 << have) - 1
-        if code == 257:
-            return bytes(out)
-        if code == 256:
-            table = [bytes([i]) for i in range(256)] + [b"", b""]
-            width, last = 9, b""
-            continue
-        if not table:
+    """LZW as TIFF has it: most significant bit first, codes widen one entry early.
+
+    The places of all codes up to the next clear code are known beforehand. The n-th code after one makes an
+    entry that lies in the output: what it wrote and the byte after it. So a code stands for a byte or for a run of
+    earlier output, and the bytes are found by following all references at once.
+    """
+    data = np.frombuffer(raw + b"\0\0\0\0", np.uint8).astype(np.int64)
+    out, at, total = [], 0, 8 * len(raw)
+    began = False
+    while at + 9 <= total:
+        n = int(np.searchsorted(_STARTS[1:], total - at, "right"))
+        first = at + _STARTS[:n]
+        byte, width = first >> 3, _WIDTHS[:n]
+        codes = ((data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> (24 - (first & 7) - width)) & ((1 << width) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        end = int(stop[0]) if len(stop) else n
+        if not began and (end or not len(stop)):
             raise TiffError("LZW data does not begin with a clear code")
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last:
-            word = last + last[:1]
-        else:
-            raise TiffError("LZW data is damaged")
-        out += word
-        if last:
-            table.append(last + word[:1])
-        last = word
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+        began = True
+        out.append(_lzw_run(codes[:end]))
+        if not len(stop) or codes[end] == END:
+            break
+        at += int(_STARTS[end + 1])
+    return b"".join(out)
+
+
+def _lzw_run(codes: np.ndarray) -> bytes:
+    """The bytes of the codes between two clear codes."""
+    n = len(codes)
+    if not n:
+        return b""
+    entry = np.where(codes >= FIRST, codes - FIRST, -1)
+    if (entry >= np.arange(n)).any():
+        raise TiffError("LZW data is damaged")
+    # how many bytes a code stands for: one more than the code that made its entry
+    length, up = np.ones(n, np.int64), np.append(entry, -1)
+    size = np.append((entry >= 0).astype(np.int64), 0)
+    while (up >= 0).any():
+        size, up = size + np.where(up >= 0, size[up], 0), np.where(up >= 0, up[up], -1)
+    length += size[:n]
+    begin = np.concatenate([[0], np.cumsum(length)])
+    whose = np.repeat(np.arange(n), length)
+    place = np.arange(begin[-1])
+    source = np.where(entry[whose] >= 0, begin[entry[whose]] + place - begin[whose], place)
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    return codes[whose[source]].astype(np.uint8).tobytes()
 
 
 def unpackbits(raw: bytes) -> bytes:
