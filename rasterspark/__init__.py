@@ -1,3 +1,3 @@
 """Raster and catalogue analytics expressed as Spark DataFrames."""
 
-__version__ = "0.3.0"
+__version__ = "0.2.0"

@@ -25,14 +25,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; local-cluster is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests in local mode) a folder of this process is used.
+    Where that is unset a local session uses a folder of this process; on a cluster it is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="rasterspark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
