@@ -28,6 +28,7 @@ class TileCache:
         self.limit, self.held = limit, OrderedDict()
         self.hits = self.misses = self.evictions = self.bytes = 0
         self.lock = threading.Lock()
+        self.coming: dict[tuple, tuple[threading.Event, list]] = {}
 
     def get(self, key: tuple) -> np.ndarray | None:
         with self.lock:
@@ -49,6 +50,35 @@ class TileCache:
                 self.bytes -= self.held.popitem(last=False)[1].nbytes
                 self.evictions += 1
 
+    def claim(self, key: tuple) -> tuple[np.ndarray | None, bool]:
+        """The tile; or nothing, and whether the caller is the first to miss it, who must `settle` it."""
+        tile = self.get(key)
+        if tile is not None:
+            return tile, False
+        with self.lock:
+            first = key not in self.coming
+            if first:
+                self.coming[key] = (threading.Event(), [])
+            return None, first
+
+    def settle(self, key: tuple, tile: np.ndarray | None) -> None:
+        """Give a claimed tile, or None if it could not be had, to the cache and to those that wait."""
+        if tile is not None:
+            self.put(key, tile)
+        with self.lock:
+            event, box = self.coming.pop(key)
+            box.append(tile)
+        event.set()
+
+    def wait(self, key: tuple) -> np.ndarray | None:
+        """The tile that another thread has claimed, or None if that thread has failed or was done before."""
+        with self.lock:
+            event, box = self.coming.get(key, (None, None))
+            if event is None:
+                return self.held.get(key)
+        event.wait()
+        return box[0]
+
     def stats(self) -> dict[str, int]:
         return {"hits": self.hits, "misses": self.misses, "evictions": self.evictions, "bytes": self.bytes, "max_bytes": self.limit}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,22 +83,44 @@ class Raster:
         return self.meta.levels[0]
 
     def tiles(self, wanted: Sequence[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-        """Each wanted tile as (bands, rows, cols); a group's byte ranges are fetched together."""
+        """Each wanted tile as (bands, rows, cols); a group's byte ranges are fetched together.
+
+        A cached raster's tile that another thread is fetching is waited for and not fetched again.
+        """
         for k in range(0, len(wanted), TILES_AT_ONCE):
-            group, ready = wanted[k : k + TILES_AT_ONCE], {}
-            for t in group:
-                if self.number is not None and (tile := cache.tiles.get((self.number, *t))) is not None:
+            group, ready, mine, theirs = wanted[k : k + TILES_AT_ONCE], {}, [], []
+            for t in dict.fromkeys(group):
+                if self.number is None:
+                    mine.append(t)
+                    continue
+                tile, first = cache.tiles.claim((self.number, *t))
+                if tile is not None:
                     ready[t] = tile
-            missing = [t for t in group if t not in ready]
-            spans = [self.top.ranges(*t) for t in missing]
-            whole = [r for s in spans for r in s if r[1] > r[0]]
-            parts = iter(self.source.read_many(whole)) if whole else iter(())
-            for t, span in zip(missing, spans, strict=True):
-                ready[t] = self.top.decode([next(parts) if r[1] > r[0] else b"" for r in span], self.meta.nodata)
+                else:
+                    (mine if first else theirs).append(t)
+            try:
+                ready |= self._fetch(mine)
+            finally:
                 if self.number is not None:
-                    cache.tiles.put((self.number, *t), ready[t])
+                    for t in mine:
+                        cache.tiles.settle((self.number, *t), ready.get(t))
+            again = []
+            for t in theirs:
+                if (tile := cache.tiles.wait((self.number, *t))) is None:
+                    again.append(t)  # the other thread failed, or the tile is gone already
+                else:
+                    ready[t] = tile
+            ready |= self._fetch(again)
             for t in group:
-                yield t, ready.pop(t)
+                yield t, ready[t]
+
+    def _fetch(self, wanted: Sequence[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+        spans = [self.top.ranges(*t) for t in wanted]
+        whole = [r for s in spans for r in s if r[1] > r[0]]
+        parts = iter(self.source.read_many(whole)) if whole else iter(())
+        raw = [[next(parts) if r[1] > r[0] else b"" for r in span] for span in spans]
+        # decompression leaves the interpreter's lock to other threads
+        return dict(zip(wanted, concurrently(lambda x: self.top.decode(x, self.meta.nodata), raw), strict=True))
 
     def valid(self, values: np.ndarray) -> np.ndarray:
         """Which float64 values are not nodata."""
@@ -230,6 +252,14 @@ def open_raster(path: str | bytes) -> Raster:
     return Raster(open_source(path))
 
 
+def together(run: Callable, items: Sequence, paths: Sequence[str | bytes]) -> None:
+    """run(item) of all items, several at a time where their files are remote; the first error in their order is raised."""
+    remote = [isinstance(p, str) and is_remote(p) for p in paths]
+    ahead = iter(concurrently(run, [i for i, far in zip(items, remote, strict=True) if far]))
+    for item, far in zip(items, remote, strict=True):
+        next(ahead) if far else run(item)
+
+
 class Opener:
     """Opens each distinct path of a batch once; an error names the path."""
 
@@ -245,7 +275,6 @@ class Opener:
                 raise ValueError(str(e) if str(name) in str(e) else f"'{name}': {e}") from e
         return self.held[path]
 
-
     def ahead(self, paths: Sequence[str | bytes | None]) -> None:
         """Open the distinct remote paths of a batch, several at a time; the first error in their order is raised."""
         new = [p for p in dict.fromkeys(paths) if isinstance(p, str) and is_remote(p) and p not in self.held]

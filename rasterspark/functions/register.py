@@ -81,77 +81,104 @@ def _of_meta_and_band(ddl: str, get: Callable[[Meta, int], object]) -> Callable:
     return run
 
 
-def _int32(value: float) -> int | None:
-    return int(value) if -_I32 <= value < _I32 else None
+def _floats(column: pa.Array | None, n: int) -> np.ndarray:
+    """A numeric column as float64, null as NaN."""
+    if column is None or pa.types.is_null(column.type):
+        return np.full(n, np.nan)
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _groups(keys: Sequence) -> list[tuple[object, np.ndarray]]:
+    """The distinct keys but None in their order, each with the places that have it."""
+    coded = pa.array(keys).dictionary_encode() if len(keys) else pa.array([], pa.string()).dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    edges = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    return [(k, order[a:b]) for k, a, b in zip(coded.dictionary.to_pylist(), edges[:-1], edges[1:], strict=True)]
 
 
 def _world_to_raster(path: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-    paths = _list(path)
-    found, out = engine.metas(paths), []
-    for p, a, b in zip(paths, _numbers(x, len(paths)), _numbers(y, len(paths)), strict=True):
-        cell = None
-        if p is not None and a is not None and b is not None:
-            if np.isfinite(a) and np.isfinite(b):
-                col, row = map(_int32, found[p].world_to_grid(a, b))
-                cell = None if col is None or row is None else {"col": col, "row": row}
-            else:
-                found[p].need_georef()
-        out.append(cell)
-    return pa.array(out, arrow_type("struct<col:int,row:int>"))
+    n = len(path)
+    paths, xs, ys = _list(path), _floats(x, n), _floats(y, n)
+    given = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)
+    found, cells, fits = engine.metas(paths), np.zeros((2, n)), np.zeros(n, bool)
+    for p, at in _groups(paths):
+        at = at[given[at]]
+        if len(at):
+            g = found[p].need_georef()
+            cells[:, at] = np.floor((xs[at] - g.origin_x) / g.pixel_x) + 1, np.floor((g.origin_y - ys[at]) / g.pixel_y) + 1
+            fits[at] = (np.isfinite(cells[:, at]) & (cells[:, at] >= -_I32) & (cells[:, at] < _I32)).all(axis=0)
+    whole = np.where(fits, cells, 0).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(whole[0]), pa.array(whole[1])], ["col", "row"], mask=pa.array(~fits))
 
 
 def _raster_to_world(path: pa.Array, col: pa.Array, row: pa.Array) -> pa.Array:
-    paths = _list(path)
-    found, out = engine.metas(paths), []
-    for p, a, b in zip(paths, _numbers(col, len(paths)), _numbers(row, len(paths)), strict=True):
-        out.append(None if p is None or a is None or b is None else dict(zip("xy", found[p].grid_to_world(int(a), int(b)), strict=True)))
-    return pa.array(out, arrow_type("struct<x:double,y:double>"))
-
-
-def _points(path: pa.Array, x: pa.Array, y: pa.Array, bands: Sequence[list]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Values of each band list at the rows' points, which exist, and which rows have no null argument."""
-    paths = _list(path)
-    n = len(paths)
-    xs, ys = _numbers(x, n), _numbers(y, n)
-    whole = np.array([None not in (p, a, b) and all(k[i] is not None for k in bands) for i, (p, a, b) in enumerate(zip(paths, xs, ys, strict=True))], bool)
+    n = len(path)
+    paths, cols, rows = _list(path), np.trunc(_floats(col, n)), np.trunc(_floats(row, n))
+    found, spots, known = engine.metas(paths), np.zeros((2, n)), np.zeros(n, bool)
+    for p, at in _groups(paths):
+        at = at[np.isfinite(cols[at]) & np.isfinite(rows[at])]
+        if len(at):
+            g = found[p].need_georef()
+            spots[:, at] = g.origin_x + (cols[at] - 1) * g.pixel_x, g.origin_y - (rows[at] - 1) * g.pixel_y
+            known[at] = True
+    return pa.StructArray.from_arrays([pa.array(spots[0]), pa.array(spots[1])], ["x", "y"], mask=pa.array(~known))
+
+
+def _points(path: pa.Array, x: pa.Array, y: pa.Array, bands: Sequence[pa.Array | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Values of each band column at the rows' points and which exist; rasters of a batch are read at the same time."""
+    n = len(path)
+    paths, xs, ys = _list(path), _floats(x, n), _floats(y, n)
+    numbers = [np.ones(n) if b is None else np.trunc(_floats(b, n)) for b in bands]
+    whole = np.ones(n, bool)
+    for column in (x, y, *(b for b in bands if b is not None)):
+        whole &= column.is_valid().to_numpy(zero_copy_only=False)
     values, known = [np.zeros(n) for _ in bands], [np.zeros(n, bool) for _ in bands]
+    groups = [(p, at[whole[at]]) for p, at in _groups(paths)]
+    groups = [(p, at) for p, at in groups if len(at)]
     opener = engine.Opener()
-    rows_of: dict = {}
-    for i in np.flatnonzero(whole):
-        rows_of.setdefault(paths[i], []).append(i)
-    opener.ahead(list(rows_of))
-    for p, rows in rows_of.items():
+    opener.ahead([p for p, _ in groups])
+
+    def read(group: tuple) -> None:
+        p, rows = group
         raster = opener(p)
-        for k, band in enumerate(bands):
-            for b in dict.fromkeys(band[i] for i in rows):
-                at = np.array([i for i in rows if band[i] == b])
-                values[k][at], known[k][at] = raster.pixels([xs[i] for i in at], [ys[i] for i in at], b)
-    return values, known, whole
+        for k, own in enumerate(numbers):
+            for b in np.unique(own[rows]).tolist():
+                at = rows[own[rows] == b]
+                values[k][at], known[k][at] = raster.pixels(xs[at], ys[at], int(b))
+
+    engine.together(read, groups, [p for p, _ in groups])
+    return values, known
 
 
 def _value(path: pa.Array, x: pa.Array, y: pa.Array, band: pa.Array | None = None) -> pa.Array:
-    (values,), (known,), _ = _points(path, x, y, [_bands(band, len(path))])
+    (values,), (known,) = _points(path, x, y, [band])
     return pa.array(values, mask=~known)
 
 
 def _difference(path: pa.Array, x: pa.Array, y: pa.Array, band1: pa.Array, band2: pa.Array) -> pa.Array:
-    (v1, v2), (k1, k2), _ = _points(path, x, y, [_bands(band1, len(path)), _bands(band2, len(path))])
+    (v1, v2), (k1, k2) = _points(path, x, y, [band1, band2])
     total = v1 + v2
     known = k1 & k2 & (total != 0)
     return pa.array(np.divide(v2 - v1, total, out=np.zeros_like(total), where=known), mask=~known)
 
 
 def _values(path: pa.Array, xs: pa.Array, ys: pa.Array, band: pa.Array | None = None) -> pa.Array:
-    opener, out = engine.Opener(), []
-    for p, a, b, k in zip(_list(path), _list(xs), _list(ys), _bands(band, len(path)), strict=True):
-        if None in (p, k) or a is None or b is None:
-            out.append(None)
-            continue
-        if len(a) != len(b):
-            raise ValueError(f"xs has {len(a)} elements and ys {len(b)}")
-        one = lambda v: None if v is None else float(v)
-        values, known = opener(p).pixels([one(v) if w is not None else None for v, w in zip(a, b, strict=True)], [one(w) for w in b], k)
-        out.append([v if ok else None for v, ok in zip(values.tolist(), known.tolist(), strict=True)])
+    rows = list(zip(_list(path), _list(xs), _list(ys), _bands(band, len(path)), strict=True))
+    live = [i for i, row in enumerate(rows) if not any(v is None for v in row)]
+    for i in live:
+        if len(rows[i][1]) != len(rows[i][2]):
+            raise ValueError(f"xs has {len(rows[i][1])} elements and ys {len(rows[i][2])}")
+    opener, out = engine.Opener(), [None] * len(rows)
+    opener.ahead([rows[i][0] for i in live])
+
+    def read(i: int) -> None:
+        p, a, b, k = rows[i]
+        one = lambda v, w: None if v is None or w is None else float(v)
+        values, known = opener(p).pixels([one(v, w) for v, w in zip(a, b, strict=True)], [one(w, v) for v, w in zip(a, b, strict=True)], k)
+        out[i] = [v if ok else None for v, ok in zip(values.tolist(), known.tolist(), strict=True)]
+
+    engine.together(read, live, [rows[i][0] for i in live])
     return pa.array(out, pa.list_(pa.float64()))
 
 
@@ -169,7 +196,7 @@ def _band_array(path: pa.Array, band: pa.Array, zone: pa.Array | None = None) ->
 
 
 def _zonal_rows(path: pa.Array, zones: list, bands: list) -> list[engine.Stats | None]:
-    """Statistics of each row; rows of one file and band share the reading of tiles."""
+    """Statistics of each row; rows of one file and band share the reading of tiles, and remote files are read at the same time."""
     out: list[engine.Stats | None] = [None] * len(zones)
     opener, groups = engine.Opener(), {}
     for i, (p, z, b) in enumerate(zip(_list(path), zones, bands, strict=True)):
@@ -178,9 +205,13 @@ def _zonal_rows(path: pa.Array, zones: list, bands: list) -> list[engine.Stats |
     opener.ahead([p for p, _ in groups])
     for p, _ in groups:
         opener(p)
-    for (p, b), rows in groups.items():
+
+    def read(group: tuple) -> None:
+        (p, b), rows = group
         for i, s in zip(rows, opener(p).zonal([zones[i] for i in rows], b), strict=True):
             out[i] = s
+
+    engine.together(read, list(groups.items()), [p for p, _ in groups])
     return out
 
 

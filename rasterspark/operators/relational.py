@@ -8,7 +8,7 @@ Partial results of a zone are merged by ordinary sums and extremes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from rasterspark.functions.register import UDFS
 from rasterspark.functions.types import arrow_type, spark_type
 from rasterspark.functions.zone import parse
 from rasterspark.plans import grid
+from rasterspark.session import Scratch
 
 SALT = 4
+BROADCAST_PATHS = 20_000  # of about 200 bytes each
 GRID = "array<struct<level:int,width:int,height:int,tile_width:int,tile_height:int>>"
 META = f"struct<levels:{GRID},bands:int,origin_x:double,origin_y:double,pixel_x:double,pixel_y:double,crs:string>"
 
@@ -52,9 +54,52 @@ def zone_envelope(wkt: pa.Array) -> pa.Array:
 
 
 def with_meta(rows: DataFrame, path: str = "path") -> DataFrame:
-    """Add `meta`; each distinct path is opened once, by one task."""
+    """Add `meta`; each distinct path is opened once, by one task.
+
+    The paths' metadata is written first. Up to BROADCAST_PATHS of them go to every task, so the rows, of which one path may have all,
+    are not shuffled; more are joined with each path's rows spread over SALT parts.
+    """
+    scratch = Scratch(rows.sparkSession, "metadata")
     metas = rows.select(F.col(path).alias("__of")).where("__of IS NOT NULL").distinct().withColumn("meta", raster_meta("__of"))
-    return rows.join(metas, F.col(path) == F.col("__of"), "left").drop("__of")
+    metas = scratch.table(metas, "metas")
+    if metas.count() <= BROADCAST_PATHS:
+        return rows.join(F.broadcast(metas), F.col(path) == F.col("__of"), "left").drop("__of")
+    parts = metas.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    return dealt.join(parts, (F.col(path) == F.col("__of")) & (F.col("__deal") == F.col("__part")), "left").drop("__of", "__part", "__deal")
+
+
+def _column_of(x: Column) -> Column:
+    return grid.pixel_of(x, F.col("meta.origin_x"), F.col("meta.pixel_x"), 1)
+
+
+def _row_of(y: Column) -> Column:
+    return grid.pixel_of(y, F.col("meta.origin_y"), F.col("meta.pixel_y"), -1)
+
+
+def _georeferenced(value: Column, needed: Column) -> Column:
+    """`value`, or an error where a raster without georeference is needed."""
+    missing = F.col("meta").isNotNull() & F.col("meta.origin_x").isNull() & needed
+    return F.when(missing, F.raise_error(F.lit("raster has no georeference")).cast("long")).otherwise(value)
+
+
+def world_to_raster(points: DataFrame, *, path: str = "path", x: str = "x", y: str = "y", col: str = "col", row: str = "row") -> DataFrame:
+    """Add the 1-based column and row of each point, as RS_WorldToRasterCoord gives them, by column arithmetic."""
+    ax, ay = F.col(x).cast("double"), F.col(y).cast("double")
+    whole = ax.isNotNull() & ay.isNotNull()
+    rows = with_meta(points.drop(col, row), path).withColumn("__c", _georeferenced(_column_of(ax), whole)).withColumn("__r", _row_of(ay))
+    least, most = -(1 << 31) - 1, (1 << 31) - 2  # 0-based cells whose 1-based numbers are ints
+    fits = ~F.isnan(ax) & ~F.isnan(ay) & F.col("__c").between(least, most) & F.col("__r").between(least, most)
+    return rows.withColumn(col, F.when(fits, F.col("__c") + 1).cast("int")).withColumn(row, F.when(fits, F.col("__r") + 1).cast("int")).drop("meta", "__c", "__r")
+
+
+def raster_to_world(cells: DataFrame, *, path: str = "path", col: str = "col", row: str = "row", x: str = "x", y: str = "y") -> DataFrame:
+    """Add the coordinates of the upper left corner of each 1-based cell, as RS_RasterToWorldCoord gives them, by column arithmetic."""
+    whole = F.col(col).isNotNull() & F.col(row).isNotNull()
+    rows = with_meta(cells.drop(x, y), path).withColumn("__c", _georeferenced(F.col(col).cast("long"), whole))
+    at_x = F.col("meta.origin_x") + (F.col("__c") - 1) * F.col("meta.pixel_x")
+    at_y = F.col("meta.origin_y") - (F.col(row) - 1) * F.col("meta.pixel_y")
+    return rows.withColumn(x, F.when(whole, at_x)).withColumn(y, F.when(whole, at_y)).drop("meta", "__c")
 
 
 def tiles(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -102,41 +147,47 @@ class _Held:
         return self.raster, self.data
 
 
-def sample_points(points: DataFrame, *, path: str = "path", x: str = "x", y: str = "y", band: int = 1, value: str = "value", salt: int = SALT) -> DataFrame:
-    """Add the pixel value at each point, as RS_Value gives it; all columns and rows are kept.
+def sample_bands(points: DataFrame, bands: Mapping[str, int], *, path: str = "path", x: str = "x", y: str = "y", salt: int = SALT) -> DataFrame:
+    """Add a column for each name of `bands` with that band's value at each point; a tile is read once for all of them.
 
     Null arguments, bands that do not exist and points outside give null. A raster without georeference is
     an error.
     """
-    rows = with_meta(points.drop(value), path)
-    top = F.element_at("meta.levels", 1)
-    missing = F.col("meta").isNotNull() & F.col("meta.origin_x").isNull() & F.col(x).isNotNull() & F.col(y).isNotNull()
-    col, row = grid.pixel_of(F.col(x).cast("double"), F.col("meta.origin_x"), F.col("meta.pixel_x"), 1), grid.pixel_of(F.col(y).cast("double"), F.col("meta.origin_y"), F.col("meta.pixel_y"), -1)
-    rows = rows.withColumn("__c", F.when(missing, F.raise_error(F.lit("raster has no georeference")).cast("long")).otherwise(col)).withColumn("__r", row)
-    inside = (F.col("__c") >= 0) & (F.col("__c") < top["width"]) & (F.col("__r") >= 0) & (F.col("__r") < top["height"]) & (F.lit(band) >= 1) & (F.lit(band) <= F.col("meta.bands"))
+    rows = with_meta(points.drop(*bands), path)
+    top, whole = F.element_at("meta.levels", 1), F.col(x).isNotNull() & F.col(y).isNotNull()
+    rows = rows.withColumn("__c", _georeferenced(_column_of(F.col(x).cast("double")), whole)).withColumn("__r", _row_of(F.col(y).cast("double")))
+    inside = (F.col("__c") >= 0) & (F.col("__c") < top["width"]) & (F.col("__r") >= 0) & (F.col("__r") < top["height"])
     rows = rows.withColumn("__tx", F.when(inside, F.floor(F.col("__c") / top["tile_width"]))).withColumn("__ty", F.when(inside, F.floor(F.col("__r") / top["tile_height"]))).drop("meta")
     dealt = _dealt(rows, [path, "__ty", "__tx"], salt, F.xxhash64("__c", "__r"))
     kept = [f for f in dealt.schema.fields if f.name not in ("__c", "__r", "__tx", "__ty")]
-    schema = StructType([*kept, StructField(value, DoubleType())])
+    schema = StructType([*kept, *(StructField(name, DoubleType()) for name in bands)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
         for batch in batches:
-            values, known = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            values, known = np.zeros((len(bands), batch.num_rows)), np.zeros((len(bands), batch.num_rows), bool)
             cols, rws = (batch.column(batch.schema.names.index(n)) for n in ("__c", "__r"))
             for (p, ty, tx), a, b in _runs(batch, (path, "__ty", "__tx")):
                 if tx is None:
                     continue
                 raster, tile = held.tile(p, tx, ty)
-                got = tile[band - 1, rws[a:b].to_numpy() - ty * raster.top.tile_height, cols[a:b].to_numpy() - tx * raster.top.tile_width].astype(float)
-                values[a:b], known[a:b] = got, raster.valid(got)
+                at = np.s_[rws[a:b].to_numpy() - ty * raster.top.tile_height, cols[a:b].to_numpy() - tx * raster.top.tile_width]
+                for k, band in enumerate(bands.values()):
+                    if raster.has_band(band):
+                        got = tile[band - 1][at].astype(float)
+                        values[k, a:b], known[k, a:b] = got, raster.valid(got)
             columns = [batch.column(batch.schema.names.index(f.name)).cast(arrow.field(i).type) for i, f in enumerate(kept)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, mask=~known)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, mask=~k) for v, k in zip(values, known, strict=True))], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
+def sample_points(points: DataFrame, *, band: int = 1, value: str = "value", **options) -> DataFrame:
+    """Add the pixel value at each point, as RS_Value gives it; all columns and rows are kept."""
+    return sample_bands(points, {value: band}, **options)
+
+
 PARTIAL = "count bigint, sum double, low double, high double"
 
 
@@ -222,9 +273,9 @@ def band_pixels(paths: DataFrame, *, path: str = "path", band: int = 1) -> DataF
 
 def normalized_difference(points: DataFrame, band1: int, band2: int, *, value: str = "nd", **options) -> DataFrame:
     """Add (v2 - v1) / (v2 + v1) at each point; null if a value is missing or the sum is 0."""
-    rows = sample_points(sample_points(points, band=band1, value="__v1", **options), band=band2, value="__v2", **options)
+    rows = sample_bands(points.drop(value), {"__v1": band1, "__v2": band2}, **options)
     total = F.col("__v1") + F.col("__v2")
     return rows.withColumn(value, F.when(total != 0, (F.col("__v2") - F.col("__v1")) / total)).drop("__v1", "__v2")
 
 
-__all__ = ["UDFS", "band_pixels", "normalized_difference", "raster_meta", "sample_points", "tiles", "with_meta", "zonal_stats", "zone_envelope"]
+__all__ = ["UDFS", "band_pixels", "normalized_difference", "raster_meta", "raster_to_world", "sample_bands", "sample_points", "tiles", "with_meta", "world_to_raster", "zonal_stats", "zone_envelope"]

@@ -114,16 +114,20 @@ class StoreSource(ByteSource):
 
 
 def concurrently(run: Callable, items: Sequence) -> Iterator:
-    """run(item) of all items in their order, COG_FETCH_CONCURRENCY (16) at a time; the first error is raised."""
-    if len(items) < 2:
+    """run(item) of all items in their order, COG_FETCH_CONCURRENCY (16) at a time; the first error is raised.
+
+    Inside a thread of this pool the items follow each other, so that no thread waits for one that never comes.
+    """
+    if len(items) < 2 or getattr(_inside, "pool", False):
         return map(run, items)
     global _threads
     if _threads is None or _threads[0] != os.getpid():  # workers are forked
-        _threads = (os.getpid(), ThreadPoolExecutor(max(1, int(os.environ.get("COG_FETCH_CONCURRENCY", "16") or 16))))
+        _threads = (os.getpid(), ThreadPoolExecutor(max(1, int(os.environ.get("COG_FETCH_CONCURRENCY", "16") or 16)), initializer=lambda: setattr(_inside, "pool", True)))
     return _threads[1].map(run, items)
 
 
 _threads: tuple[int, ThreadPoolExecutor] | None = None
+_inside = threading.local()
 
 
 class HttpSource(ByteSource):

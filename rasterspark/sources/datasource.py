@@ -12,20 +12,24 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from rasterspark.functions import engine
+from rasterspark.functions.model import Meta
 from rasterspark.functions.types import arrow_schema
 from rasterspark.sources import stac
 
 CHUNK = 65_536  # tiles of a partition
+SLOTS = 4096  # partitions of a load of many files
 SIDES = ("xmin", "ymin", "xmax", "ymax")
 TILES = "path string, id bigint, level int, tile_x int, tile_y int, cols int, rows int, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, crs string"
 
 
 @dataclass
 class TileRows(InputPartition):
-    path: str
-    level: int
-    first: int
-    last: int
+    """Rows of tiles first..last of one level of a file, or whole files (level -1)."""
+
+    paths: list[str]
+    level: int = -1
+    first: int = 0
+    last: int = 0
 
 
 def paths_of(options) -> list[str]:
@@ -74,31 +78,38 @@ class CogReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
+        """Chunks of one file's tiles; several files are opened by their tasks, as many as SLOTS tasks have them, and not here."""
+        if len(self.paths) != 1:
+            step = max(1, -(-len(self.paths) // SLOTS))
+            return [TileRows(self.paths[k : k + step]) for k in range(0, len(self.paths), step)] or [TileRows([])]
         out = []
-        for path in self.paths:
-            meta = engine.Opener()(path).meta
-            for number, level in enumerate(meta.levels):
-                if self.levels is not None and number not in self.levels:
-                    continue
+        for number, level in enumerate(engine.Opener()(self.paths[0]).meta.levels):
+            if self.levels is None or number in self.levels:
                 step = max(1, CHUNK // level.tiles_x)
-                out += [TileRows(path, number, y, min(y + step, level.tiles_y)) for y in range(0, level.tiles_y, step)]
-        return out or [TileRows("", 0, 0, 0)]
+                out += [TileRows(self.paths, number, y, min(y + step, level.tiles_y)) for y in range(0, level.tiles_y, step)]
+        return out or [TileRows([])]
 
     def read(self, partition: TileRows) -> Iterator[pa.RecordBatch]:
-        if partition.first >= partition.last:
-            return
-        meta = engine.Opener()(partition.path).meta
+        opener = engine.Opener()
+        opener.ahead(partition.paths)
+        rows, schema = [], arrow_schema(TILES)
+        for row in (row for path in partition.paths for row in self._rows(path, opener(path).meta, partition)):
+            rows.append(row)
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def _rows(self, path: str, meta: Meta, partition: TileRows) -> Iterator[dict]:
         wanted = None
         if meta.georef and any(map(math.isfinite, self.box.values())):
             # what touches the box [least xmax, least ymax, greatest xmin, greatest ymin] of the filters
             wanted = [self.box["xmax"], self.box["ymax"], self.box["xmin"], self.box["ymin"]]
-        rows = [
-            {"path": partition.path, "id": key, "level": level, "tile_x": x, "tile_y": y, "cols": cols, "rows": rows, "bbox": box and dict(zip(SIDES, box, strict=True)), "crs": crs}
-            for key, level, x, y, cols, rows, box, crs in meta.level_tiles(partition.level, partition.first, partition.last, wanted)
-        ]
-        schema = arrow_schema(TILES)
-        for k in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema=schema)
+        spans = [(partition.level, partition.first, partition.last)] if partition.level >= 0 else [(k, 0, t.tiles_y) for k, t in enumerate(meta.levels) if self.levels is None or k in self.levels]
+        for number, first, last in spans:
+            for key, level, x, y, cols, rows, box, crs in meta.level_tiles(number, first, last, wanted):
+                yield {"path": path, "id": key, "level": level, "tile_x": x, "tile_y": y, "cols": cols, "rows": rows, "bbox": box and dict(zip(SIDES, box, strict=True)), "crs": crs}
 
 
 class StacSource(DataSource):
