@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import threading
-from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from rasterspark import eventgrid
+import rasterspark
+from rasterspark import eventgrid, loopback
+from rasterspark.functions import cache, engine
 from rasterspark.functions.register import register
 from rasterspark.operators import relational
 from rasterspark.plans import grid
@@ -166,6 +168,22 @@ def sample_points_relational(spark, sf_dir):
     return relational.sample_points(points, value="v").select("event_id", "v")
 
 
+@query(f"WITH {PX} SELECT event_id, CASE WHEN v1 <> 0 AND v2 <> 0 THEN round((v2 - v1) / (v2 + v1), 9) END AS nd FROM px")
+def normalized_difference_relational(spark, sf_dir):
+    points = _on_grid(spark, sf_dir, "SELECT event_id, {f} AS path, 1000 + (event_id % 100 + 0.5D) * 10 AS x, 100000 - (event_id DIV 100 + 0.5D) * 10 AS y FROM events")
+    return relational.normalized_difference(points, 1, 2).select("event_id", F.round("nd", 9).alias("nd"))
+
+
+@query(
+    "SELECT c_custkey, CAST(floor((c_custkey * 7.25::DOUBLE) / 10) + 1 AS INTEGER) AS col, CAST(floor((c_custkey * 3.125::DOUBLE) / 10) + 1 AS INTEGER) AS row_nr, "
+    "1000.0::DOUBLE + (c_custkey - 1) * 10.0::DOUBLE AS cx, 100000.0::DOUBLE - (c_nationkey - 1) * 10.0::DOUBLE AS cy FROM customer"
+)
+def coordinates_relational(spark, sf_dir):
+    rows = _on_grid(spark, sf_dir, "SELECT c_custkey, CAST(c_custkey AS INT) AS c, c_nationkey AS r, {f} AS path, 1000 + c_custkey * 7.25D AS x, 100000 - c_custkey * 3.125D AS y FROM customer")
+    cells = relational.world_to_raster(rows, row="row_nr")
+    return relational.raster_to_world(cells, col="c", row="r", x="cx", y="cy").select("c_custkey", "col", "row_nr", "cx", "cy")
+
+
 @query(f"WITH {PX} SELECT r AS row_nr, c AS col, nullif(v1, 0) AS v FROM px")
 def band_pixels_relational(spark, sf_dir):
     paths = spark.createDataFrame([(eventgrid.event_grid(spark, sf_dir),)], "path string")
@@ -312,6 +330,21 @@ def scene_stream(spark, sf_dir):
     return spark.read.parquet(f"{scratch.path}/out").where("count > 0").select(scene, F.col("count").alias("n"), F.col("sum").alias("s"), F.round("mean", 4).alias("m"), F.col("min").alias("lo"), F.col("max").alias("hi"))
 
 
+@query(f"WITH {PX}, s AS (SELECT DISTINCT event_type AS scene FROM events) SELECT scene, CAST(4 * ceil(h / 32.0) AS BIGINT) AS n, 2000.0::DOUBLE AS right_edge, 100000.0 - h * 10.0::DOUBLE AS bottom FROM s, dim")
+def read_cog_lateral(spark, sf_dir):
+    eventgrid.scenes(spark, sf_dir).createOrReplaceTempView("scenes")
+    return spark.sql("SELECT scene, count(*) AS n, max(t.bbox.xmax) AS right_edge, min(t.bbox.ymin) AS bottom FROM scenes, LATERAL read_cog(scenes.path) AS t WHERE t.level = 0 GROUP BY scene")
+
+
+@query(f"WITH {PX}, hit AS (SELECT event_type AS scene, v1 AS v FROM px WHERE v1 <> 0 AND {_IN_HOLE}), every AS (SELECT DISTINCT event_type AS scene FROM events) SELECT scene, 100::INTEGER AS w, h::INTEGER AS h, count(v) AS n, sum(v) AS s FROM dim, every LEFT JOIN hit USING (scene) GROUP BY scene, h")
+def rs_on_content(spark, sf_dir):
+    """Files as binary content, metadata and zones without a path."""
+    folder = eventgrid.scenes(spark, sf_dir).first()["path"].rsplit("/", 1)[0]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder)
+    found = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("scene"), F.expr("RS_MetaData(content)").alias("m"), F.expr(f"RS_ZonalStatsAll(content, '{_HOLE}')").alias("s"))
+    return found.select("scene", F.col("m.width").alias("w"), F.col("m.height").alias("h"), F.col("s.count").alias("n"), F.col("s.sum").alias("s"))
+
+
 # ------------------------------------------------------------------ catalogues
 _ITEMS = "item AS (SELECT p_partkey, p_size, p_retailprice, p_size % 3 <> 0 AS known, p_brand, unnest(CASE WHEN p_size % 2 = 1 THEN ['data', 'preview'] ELSE ['data'] END) AS asset_key FROM part)"
 
@@ -332,37 +365,9 @@ def stac_band_stats(spark, sf_dir):
     return rows.selectExpr("item_id", "band_stats[0].min AS lo", "band_stats[0].max AS hi", "band_stats[0].mean AS mean", "band_stats[0].stddev IS NULL AND band_stats[1].max IS NULL AS no_sd", "size(band_stats) AS bands")
 
 
-def search_server(items: int, page: int) -> ThreadingHTTPServer:
-    """A search API on this host with `items` items, for queries and tests; it stops with the process."""
-
-    class Handler(BaseHTTPRequestHandler):
-        protocol_version = "HTTP/1.1"
-
-        def do_POST(self):  # noqa: N802
-            body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
-            first = int(body.get("token", 0))
-            size = int(body.get("limit", page))
-            known = [] if body.get("collections") == ["empty"] else range(first, min(first + size, items))
-            document = {"type": "FeatureCollection", "features": [{"type": "Feature", "id": f"scene-{i}", "collection": (body.get("collections") or ["all"])[0], "assets": {"B04": {"href": f"scene-{i}.tif"}}} for i in known]}
-            if known and first + size < items:
-                document["links"] = [{"rel": "next", "href": "/search", "method": "POST", "merge": True, "body": {"token": first + size}}]
-            data = json.dumps(document).encode()
-            self.send_response(200 if self.path == "/search" else 404)
-            self.send_header("Content-Length", str(len(data)))
-            self.end_headers()
-            self.wfile.write(data)
-
-        def log_message(self, *_):
-            pass
-
-    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    return server
-
-
 def _search(spark, arguments: str) -> DataFrame:
-    port = search_server(120, 50).server_port
-    return spark.sql(f"SELECT item_id, collection, asset_key, href FROM read_stac_search('http://127.0.0.1:{port}/search'{arguments})")
+    url = loopback.address(loopback.search_server(120, 50, loopback.driver_host(spark)), "/search")
+    return spark.sql(f"SELECT item_id, collection, asset_key, href FROM read_stac_search('{url}'{arguments})")
 
 
 @query("SELECT 'scene-' || i AS item_id, 'c1' AS collection, 'B04' AS asset_key, 'scene-' || i || '.tif' AS href FROM generate_series(0, 119) AS t(i)")
@@ -376,11 +381,31 @@ def stac_search_cap(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ service tables
-@query("SELECT '0.3.0' AS version")
+@query(f"SELECT '{rasterspark.__version__}' AS version")
 def cog_version(spark, sf_dir):
     return spark.sql("SELECT * FROM cog_version()")
 
 
+@query(f"WITH {PX} SELECT CAST(4 * ceil(h / 32.0) AS BIGINT) AS misses, CAST(4 * ceil(h / 32.0) AS BIGINT) AS hits, CAST(4 * ceil(h / 32.0) * 32 * 32 * 2 * 2 AS BIGINT) AS bytes FROM dim")
+def cog_cache_hits(spark, sf_dir):
+    """Every tile of a remote raster read twice by one worker: fetched once, found once."""
+    server = loopback.file_server(eventgrid.event_grid(spark, sf_dir), loopback.driver_host(spark))
+    url = loopback.address(server, f"/file?{uuid.uuid4().hex}")  # an address that no worker has opened before
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                before = cache.tiles.stats()
+                for _ in range(2):
+                    raster = engine.open_raster(path)
+                    for _ in raster.tiles([(x, y) for y in range(raster.top.tiles_y) for x in range(raster.top.tiles_x)]):
+                        pass
+                after = cache.tiles.stats()
+                yield pa.RecordBatch.from_pylist([{k: after[k] - before[k] for k in ("misses", "hits", "bytes")}], schema=pa.schema([(k, pa.int64()) for k in ("misses", "hits", "bytes")]))
+
+    return spark.createDataFrame([(url,)], "path string").mapInArrow(probe, "misses bigint, hits bigint, bytes bigint")
+
+
 @query("SELECT true AS ok")
 def cog_cache_stats(spark, sf_dir):
     return spark.sql("SELECT hits >= 0 AND misses >= 0 AND evictions >= 0 AND bytes BETWEEN 0 AND max_bytes AS ok FROM cog_cache_stats()")
