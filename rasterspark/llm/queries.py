@@ -17,6 +17,16 @@ SHARD_BYTES = 1 << 20
 TARGETS = {"source": mixing.Tempered(None, 0.9), "lang": mixing.Tempered(None, 0.9), "topic": mixing.Tempered(None, 0.8)}
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as it is read, its rows dealt out to all cores if it has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _fold(n: int):
     """crc32 of the id as text, modulo n; a null id is in no fold."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -28,11 +38,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
+    return neardup.components(documents(spark, sf_dir), size=3, percent=85)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return htmltext.extract_pages(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +58,7 @@ def mixed(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
     The text is encoded once, for its tokens and its topic.
     """
-    counts = mixing.counted(public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("counts")
+    counts = mixing.counted(public_tokenizers.path("byte_bpe_50k.json")).alias("counts")
     kept = [F.col(f"`{c}`") for c in rows.columns if c != "text"]
     written = scratch.table(rows.select(*kept, F.xxhash64("text").alias("digest"), counts).select("*", "counts.*").drop("counts"), "counted")
     classed = written.withColumn("topic", mixing.topic_of(mixing.learn_topics(written))).drop("profile")
@@ -56,13 +66,12 @@ def mixed(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mixed(Scratch(spark, "mixture"), docs.select("doc_id", "source", "lang", "text"))
+    out = mixed(Scratch(spark, "mixture"), documents(spark, sf_dir).select("doc_id", "source", "lang", "text"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", "taken")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.train(docs.where(_fold(3) != 1))
     held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
     return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score", "accepted")
@@ -73,12 +82,11 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0))
     held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
     return quality.score(quality.measure(docs), forest).select("doc_id", held_out, "score", "predicted")

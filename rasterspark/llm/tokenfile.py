@@ -164,6 +164,11 @@ def _store(tokenizer_path: str, added_tokens: bool) -> tuple[UnitStore, int]:
     return UnitStore(encode, whole=[x.content.encode() for x in added]), own.get_vocab_size()
 
 
+def encoder(tokenizer_path: str) -> UnitStore:
+    """The encoder of a tokenizer file to which the strings of added tokens are ordinary text."""
+    return _store(tokenizer_path, False)[0]
+
+
 INDEX = "shard int, path string, doc_id long, offset long, n_tokens long"
 
 
@@ -180,7 +185,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, vocabulary), writer = _store(tokenizer_path, added_tokens), None
+        (own, vocabulary), writer = _store(tokenizer_path, added_tokens), None
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
@@ -190,7 +195,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, *, shards: int, seq_l
             data, offsets = flat(batch.column(1))
             for a, b in slices(offsets):
                 base = offsets[a]
-                ids, ends = store.encode_texts(data[base : offsets[b]], offsets[a : b + 1] - base)
+                ids, ends = own.encode_texts(data[base : offsets[b]], offsets[a : b + 1] - base)
                 lengths = np.diff(ends) + 1
                 began = writer.append(np.insert(ids, ends[1:], np.uint32(end_id)))
                 n = b - a

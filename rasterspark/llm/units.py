@@ -134,10 +134,14 @@ class UnitStore:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         return ids[ragged(begin, lengths)], ends[np.searchsorted(starts, offsets)]
 
-    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Number of ids of each text."""
-        *_, ends, starts = self._units(data, offsets)
-        return np.diff(ends[np.searchsorted(starts, offsets)]) if len(starts) else np.zeros(len(offsets) - 1, np.int64)
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text; the first id of every unit, one text after the other; and the number of units of each text."""
+        ids, begin, _, ends, starts = self._units(data, offsets)
+        if not len(starts):
+            none = np.zeros(len(offsets) - 1, np.int64)
+            return none, np.empty(0, np.uint32), none
+        at = np.searchsorted(starts, offsets)
+        return np.diff(ends[at]), ids[begin], np.diff(at)
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """The arena, where each unit's ids begin in it and how many they are, their running sum, and the units' starts."""

@@ -199,3 +199,15 @@ def test_ranged_reads_equal_mapped_ones(tmp_path, n):
         assert x.tolist() == y.tolist() and m.to_pylist() == k.to_pylist()
     with pytest.raises(IndexError):
         near.sequence(len(near) + 4)
+
+
+def test_counts_agree_with_the_ids():
+    own = tokenfile.encoder(JSON)
+    data, offsets = "".join(ODD).encode(), np.cumsum([0, *(len(t.encode()) for t in ODD)])
+    flat = np.frombuffer(data, np.uint8)
+    ids, ends = own.encode_texts(flat, offsets)
+    tokens, first, units = own.counts(flat, offsets)
+    assert tokens.tolist() == np.diff(ends).tolist() and len(first) == units.sum()
+    begins = np.cumsum(units) - units
+    assert all(first[b] == ids[e] for b, e, n in zip(begins, ends, tokens, strict=False) if n)
+    assert [x.tolist() for x in own.counts(flat[:0], np.zeros(3, np.int64))] == [[0, 0], [], [0, 0]]
