@@ -45,6 +45,8 @@ MARKS = frozenset(
 )
 # Of these, words that also head ordinary names ("search-algorithms"): they mark as a whole class or role only.
 ORDINARY = frozenset("alert aside banner comment copyright discussion login menu notice notices notification overlay related replies reply respond search share sharing skip social widget".split())
+# Words by which a name says something of an element that is not the region itself.
+_OF = frozenset("no not non has have with without hide show is are enabled disabled open free after before above below".split())
 # Regions that may hold more text than the article does.
 _LONG = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _NO_ARTICLE = frozenset("comment comments ad ads advert sponsored promo related".split())
@@ -77,11 +79,13 @@ class Region:
     kept: bool = False
 
 
-def _marks(attrs: str, by_head: bool) -> tuple[frozenset[str], bool, bool]:
+def _marks(element: str, attrs: str) -> tuple[frozenset[str], bool, bool]:
     """Marks by class, id and role; whether the element is hidden; whether it is an article's body.
 
-    A name marks as a whole or, `by_head`, by its first word.
+    A name marks as a whole or by its first or last word ("site-footer"), but not by one that it says something
+    of ("no-sidebar"). Articles mark as a whole only, and the last word of a section's id is a word of its title.
     """
+    parts = element not in ARTICLE
     words, hidden, body = set(), False, False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -95,13 +99,16 @@ def _marks(attrs: str, by_head: bool) -> tuple[frozenset[str], bool, bool]:
             body |= value.lower() == "articlebody"
         else:
             for token in value.split():
-                whole, first = token.lower(), _WORD.search(token)
+                whole = token.lower()
                 if whole in MARKS and (name != "id" or whole not in ORDINARY):
                     words.add(whole)
-                elif by_head and first and (head := first[0].lower()) in MARKS and head not in ORDINARY and first.start() == 0:
-                    words.add(head)
                 elif whole == "header":
                     words.add(whole)
+                elif parts and (found := [x.lower() for x in _WORD.findall(token)]) and not _OF.intersection(found):
+                    ends = {found[0]} if token[0].isalpha() else set()
+                    if name != "id" or element != "section":
+                        ends.add(found[-1])
+                    words |= (ends & MARKS) - ORDINARY
             body |= name == "role" and value.lower() == "main"
     return frozenset(words), hidden, body
 
@@ -213,7 +220,7 @@ def lines(page: str) -> tuple[list[Line], list[Region]]:
             continue
         inside, within = article, region
         if name not in ("html", "body"):
-            words, hidden, body = _marks(found["attrs"] or found["attrs2"] or "", name not in ARTICLE)
+            words, hidden, body = _marks(name, found["attrs"] or found["attrs2"] or "")
             marks = words & (MARKS if name not in ARTICLE else _NO_ARTICLE) if name in CONTAINERS else frozenset()
             header = name in CONTAINERS and (name == "header" or "header" in words) and not inside and name not in ARTICLE
             hard = hidden or name in DROPPED

@@ -148,3 +148,15 @@ def test_hot_regions_and_long_texts_are_whole():
     text = "x" * 3_000_000
     assert htmltext.extract(f"<form><p>{text}</p></form>") == text
     assert htmltext.extract("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>").count(LONG.strip()) == 5000
+
+
+@pytest.mark.parametrize("mark", ['class="site-footer"', 'id="right-sidebar"', 'class="mainNav"', 'class="post-comments"', 'class="page__cookies"', 'class="top_menu navbar"'])
+def test_regions_named_by_their_last_word_go(mark):
+    got = htmltext.extract(page(f"<div><p>{LONG}</p><p>{LONG}</p></div><div {mark}><p>{LONG}</p></div>"))
+    assert got.split("\n\n") == [LONG.strip()] * 2
+
+
+@pytest.mark.parametrize("mark", ['<section id="search-engine-advertising">{}</section>', '<div class="without-ads">{}</div>', '<section id="how-to-subscribe"><h2>How</h2>{}</section>', '<article class="dark-footer">{}</article>'])
+def test_sections_titled_like_regions_stay(mark):
+    got = htmltext.extract(page(f"<div><p>{LONG}</p>{mark.format(f'<p>{LONG}</p>')}<p>{LONG}</p></div>"))
+    assert got.count(LONG.strip()) == (3 if "article" not in mark else 1)
