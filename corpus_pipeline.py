@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterspark.llm import bpe, langid, neardup, quality
-from rasterspark.llm.queries import mixed
+from rasterspark.llm.queries import documents, mixed
 from rasterspark.session import Scratch, prepare
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -64,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents`; each stage's rows are written to the shared folder and reread."""
     prepare(spark)
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
