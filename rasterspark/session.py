@@ -10,14 +10,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = str(16 << 20)
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound what they hold at a time.
 
-    On a cluster the package is installed on every node and the extra entry is harmless.
+    On a cluster the package is installed on every node and the extra entry is harmless. Arrow batches get BATCH_BYTES, beside
+    their bound in rows, unless the session has a bound of its own: so a batch of very long texts stays small.
     """
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64m", "64MB"):  # Spark's own
+        spark.conf.set(_BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:

@@ -214,6 +214,18 @@ def test_a_cluster_needs_a_shared_folder(tmp_path):
     assert Path(session.shared_dir(fake("local[4]"))).is_dir()
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 20000) AS text")
+    got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.bytes for r in got) < 20 << 20
+
+
 def test_the_entry_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", "llm", "corpus_pipeline.py"))
