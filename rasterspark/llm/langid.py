@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from rasterspark.llm.textbytes import release
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 64  # bound of the labelled sample: distinct texts of each language, taken whole
+SAMPLE_DOCS = 24  # bound of the labelled sample: distinct texts of each language, taken whole
 BLOCK = 4096
 SEARCH = 3  # of the match finder, as a power of two
 MIN_MARGIN = 0.005
