@@ -7,6 +7,7 @@ import time
 from rasterspark.functions.engine import Raster
 from rasterspark.sources.bytesource import CountingSource, open_source
 
+# The seed and, below, the shifts of the workload's points, by which its checksums can be compared.
 SEED = 0x9E3779B97F4A7C15
 POINTS = 64
 _MASK = (1 << 64) - 1
