@@ -160,3 +160,10 @@ def test_regions_named_by_their_last_word_go(mark):
 def test_sections_titled_like_regions_stay(mark):
     got = htmltext.extract(page(f"<div><p>{LONG}</p>{mark.format(f'<p>{LONG}</p>')}<p>{LONG}</p></div>"))
     assert got.count(LONG.strip()) == (3 if "article" not in mark else 1)
+
+
+def test_all_pages_without_their_article_elements():
+    """The windows alone find the same text on every page of the table."""
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        plain = re.sub(r"<(/?)article>", r"<\1div>", row["html"])
+        assert htmltext.extract(plain) == htmltext.extract(row["html"]) != ""
