@@ -23,14 +23,14 @@ def connected(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         step += 1
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{step}-large")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = scratch.table(moved.distinct(), f"{name}-{step}-star")
         # small star: a node and its smaller neighbours move to the smallest of them
         least = scratch.table(star.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-small")
         moved = star.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
         now = scratch.table(moved.distinct(), f"{name}-{step}")
-        for old in (f"{name}-{step}-large", f"{name}-{step}-star", f"{name}-{step}-small", f"{name}-{step - 1}"):
+        for old in (f"{name}-{step}-star", f"{name}-{step}-small", f"{name}-{step - 1}"):
             scratch.drop(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

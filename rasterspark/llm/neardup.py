@@ -257,14 +257,13 @@ def _alive(scratch: Scratch, nodes: DataFrame, m: int) -> DataFrame:
     ka stands for i and a_i, b is the array of all b_j, weight the number of nodes that share the a_i, over all i.
     """
     first = F.posexplode(F.array(*(f"a{i}" for i in range(m)))).alias("i", "a")
-    sides = scratch.table(nodes.select("node", first).select("node", "i", F.xxhash64("i", "a").alias("ka")), "sides")
-    shared = scratch.table(sides.groupBy("ka").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
+    sides = nodes.select("node", first).select("node", "i", F.xxhash64("i", "a").alias("ka"))
+    shared = sides.groupBy("ka").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     rows = scratch.table(sides.join(shared, "ka"), "some")
-    weights = scratch.table(rows.groupBy("node").agg(F.sum("many").alias("weight")), "weights")
+    weights = rows.groupBy("node").agg(F.sum("many").alias("weight"))
     known = nodes.select("node", "n", F.array(*(f"b{i}" for i in range(m))).alias("b")).join(weights, "node")
-    out = scratch.table(rows.drop("many").join(scratch.table(known, "known"), "node"), "alive")
-    for old in ("sides", "shared", "some", "weights"):
-        scratch.drop(old)
+    out = scratch.table(rows.drop("many").join(known, "node"), "alive")
+    scratch.drop("some")
     return out
 
 
@@ -273,7 +272,7 @@ def _link(scratch: Scratch, alive: DataFrame, grams: DataFrame, percent: int) ->
     order = F.xxhash64("node").bitwiseAND((1 << 20) - 1) - F.shiftleft("weight", 20)
     centres = alive.withColumn("order", order).groupBy("ka").agg(F.min_by("node", "order").alias("centre"))
     known = alive.select(F.col("node").alias("centre"), F.col("n").alias("c_n"), F.col("b").alias("c_b")).dropDuplicates(["centre"])
-    centres = scratch.table(centres.join(known, "centre"), "centres")
+    centres = centres.join(known, "centre")
     same_b = F.exists(F.zip_with("b", "c_b", lambda x, y: x == y), lambda same: same)
     met = alive.join(centres, "ka").where("node != centre").where(_similar_sizes("n", "c_n", percent)).where(same_b)
     pairs = scratch.table(met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "pairs")
@@ -282,14 +281,13 @@ def _link(scratch: Scratch, alive: DataFrame, grams: DataFrame, percent: int) ->
     rows = alive.select("ka", "node", "n", "b").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = scratch.table(rows, "named")
     groups = rows.groupBy("ka").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = scratch.table(groups.where("low < high").select("ka", "many", "total"), "groups")
+    groups = groups.where("low < high").select("ka", "many", "total")
     rows = scratch.table(rows.join(groups, "ka"), "mixed")
 
     in_blocks = _across_blocks(rows.where(F.col("many") >= LARGE).drop("b"), grams, percent)
     in_pairs = _across_pairs(scratch, rows.where(F.col("many") < LARGE), percent)
     in_pairs = _confirmed(in_pairs.join(pairs, ["u", "v"], "left_anti"), grams, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    edges = scratch.table(in_blocks.unionByName(in_pairs).distinct(), "edges")
-    joined = scratch.table(connected(scratch, edges, "second"), "joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    joined = scratch.table(connected(scratch, in_blocks.unionByName(in_pairs), "second"), "joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
     moved = found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
     return scratch.table(moved.unionByName(alone), "linked")
@@ -305,12 +303,12 @@ def _across_pairs(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
         F.min("component").alias("c_low"), F.max("component").alias("c_high"),
     )
     # buckets of equal members are one bucket
-    once = scratch.table(buckets.where("c_low < c_high").groupBy("k", "low", "high", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "once")
+    once = buckets.where("c_low < c_high").groupBy("k", "low", "high", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     live = scratch.table(keyed.join(once, "key", "left_semi"), "live")
     scratch.drop("keyed")
     other = live.select("key", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("component").alias("o_component"))
     met = live.join(other, "key").where("node < o_node AND component != o_component").where(_similar_sizes("n", "o_n", percent))
-    return scratch.table(met.select(F.col("node").alias("u"), F.col("o_node").alias("v"), F.col("component").alias("cu"), F.col("o_component").alias("cv")).distinct(), "across")
+    return met.select(F.col("node").alias("u"), F.col("o_node").alias("v"), F.col("component").alias("cu"), F.col("o_component").alias("cv")).distinct()
 
 
 def deduplicate(df: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
