@@ -14,7 +14,7 @@ from rasterspark.session import Scratch
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
 #: Powers that flatten the shares of tokens of sources, languages and topics; the classes come from the data.
-TARGETS = {"source": mixing.Tempered(None, 0.9), "lang": mixing.Tempered(None, 0.9), "topic": mixing.Tempered(None, 0.8)}
+TARGETS = {name: mixing.Tempered(None, 0.95) for name in ("source", "lang", "topic")}
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -71,60 +71,46 @@ def occurrences(data: np.ndarray, offsets: np.ndarray, strings: re.Pattern[bytes
 
 
 class UnitStore:
-    """Ids of units seen before, kept in two generations of at most half of `limit` units each.
+    """Ids of units seen before, at most `limit` of them, else only those of the last batch, which are the common ones.
 
-    A unit found in the older generation moves to the younger; when that is full it becomes the older one, and
-    what was not met again is forgotten. Occurrences of `whole` strings (the longest at a place) are units of
-    their own, and what is between them is cut like texts of their own.
+    Occurrences of `whole` strings (the longest at a place) are units of their own, and what is between them
+    is cut like texts of their own.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 600_000, whole: Sequence[bytes] = ()):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000, whole: Sequence[bytes] = ()):
         self.encode, self.limit = encode, limit
         self.whole = re.compile(b"|".join(re.escape(x) for x in sorted(whole, key=len, reverse=True))) if whole else None
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-        self.ids, self.offsets, self.used = np.empty(1024, np.uint32), np.zeros(1024, np.int64), 0
-
-    def __len__(self) -> int:
-        return len(self.young) + sum(u not in self.young for u in self.old)
+        self.places: dict[str, int] = {}
+        self.ids, self.offsets = np.empty(1024, np.uint32), np.zeros(1024, np.int64)
 
     def _append(self, made: Sequence[Sequence[int]]) -> None:
         """Add the ids of new units to the arena, whose arrays grow by doubling."""
+        used = len(self.places)
         lengths = np.fromiter(map(len, made), np.int64, len(made))
         flat = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
-        ends = self.offsets[self.used] + np.cumsum(lengths)
-        if self.used + len(made) >= len(self.offsets):
+        ends = self.offsets[used] + np.cumsum(lengths)
+        if used + len(made) >= len(self.offsets):
             self.offsets = np.concatenate([self.offsets, np.zeros(max(len(self.offsets), len(made)), np.int64)])
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[self.offsets[self.used] : ends[-1]] = flat
-        self.offsets[self.used + 1 : self.used + 1 + len(made)] = ends
-        self.used += len(made)
-
-    def _age(self) -> None:
-        """The younger generation becomes the older one; only its ids stay in the arena."""
-        if len(self.young) <= self.limit // 2:
-            return
-        kept = np.fromiter(self.young.values(), np.int64, len(self.young))
-        spans = self.offsets[kept + 1] - self.offsets[kept]
-        ids = self.ids[ragged(self.offsets[kept], spans)]
-        self.old, self.young = dict(zip(self.young, range(len(kept)), strict=True)), {}
-        self.ids, self.offsets, self.used = ids, np.concatenate([[0], np.cumsum(spans)]), len(kept)
+        self.ids[self.offsets[used] : ends[-1]] = flat
+        self.offsets[used + 1 : used + 1 + len(made)] = ends
 
     def _places(self, wanted: list[str]) -> np.ndarray:
         """Where each wanted unit stands in the arena, after encoding those not in it."""
-        young, old = self.young, self.old
-        at = np.fromiter(map(young.get, wanted, repeat(-1)), np.int64, len(wanted))
+        at = np.fromiter(map(self.places.get, wanted, repeat(-1)), np.int64, len(wanted))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            again = [wanted[i] for i in missing.tolist()]
-            found = np.fromiter(map(old.get, again, repeat(-1)), np.int64, len(again))
-            fresh = [u for u, k in zip(again, found.tolist(), strict=True) if k < 0]
-            if fresh:
-                found[found < 0] = self.used + np.arange(len(fresh))
-                self._append(self.encode(fresh))
-            young.update(zip(again, found.tolist(), strict=True))
-            at[missing] = found
+            fresh = [wanted[i] for i in missing.tolist()]
+            self._append(self.encode(fresh))
+            at[missing] = len(self.places) + np.arange(len(fresh))
+            self.places.update(zip(fresh, at[missing].tolist(), strict=True))
+        if len(self.places) > self.limit:
+            spans = self.offsets[at + 1] - self.offsets[at]
+            self.ids = self.ids[ragged(self.offsets[at], spans)]
+            self.offsets = np.concatenate([[0], np.cumsum(spans)])
+            self.places = dict(zip(wanted, range(len(wanted)), strict=True))
+            at = np.arange(len(wanted))
         return at
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +140,6 @@ class UnitStore:
             starts = starts[(at < 0) | (starts >= kept[at, 1])]
         else:
             starts = cut(data, offsets)
-        self._age()
         coded = binary_array(data, np.append(starts, len(data)), pa.large_string()).dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())
         own = places[coded.indices.to_numpy()]

@@ -203,10 +203,16 @@ def test_registered_mixture_equals_plain_raking(spark):
         shares.append({k: w**target.power / total for k, w in have.items()})
     raked = plain_raking(None, weights, shares)
     ratio = {c: raked[c] / weights[c] for c in weights}
-    top = max(ratio.values())
+    spent, total = 0, sum(raked.values())
+    for cell in sorted(ratio, key=lambda c: -ratio[c]):  # cells of the largest ratios with 1 % of the weight are taken whole
+        spent += raked[cell]
+        top = ratio[cell]
+        if spent > 0.01 * total:
+            break
+    assert sum(r.taken for r in rows) > 0.6 * len(rows)
     unsigned = (1 << 64) - 1
     for r in rows:
-        want = ratio[r.source or "*", r.lang or "*", r.topic] / top if r.tokens else 0
+        want = min(1, ratio[r.source or "*", r.lang or "*", r.topic] / top) if r.tokens else 0
         assert r.probability == pytest.approx(want, abs=1e-9)
         h = xxhash.xxh64_intdigest(str(r.doc_id).encode(), 42)
         digest = xxhash.xxh64_intdigest(docs[r.doc_id].text.encode(), 42) if docs[r.doc_id].text is not None else 42
@@ -248,3 +254,15 @@ def test_classes_come_from_the_data(spark, monkeypatch):
     probability = out.groupby(out["source"].fillna("-"))["probability"].max()
     assert probability["z"] == 1 and probability["-"] == 1  # one class of three rows
     assert probability["x"] == pytest.approx(0.5) and probability["y"] == pytest.approx(0.75)
+
+
+def test_a_class_of_few_documents_does_not_thin_out_all_others(spark):
+    rows = [(i, "word " * 9, "big") for i in range(3000)] + [(i, "word " * 9, f"s{i % 4}") for i in range(3000, 4000)] + [(9000, "word " * 9, "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, {"source": mixing.Tempered(None, 0.9)}).toPandas()
+    assert out["probability"][out["source"] == "rare"].iloc[0] == 1 and out["probability"][out["source"] == "s0"].iloc[0] == 1
+    assert out["probability"][out["source"] == "big"].iloc[0] == pytest.approx((3000 / 250) ** -0.1)
+    raked, observed = np.array([[0.0, 2.0], [100.0, 898.0]]), np.array([[0.0, 1.0], [80.0, 919.0]])
+    assert mixing.chances(raked, observed)[0, 1] == 1 and mixing.chances(raked, observed)[1, 0] == 1
+    assert mixing.chances(raked, observed, 0.0)[1, 0] == pytest.approx(1.25 / 2)
+    assert not mixing.chances(np.zeros((2, 2)), np.zeros((2, 2))).any()
