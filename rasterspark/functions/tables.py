@@ -109,3 +109,29 @@ def cache_stats(spark: SparkSession, slots: int | None = None) -> DataFrame:
         yield pa.RecordBatch.from_pylist([{"pid": os.getpid(), **cache.tiles.stats()}])
 
     return spark.range(n, numPartitions=n).mapInArrow(run, f"pid bigint, {CACHE}").dropDuplicates(["pid"])
+
+
+def configure_caches(spark: SparkSession, *, tile_mb: float | None = None, ttl_s: float | None = None) -> dict[str, str | None]:
+    """Set the size of the tile caches and the life of opened rasters for Python workers started from now on; what they were.
+
+    0 turns a cache off, None leaves it. Workers are told apart by their settings, so those of before are not used again; giving what
+    was returned as `restore_caches` does brings them back.
+    """
+    env = spark.sparkContext.environment
+    old = {name: env.get(name) for name in ("COG_TILE_CACHE_MB", "COG_REMOTE_CACHE_TTL_S")}
+    for name, value in zip(old, (tile_mb, ttl_s), strict=True):
+        if value is not None:
+            if value < 0:
+                raise ValueError(f"{name} must not be negative")
+            env[name] = str(value)
+    return old
+
+
+def restore_caches(spark: SparkSession, old: dict[str, str | None]) -> None:
+    """Undo `configure_caches`."""
+    env = spark.sparkContext.environment
+    for name, value in old.items():
+        if value is None:
+            env.pop(name, None)
+        else:
+            env[name] = value

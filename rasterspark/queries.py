@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 import rasterspark
 from rasterspark import eventgrid, loopback
-from rasterspark.functions import cache, engine
+from rasterspark.functions import cache, engine, tables
 from rasterspark.functions.register import register
 from rasterspark.operators import relational
 from rasterspark.plans import grid
@@ -386,9 +386,8 @@ def cog_version(spark, sf_dir):
     return spark.sql("SELECT * FROM cog_version()")
 
 
-@query(f"WITH {PX} SELECT CAST(4 * ceil(h / 32.0) AS BIGINT) AS misses, CAST(4 * ceil(h / 32.0) AS BIGINT) AS hits, CAST(4 * ceil(h / 32.0) * 32 * 32 * 2 * 2 AS BIGINT) AS bytes FROM dim")
-def cog_cache_hits(spark, sf_dir):
-    """Every tile of a remote raster read twice by one worker: fetched once, found once."""
+def _probe(spark, sf_dir) -> DataFrame:
+    """Changes of one worker's cache counters by reading every tile of a remote raster twice."""
     server = loopback.file_server(eventgrid.event_grid(spark, sf_dir), loopback.driver_host(spark))
     url = loopback.address(server, f"/file?{uuid.uuid4().hex}")  # an address that no worker has opened before
 
@@ -406,6 +405,23 @@ def cog_cache_hits(spark, sf_dir):
     return spark.createDataFrame([(url,)], "path string").mapInArrow(probe, "misses bigint, hits bigint, bytes bigint")
 
 
+@query(f"WITH {PX} SELECT CAST(4 * ceil(h / 32.0) AS BIGINT) AS misses, CAST(4 * ceil(h / 32.0) AS BIGINT) AS hits, CAST(4 * ceil(h / 32.0) * 32 * 32 * 2 * 2 AS BIGINT) AS bytes FROM dim")
+def cog_cache_hits(spark, sf_dir):
+    """Each tile is fetched once and found once."""
+    return _probe(spark, sf_dir)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS misses, CAST(0 AS BIGINT) AS hits, CAST(0 AS BIGINT) AS bytes")
+def cog_cache_off(spark, sf_dir):
+    """With the tile cache turned off nothing is counted or kept."""
+    old = tables.configure_caches(spark, tile_mb=0)
+    try:
+        rows = _probe(spark, sf_dir).collect()
+    finally:
+        tables.restore_caches(spark, old)
+    return spark.createDataFrame(rows, "misses bigint, hits bigint, bytes bigint")
+
+
 @query("SELECT true AS ok")
 def cog_cache_stats(spark, sf_dir):
     return spark.sql("SELECT hits >= 0 AND misses >= 0 AND evictions >= 0 AND bytes BETWEEN 0 AND max_bytes AS ok FROM cog_cache_stats()")

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +68,27 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+_live: list["Scratch"] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Scratch folders that the block makes go when it ends, so what it leaves must be written elsewhere by then. For one thread."""
+    first = len(_live)
+    try:
+        yield
+    finally:
+        for scratch in _live[first:]:
+            scratch._close()
+        del _live[first:]
+
+
 class Scratch:
     """A folder below the shared one for the intermediate tables of one job.
 
     `table` writes a DataFrame as Parquet and reads it back, which cuts lineage in a
-    way that survives lost executors. The folder goes when the driver process ends;
-    `drop` removes a table that no later step reads.
+    way that survives lost executors. The folder goes when the driver process ends, or a `released` block that it
+    was made in; `drop` removes a table that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -79,6 +96,7 @@ class Scratch:
         self.names: set[str] = set()
         self.path = f"{shared_dir(spark)}/rasterspark/{label}-{uuid.uuid4().hex}"
         make_dirs(spark, self.path)
+        _live.append(self)
         atexit.register(self._close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:

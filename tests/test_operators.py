@@ -201,6 +201,19 @@ def test_waiting_threads_go_on_when_the_first_one_fails():
     assert found == [None] and held.claim(("a",)) == (None, True)
 
 
+def test_caches_are_configured_for_new_workers(spark):
+    from rasterspark.functions import tables
+
+    env = spark.sparkContext.environment
+    before = dict(env)
+    old = tables.configure_caches(spark, tile_mb=3, ttl_s=0)
+    assert {r.max_bytes for r in tables.cache_stats(spark, 2).collect()} == {3_000_000}
+    tables.restore_caches(spark, old)
+    assert dict(env) == before and {r.max_bytes for r in tables.cache_stats(spark, 2).collect()} == {256_000_000}
+    with pytest.raises(ValueError):
+        tables.configure_caches(spark, tile_mb=-1)
+
+
 # ------------------------------------------------------------------ session and entry
 def test_a_cluster_needs_a_shared_folder(tmp_path):
     def fake(master, folder=None):
@@ -226,6 +239,15 @@ def test_batches_are_bounded_by_bytes(spark):
     assert sum(r.n for r in got) == 4000 and max(r.bytes for r in got) < 20 << 20
 
 
+def test_scratch_folders_of_a_block_are_removed(spark):
+    outer = session.Scratch(spark, "outer")
+    with session.released():
+        inner = session.Scratch(spark, "inner")
+        kept = outer.table(inner.table(spark.range(5), "a"), "b")
+        assert Path(inner.path.removeprefix("file:")).is_dir()
+    assert not Path(inner.path.removeprefix("file:")).exists() and kept.count() == 5
+
+
 def test_the_entry_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", "llm", "corpus_pipeline.py"))
