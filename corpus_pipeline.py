@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterspark.llm import bpe, langid, neardup, quality
 from rasterspark.llm.queries import documents, mixed
-from rasterspark.session import Scratch, prepare
+from rasterspark.session import Scratch, prepare, released
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,10 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`; each stage's rows are written to the shared folder and reread."""
+    """Apply all stages to `documents`; each stage's rows are written to the shared folder and reread.
+
+    What a stage wrote for itself, and the rows of the stage before it, are removed when its rows are written.
+    """
     prepare(spark)
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
