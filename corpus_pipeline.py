@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 import pyspark.sql.functions as F
@@ -15,11 +16,23 @@ from rasterspark.session import Scratch, prepare, released
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _prepared(stage: Stage) -> Stage:
+    """A stage that may be called by itself: workers find this package and hold batches of bounded size."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+
+    return run
+
+
+@_prepared
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a sufficient margin stay; the model learns from `lang`."""
     return langid.keep(docs, langid.train(docs))
 
 
+@_prepared
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1 stay; it learns from `labels`.
 
@@ -28,11 +41,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_prepared
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
     return neardup.deduplicate(docs, size=5, percent=80)
 
 
+@_prepared
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that their tokens have the target shares of source, language and topic."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that added columns clash with none
@@ -40,6 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(Scratch(spark, "stage-mixture"), rows).where("taken").select("row.*")
 
 
+@_prepared
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
