@@ -33,23 +33,28 @@ def _fold(n: int):
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, shard, offset) of every document, read back from token files with an end id 2; a null text has its end id only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tokenfile.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document by 3-word shingles at 85 %; a text without words is linked with nothing, a null id has a null component."""
     return neardup.components(documents(spark, sf_dir), size=3, percent=85)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; a null or empty page has an empty text."""
     return htmltext.extract_pages(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ten largest integer inner products of every 100th id; bad vectors take no part."""
     return threshold.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), repeats=True)
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, local_depth, shard, shard_bytes) of every document at SHARD_BYTES a shard; only a single larger row exceeds it."""
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit=SHARD_BYTES, split_ids=True)
 
 
@@ -66,11 +71,13 @@ def mixed(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, probability, taken) of every document; one without tokens has probability 0."""
     out = mixed(Scratch(spark, "mixture"), documents(spark, sf_dir).select("doc_id", "source", "lang", "text"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", "taken")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, accepted) of every document, learned outside the held-out fold; `und` without a letter. A null id is in no fold and teaches nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.train(docs.where(_fold(3) != 1))
     held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
@@ -78,14 +85,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the five largest cosines of every 50th id; zero and bad vectors take no part."""
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), repeats=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, exact) of every document; a null text is empty."""
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, learned outside the held-out fold; a null text is empty."""
     docs = documents(spark, sf_dir)
     forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0))
     held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
