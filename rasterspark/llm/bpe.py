@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyspark.sql.functions as F
 import regex
 from pyspark.sql import DataFrame
 
-from rasterspark.llm.textbytes import flat, mix, release, slices, span_hashes
+from rasterspark.llm.textbytes import flat, mix, only, release, slices, span_hashes
 from rasterspark.llm.units import UnitStore
 
 
@@ -169,12 +168,15 @@ def _gather(of: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [bytes(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=2)
 def codec(rank_path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """The codec of a rank file (a bounded vocabulary), made once per Python worker."""
-    with open(rank_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return Codec(ranks, pattern)
+
+    def make() -> Codec:
+        with open(rank_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return Codec(ranks, pattern)
+
+    return only(("codec", rank_path, pattern), make)
 
 
 def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ class Model:
         return self.langs[order[0]], 1.0 - sizes[order[0]] / sizes[order[1]]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tools(model: Model) -> list[zstandard.ZstdCompressor]:
     """A compressor for each language, whose window holds the dictionary and a block."""
     out = []
@@ -151,6 +151,8 @@ def keep(df: DataFrame, model: Model, *, text: str = "text", min_margin: float =
     @arrow_udf(BooleanType())
     def accepted(column: pa.Array) -> pa.Array:
         got = (model.predict(t.as_py()) for t in column)
-        return pa.array([lang != UNKNOWN and margin >= min_margin for lang, margin in got], pa.bool_())
+        out = pa.array([lang != UNKNOWN and margin >= min_margin for lang, margin in got], pa.bool_())
+        release()
+        return out
 
     return df.where(accepted(F.col(f"`{text}`").cast("string")))

@@ -36,6 +36,7 @@ ROWS = 2  # minhashes composed into one
 LARGE = 64  # nodes of an a_i from which they are compared in blocks
 BLOCK_GRAMS = 400_000  # shingles of a block, on average
 BLOCK_ROWS = 2048  # nodes of a block, on average
+LARGE_PART = 512  # rows of a comparison after which memory is given back
 CHUNK = 4096  # columns of an incidence matrix
 GROUP = ["g1", "g2", "n"]  # digests and size of a set: what makes a node
 
@@ -196,6 +197,8 @@ def _across_blocks(large: DataFrame, grams: DataFrame, percent: int) -> DataFram
         else:
             found = joined_components(percent, sides[0], sides[1] if len(sides) == 2 else None)
         u, v = zip(*sorted(found), strict=True) if found else ((), ())
+        if len(own) > LARGE_PART:
+            release()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows.select("ka", "p", "q", "own", "n", "component", "grams").groupBy("ka", "p", "q").applyInArrow(compare, "u long, v long")

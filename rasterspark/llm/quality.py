@@ -265,6 +265,7 @@ def keep(df: DataFrame, forest: Forest, *, text: str = "text", threshold: float
         for a, b in slices(offsets):
             base = offsets[a]
             out[a:b] = forest.score(statistics(data[base : offsets[b]], offsets[a : b + 1] - base)) >= threshold
+        release()
         return pa.array(out)
 
     return df.where(good(F.col(f"`{text}`").cast("string")))

@@ -7,8 +7,7 @@ memory; a longer text makes a slice of its own.
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +37,26 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of this process
+
+
 def release() -> None:
-    """Give memory that a finished task no longer uses back to the system; Python workers live on."""
+    """Give memory that a finished task or batch no longer uses back to the system; Python workers live on."""
     pa.default_memory_pool().release_unused()
-    name = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
-    if trim is not None:
-        trim(0)
+    if _trim is not None:
+        _trim(0)
+
+
+_only: dict = {}
+
+
+def only(key: tuple, make: Callable):
+    """What `make` gives, kept for `key` until this worker asks for another: a worker holds one tokenizer or model at a time."""
+    if key not in _only:
+        _only.clear()
+        release()
+        _only[key] = make()
+    return _only[key]
 
 
 def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:

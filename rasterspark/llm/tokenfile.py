@@ -15,7 +15,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from rasterspark.llm.textbytes import flat, release, slices
+from rasterspark.llm.textbytes import flat, only, release, slices
 from rasterspark.llm.units import UnitStore
 from rasterspark.session import Scratch, make_dirs
 
@@ -143,9 +142,12 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-@lru_cache(maxsize=2)
 def _store(tokenizer_path: str, added_tokens: bool) -> tuple[UnitStore, int]:
     """The encoder of a tokenizer file, made once per Python worker, and its vocabulary's size."""
+    return only(("tokenizer", tokenizer_path, added_tokens), lambda: _made(tokenizer_path, added_tokens))
+
+
+def _made(tokenizer_path: str, added_tokens: bool) -> tuple[UnitStore, int]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
