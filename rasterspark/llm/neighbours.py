@@ -3,9 +3,8 @@
 Unit vectors are rounded to int8 with a scale of their own. The product of two int8 blocks gives an
 approximate cosine of every pair of a tile, and the rounding errors of both sides bound how far it can be
 from the true one. A pair whose upper bound does not reach the k-th lower bound of its query is
-dropped; the others are computed again in double precision, and go to a heap for each query that
-collects them over the tiles. Since
-bounds hold for every pair the result is exact.
+dropped; the others are computed again in double precision, and the best of each query are kept
+over the tiles. Since bounds hold for every pair the result is exact.
 """
 
 from __future__ import annotations
@@ -51,34 +50,62 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(aa * bb), -1.0, 1.0)
 
 
-def tile(k: int, step: int = 256):
-    def run(q_own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray, own: np.ndarray | None = None, more=None):
-        own = ids if own is None else own
-        left, right = Quantised(q), Quantised(c)
+class Side:
+    """Ids, vectors and quantised vectors of one block."""
+
+    def __init__(self, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.own, self.ids, self.vectors = own, ids, vectors
+        coded = Quantised(vectors.astype(float))
+        self.scale, self.error = coded.scale, coded.error
         # whole numbers below 2**24 in float32 are exact: an int8 product through the fast kernel
-        wide = c.shape[1] * 127 * 127 < 1 << 24
-        kind = np.float32 if wide else np.float64
-        codes = right.codes.astype(kind).T
-        out_q, out_id, out_score = [], [], []
-        for s in range(0, len(q), step):
+        self.codes = coded.codes.astype(np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+
+
+def side(block: blocks.Block) -> Side:
+    return Side(block.own, block.ids, block.vectors)
+
+
+#: More than what a cosine changes by two roundings to float32.
+ROUNDING = 1e-6
+
+
+def near(k: int, step: int = 256):
+    def run(q_own: np.ndarray, left: Side, right: Side, floors: np.ndarray):
+        n = len(right.ids)
+        own_q, own_c = blocks.met(q_own, right.own)
+        scale = right.scale.astype(right.codes.dtype)
+        # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, with |y| = 1 and |x'| <= 1 + |x - x'|; the largest error of the candidates holds for all
+        slack = left.error + (1 + left.error) * right.error.max() + ROUNDING
+        out_q, out_c = [], []
+        for s in range(0, len(q_own), step):
             part = slice(s, s + step)
-            near = (left.codes[part].astype(kind) @ codes) * (left.scale[part, None] * right.scale[None, :])
-            # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, with |y| = 1 and |x'| <= 1 + |x - x'|
-            slack = left.error[part, None] + (1 + left.error[part, None]) * right.error[None, :]
-            near[q_own[part, None] == own[None, :]] = -np.inf
-            low = near - slack
-            kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-            kth = np.maximum(kth, floors[part])
-            rows, cols = np.nonzero((near + slack >= kth[:, None]) & (near > -np.inf))
-            exact = np.concatenate([np.empty(0), *(cosines(q[s + rows[i : i + 65536]], c[cols[i : i + 65536]]) for i in range(0, len(rows), 65536))])
-            edges = np.searchsorted(rows, np.arange(len(near) + 1))
-            for r in range(len(near)):
-                a, b = edges[r], edges[r + 1]
-                best = a + blocks.best_of(ids[cols[a:b]], exact[a:b], k)
-                out_q.append(np.full(len(best), s + r))
-                out_id.append(ids[cols[best]])
-                out_score.append(exact[best])
-        return tuple(np.concatenate(x) for x in (out_q, out_id, out_score))
+            cosine = left.codes[part] @ right.codes.T  # times the query's scale, which is left to the other side of the comparison
+            cosine *= scale
+            mine = (own_q >= s) & (own_q < s + step)
+            cosine[own_q[mine] - s, own_c[mine]] = -np.inf
+            kth = floors[part].copy()
+            if len(new := np.flatnonzero(kth == -np.inf)) and n > k:
+                kth[new] = np.partition(cosine[new], n - k, axis=1)[:, n - k] * left.scale[part][new] - slack[part][new]
+            least = ((kth - slack[part]) / left.scale[part]).astype(cosine.dtype)
+            rows, cols = np.divmod(np.flatnonzero(cosine > np.nextafter(least, -np.inf, dtype=least.dtype)[:, None]), n)
+            out_q.append(s + rows)
+            out_c.append(cols)
+        q, c = np.concatenate(out_q), np.concatenate(out_c)
+        exact = np.concatenate([np.empty(0), *(cosines(left.vectors[q[i : i + 65536]].astype(float), right.vectors[c[i : i + 65536]].astype(float)) for i in range(0, len(q), 65536))])
+        kept = exact >= floors[q]
+        return q[kept], right.ids[c[kept]], exact[kept]
+
+    return run
+
+
+def tile(k: int, step: int = 256):
+    """The same on plain arrays, with the k best of each query only."""
+
+    def run(q_own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray, own: np.ndarray | None = None):
+        best = blocks.Best(q_own, q_own, k)
+        best.add(*near(k, step)(q_own, Side(q_own, q_own, q), Side(ids if own is None else own, ids, c), floors))
+        rows, cols = np.nonzero(best.scores > -np.inf)
+        return rows, best.ids[rows, cols], best.scores[rows, cols]
 
     return run
 
@@ -96,7 +123,7 @@ def nearest(df: DataFrame, *, every: int = 50, k: int = 5, key: str = "vec_id",
     some = F.exists(F.col(vector), lambda x: x != 0)
     rows = df.where(F.col(key).isNotNull() & blocks.usable(vector) & some).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = blocks.numbered(scratch, rows, repeats)
-    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "double", block_rows)
+    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, side, side, near(k), k, "double", block_rows)
 
 
 #: The same in SQL, by scoring every pair.

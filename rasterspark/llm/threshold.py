@@ -5,6 +5,10 @@ the end that its own component favours, in steps that double. Each step scores t
 appear for the first time (random access), and the components reached bound the score of all that have
 not appeared: sum of query component times component at the depth. The walk stops when that bound is
 below the k-th score, so a candidate that could still enter, even by a tie, is always scored.
+
+The depths at which the queries of a tile stop are found for all of them at once, from the k-th scores that earlier tiles have
+reached. A walk that would read more list entries than the tile has candidates meets nearly all of them; the queries of
+such walks, and those that have no k-th score yet, score the whole tile by one product.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ STEP = 16
 
 def sorted_order(vectors: np.ndarray) -> np.ndarray:
     """For each dimension the places of a block's vectors by rising component."""
-    return np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+    return np.argsort(vectors, axis=0, kind="stable").astype(np.uint16 if len(vectors) <= 1 << 16 else np.int32)
 
 
 class SortedLists:
@@ -67,12 +71,60 @@ class SortedLists:
         return self.ids[at[kept]], scores[kept], int(seen.sum() - own.sum())
 
 
+    def depths(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """For each query the depth after which no candidate that has not appeared reaches its floor; all candidates if there is none."""
+        n = len(self.vectors)
+        steps = STEP * ((1 << np.arange(1, max(1, n // STEP).bit_length() + 1)) - 1)
+        steps = steps[steps < n]
+        bounds = self.values[n - 1 - steps] @ np.maximum(queries, 0).T + self.values[steps] @ np.minimum(queries, 0).T
+        stops = bounds < floors
+        return np.where(stops.any(axis=0), steps[stops.argmax(axis=0)] if len(steps) else n, n)
+
+
+class Exact:
+    """Vectors of whole numbers, as float32 for products where every partial sum is exact in it."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors.astype(float)
+        # a sum of |x y| is at most the product of the lengths, and whole numbers below 2**24 are exact in float32
+        self.length = np.sqrt((self.vectors * self.vectors).sum(axis=1).max(initial=0)) * (1 + 1e-9)
+        self.small = vectors.astype(np.float32) if self.length < 1 << 24 else None
+
+    def times(self, other: Exact) -> np.ndarray:
+        if self.length * other.length < 1 << 24 and self.small is not None and other.small is not None:
+            return self.small @ other.small.T
+        return self.vectors @ other.vectors.T
+
+
+def left(block: blocks.Block) -> Exact:
+    return Exact(block.vectors)
+
+
+def right(block: blocks.Block) -> tuple[SortedLists, Exact]:
+    order = blocks.numbers(block.more, *block.vectors.shape, {2: np.uint16, 4: np.int32})
+    whole = Exact(block.vectors)
+    return SortedLists(block.ids, whole.vectors, block.own, order), whole
+
+
 def tile(k: int):
-    def run(q_own: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, floors: np.ndarray, own: np.ndarray | None = None, more=None):
-        order = np.frombuffer(more, np.int32).reshape(c.shape) if more is not None else None
-        lists = SortedLists(ids, c, own, order)
-        parts = [lists.top(o, v, k, f)[:2] for o, v, f in zip(q_own, q, floors, strict=True)]
-        return np.repeat(np.arange(len(q)), [len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    def run(q_own: np.ndarray, q: Exact, c: tuple[SortedLists, Exact], floors: np.ndarray):
+        lists, whole = c
+        n, dims = lists.vectors.shape
+        short = np.flatnonzero((floors > -np.inf) & (lists.depths(q.vectors, floors) * dims < n))
+        walked = [lists.top(q_own[i], q.vectors[i], k, floors[i])[:2] for i in short]
+        scores = q.times(whole) if len(short) < len(q_own) else np.empty((len(q_own), 0))
+        if scores.size:
+            at = blocks.met(q_own, lists.own)
+            scores[at] = -np.inf
+            scores[short] = -np.inf
+            if len(new := np.flatnonzero(floors == -np.inf)) and n > k:
+                floors = floors.copy()
+                floors[new] = np.partition(scores[new], n - k, axis=1)[:, n - k]
+        # rounding a floor down to float32 only lets more through
+        least = np.nextafter(floors.astype(scores.dtype), -np.inf, dtype=scores.dtype)
+        rows, cols = np.divmod(np.flatnonzero(scores > least[:, None]), max(1, scores.shape[1]))
+        found = [(rows, lists.ids[cols], scores[rows, cols].astype(float)), *((np.full(len(i), p), i, s) for p, (i, s) in zip(short, walked, strict=True))]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     return run
 
@@ -97,7 +149,7 @@ def top_k(df: DataFrame, *, every: int = 100, k: int = 10, key: str = "vec_id",
     """
     scratch = Scratch(df.sparkSession, "threshold")
     rows = blocks.numbered(scratch, quantised(df, key=key, vector=vector, factor=factor), repeats)
-    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, tile(k), k, "long", block_rows, sorted_order)
+    return blocks.search(scratch, rows.where(F.col("vec_id") % every == 0), rows, left, right, tile(k), k, "long", block_rows, sorted_order)
 
 
 #: The same in SQL, by scoring every pair.

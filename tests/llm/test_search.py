@@ -169,3 +169,44 @@ def test_cosines_are_those_of_plain_sums():
             dot, xx, yy = dot + u * v, xx + u * u, yy + v * v
         assert s == dot / np.sqrt(xx * yy)
     assert neighbours.cosines(a[:1] * 1e200, b[:1] * 1e-200) == pytest.approx(neighbours.cosines(a[:1], b[:1]))
+
+
+def test_searches_broadcast_no_blocks(spark):
+    """A copy of a query block for each candidate block is more than the driver holds, however small the query table is."""
+    df = frame(spark, vectors(n=200))
+    for found_rows in (threshold.top_k(df, block_rows=16, repeats=True), neighbours.nearest(df, block_rows=16, repeats=True)):
+        found_rows.collect()
+        assert "Broadcast" not in found_rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_groups_of_query_blocks(spark):
+    known = vectors(n=110, dims=3)
+    df = frame(spark, known)
+    got = found(threshold.top_k(df, every=1, k=4, block_rows=1))
+    assert got == brute(known, 1, 4, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
+    known.pop(7)
+    assert found(neighbours.nearest(df, every=1, k=4, block_rows=1)) == brute(known, 1, 4, cosine)
+
+
+def test_threshold_tiles_walk_or_score_whole():
+    """Walks that stop early, whole tiles by one product and products beyond float32 give the same as brute force."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for shape, scale in ((3, 50), (3, 5000), (40, 50)):
+        data = np.floor(rng.pareto(1.5, size=(6000, shape)) * scale)
+        ids = np.arange(6000)
+        held = lambda a, b: SimpleNamespace(own=ids[a:b], ids=ids[a:b], vectors=blocks.narrow(data[a:b]), more=pa.py_buffer(threshold.sorted_order(data[a:b]).tobytes()))  # noqa: B023, E731
+        queries, best = threshold.left(held(0, 100)), blocks.Best(ids[:100], ids[:100], 10)
+        for a in range(0, 6000, 2000):
+            candidates = threshold.right(held(a, a + 2000))
+            short = (candidates[0].depths(queries.vectors, best.floors) * shape < 2000).sum()
+            assert short == 0 if a == 0 else shape == 40 or short > 50
+            best.add(*threshold.tile(10)(ids[:100], queries, candidates, best.floors))
+        for i in range(100):
+            scores = data @ data[i]
+            scores[i] = -np.inf
+            want = blocks.best_of(ids, scores, 10)
+            assert best.ids[i].tolist() == want.tolist() and best.scores[i].tolist() == scores[want].tolist()
