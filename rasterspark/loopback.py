@@ -64,15 +64,22 @@ def search_server(items: int, page: int, host: str = "127.0.0.1") -> ThreadingHT
 @lru_cache(maxsize=16)
 def file_server(path: str, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     """One file at /file, by ranges; what follows a question mark is not looked at."""
-    data = open_source(path).read_all()
+    source = open_source(path)
 
     class Handler(_Quiet):
         def do_GET(self):  # noqa: N802
             if urlsplit(self.path).path != "/file":
                 self.answer(404, b"")
                 return
-            first, last = map(int, (self.headers.get("Range") or f"bytes=0-{len(data)}").removeprefix("bytes=").split("-"))
-            self.answer(206 if first < len(data) else 416, data[first : last + 1])
+            if not (wanted := self.headers.get("Range")):
+                self.answer(200, source.read_all())
+                return
+            first, last = map(int, wanted.removeprefix("bytes=").split("-"))
+            try:
+                data = source.read(first, last + 1)
+            except EOFError:
+                data = b""
+            self.answer(206 if data else 416, data)
 
     return _running(Handler, host)
 

@@ -388,7 +388,7 @@ def cog_version(spark, sf_dir):
 
 def _probe(spark, sf_dir) -> DataFrame:
     """Changes of one worker's cache counters by reading every tile of a remote raster twice."""
-    server = loopback.file_server(eventgrid.event_grid(spark, sf_dir), loopback.driver_host(spark))
+    server = loopback.file_server(eventgrid.short_grid(spark, sf_dir), loopback.driver_host(spark))
     url = loopback.address(server, f"/file?{uuid.uuid4().hex}")  # an address that no worker has opened before
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
