@@ -46,6 +46,11 @@ def _on_grid(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{f}", f"'{eventgrid.event_grid(spark, sf_dir)}'"))
 
 
+def rounded(x: str, digits: int) -> str:
+    """round(x, digits) on doubles as the SQL has it, by a multiplication; Spark's own goes by the decimals of the shortest text."""
+    return f"(round({x} * 1e{digits}D) / 1e{digits}D)"
+
+
 #: Pixels of the event grid with their centres, and the grid's height.
 PX = """px AS (SELECT CAST(event_id % 100 AS INTEGER) AS c, CAST(event_id // 100 AS INTEGER) AS r, CAST(round(value * 100) AS DOUBLE) AS v1, CAST(user_id AS DOUBLE) AS v2, event_type, event_id,
   1000 + (event_id % 100 + 0.5) * 10 AS x, 100000 - (event_id // 100 + 0.5) * 10 AS y FROM events),
@@ -119,7 +124,7 @@ def rs_nodata(spark, sf_dir):
 
 @query(f"WITH {PX}, v AS (SELECT 1 AS band, v1 AS v FROM px UNION ALL SELECT 2, v2 FROM px) SELECT band::INTEGER AS band, min(v) AS lo, max(v) AS hi, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd FROM v WHERE v <> 0 GROUP BY band")
 def band_stats(spark, sf_dir):
-    return _on_grid(spark, sf_dir, "SELECT band, s.min AS lo, s.max AS hi, round(s.mean, 4) AS mean, round(s.stddev, 4) AS sd FROM (SELECT band, RS_BandStats({f}, band) AS s FROM VALUES (1), (2) AS t(band))")
+    return _on_grid(spark, sf_dir, f"SELECT band, s.min AS lo, s.max AS hi, {rounded('s.mean', 4)} AS mean, {rounded('s.stddev', 4)} AS sd FROM (SELECT band, RS_BandStats({{f}}, band) AS s FROM VALUES (1), (2) AS t(band))")
 
 
 @query("SELECT c_custkey, CAST(floor((1000 + c_custkey * 7.25::DOUBLE - 1000) / 10) + 1 AS INTEGER) AS col, CAST(floor((100000 - (100000 - c_custkey * 3.125::DOUBLE)) / 10) + 1 AS INTEGER) AS row_nr FROM customer")
@@ -159,7 +164,7 @@ def rs_values(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT event_id, CASE WHEN v1 <> 0 AND v2 <> 0 THEN round((v2 - v1) / (v2 + v1), 9) END AS nd FROM px")
 def rs_normalized_difference(spark, sf_dir):
-    return _on_grid(spark, sf_dir, f"SELECT event_id, round(RS_NormalizedDifference({{f}}, {_POINT}, 1, 2), 9) AS nd FROM events")
+    return _on_grid(spark, sf_dir, f"SELECT event_id, {rounded('nd', 9)} AS nd FROM (SELECT event_id, RS_NormalizedDifference({{f}}, {_POINT}, 1, 2) AS nd FROM events)")
 
 
 @query(f"WITH {PX} SELECT event_id, nullif(v1, 0) AS v FROM px")
@@ -171,7 +176,7 @@ def sample_points_relational(spark, sf_dir):
 @query(f"WITH {PX} SELECT event_id, CASE WHEN v1 <> 0 AND v2 <> 0 THEN round((v2 - v1) / (v2 + v1), 9) END AS nd FROM px")
 def normalized_difference_relational(spark, sf_dir):
     points = _on_grid(spark, sf_dir, "SELECT event_id, {f} AS path, 1000 + (event_id % 100 + 0.5D) * 10 AS x, 100000 - (event_id DIV 100 + 0.5D) * 10 AS y FROM events")
-    return relational.normalized_difference(points, 1, 2).select("event_id", F.round("nd", 9).alias("nd"))
+    return relational.normalized_difference(points, 1, 2).select("event_id", F.expr(rounded("nd", 9)).alias("nd"))
 
 
 @query(
@@ -198,7 +203,7 @@ _BOX_ROWS = f"{PX}, z AS (SELECT n_nationkey, 1003.7::DOUBLE + n_nationkey * 31
 
 def _zonal_query(stat: str, expression: str) -> None:
     def run(spark, sf_dir):
-        return _on_grid(spark, sf_dir, f"SELECT n_nationkey, {'round(' if stat == 'mean' else '('}RS_ZonalStats({{f}}, z, 1, '{stat}'){', 4)' if stat == 'mean' else ')'} AS v FROM ({_BOXES})")
+        return _on_grid(spark, sf_dir, f"SELECT n_nationkey, {rounded('v', 4) if stat == 'mean' else 'v'} AS v FROM (SELECT n_nationkey, RS_ZonalStats({{f}}, z, 1, '{stat}') AS v FROM ({_BOXES}))")
 
     run.__name__ = f"zonal_bbox_{stat}"
     query(f"WITH {_BOX_ROWS} SELECT n_nationkey, {expression} AS v FROM hit GROUP BY n_nationkey")(run)
@@ -212,13 +217,13 @@ _ALL = "count(v) AS n, sum(v) AS s, round(avg(v), 4) AS m, min(v) AS lo, max(v)
 
 @query(f"WITH {_BOX_ROWS} SELECT n_nationkey, {_ALL} FROM hit GROUP BY n_nationkey")
 def zonal_bbox_all(spark, sf_dir):
-    return _on_grid(spark, sf_dir, f"SELECT n_nationkey, s.count AS n, s.sum AS s, round(s.mean, 4) AS m, s.min AS lo, s.max AS hi FROM (SELECT n_nationkey, RS_ZonalStatsAll({{f}}, z, 1) AS s FROM ({_BOXES}))")
+    return _on_grid(spark, sf_dir, f"SELECT n_nationkey, s.count AS n, s.sum AS s, {rounded('s.mean', 4)} AS m, s.min AS lo, s.max AS hi FROM (SELECT n_nationkey, RS_ZonalStatsAll({{f}}, z, 1) AS s FROM ({_BOXES}))")
 
 
 @query(f"WITH {_BOX_ROWS} SELECT n_nationkey, {_ALL} FROM hit GROUP BY n_nationkey")
 def zonal_bbox_relational(spark, sf_dir):
     zones = _on_grid(spark, sf_dir, f"SELECT n_nationkey, {{f}} AS path, z AS zone FROM ({_BOXES})")
-    return relational.zonal_stats(zones, keys=["n_nationkey"]).selectExpr("n_nationkey", "count AS n", "sum AS s", "round(mean, 4) AS m", "min AS lo", "max AS hi")
+    return relational.zonal_stats(zones, keys=["n_nationkey"]).selectExpr("n_nationkey", "count AS n", "sum AS s", f"{rounded('mean', 4)} AS m", "min AS lo", "max AS hi")
 
 
 _CORNERS = [("1003.7 + n_nationkey * 20", "99903.7 - n_nationkey * 10"), ("1603.7 + n_nationkey * 10", "99903.7 - n_nationkey * 7"), ("1003.7 + n_nationkey * 15", "99403.7 + n_nationkey * 13")]
@@ -232,13 +237,13 @@ _TRIANGLES = f"SELECT n_nationkey, {_WKT} AS z FROM nation"
 @query(f"WITH {_POLYGON_ROWS} SELECT n_nationkey, {_ALL} FROM hit GROUP BY n_nationkey")
 def zonal_polygon(spark, sf_dir):
     stat = lambda s: f"RS_ZonalStats({{f}}, z, 1, '{s}')"
-    return _on_grid(spark, sf_dir, f"SELECT n_nationkey, CAST({stat('COUNT')} AS BIGINT) AS n, {stat('sum')} AS s, round({stat('mean')}, 4) AS m, {stat('min')} AS lo, {stat('max')} AS hi FROM ({_TRIANGLES})")
+    return _on_grid(spark, sf_dir, f"SELECT n_nationkey, CAST({stat('COUNT')} AS BIGINT) AS n, {stat('sum')} AS s, {rounded(stat('mean'), 4)} AS m, {stat('min')} AS lo, {stat('max')} AS hi FROM ({_TRIANGLES})")
 
 
 @query(f"WITH {_POLYGON_ROWS} SELECT n_nationkey, {_ALL} FROM hit GROUP BY n_nationkey")
 def zonal_relational(spark, sf_dir):
     zones = _on_grid(spark, sf_dir, f"SELECT n_nationkey, {{f}} AS path, z AS zone FROM ({_TRIANGLES})")
-    return relational.zonal_stats(zones, keys=["n_nationkey"]).selectExpr("n_nationkey", "count AS n", "sum AS s", "round(mean, 4) AS m", "min AS lo", "max AS hi")
+    return relational.zonal_stats(zones, keys=["n_nationkey"]).selectExpr("n_nationkey", "count AS n", "sum AS s", f"{rounded('mean', 4)} AS m", "min AS lo", "max AS hi")
 
 
 @query(f"WITH {_POLYGON_ROWS} SELECT n_nationkey, count(v)::DOUBLE AS n FROM hit GROUP BY n_nationkey UNION ALL SELECT -1, NULL")
@@ -253,7 +258,7 @@ _IN_HOLE = "((x BETWEEN 1103.7 AND 1503.7 AND y BETWEEN 99803.7 AND 99993.7 AND
 
 @query(f"WITH {PX}, hit AS (SELECT v1 AS v FROM px WHERE v1 <> 0 AND {_IN_HOLE}) SELECT {_ALL} FROM hit")
 def zonal_multipolygon_hole(spark, sf_dir):
-    return _on_grid(spark, sf_dir, f"SELECT s.count AS n, s.sum AS s, round(s.mean, 4) AS m, s.min AS lo, s.max AS hi FROM (SELECT RS_ZonalStatsAll({{f}}, '{_HOLE}') AS s)")
+    return _on_grid(spark, sf_dir, f"SELECT s.count AS n, s.sum AS s, {rounded('s.mean', 4)} AS m, s.min AS lo, s.max AS hi FROM (SELECT RS_ZonalStatsAll({{f}}, '{_HOLE}') AS s)")
 
 
 @query("SELECT 0.0::DOUBLE AS n, CAST(NULL AS DOUBLE) AS m, 0.0::DOUBLE AS e, CAST(NULL AS DOUBLE) AS b")
@@ -327,7 +332,7 @@ def scene_stream(spark, sf_dir):
     stats = streaming.zone_stats(streaming.arrivals(spark, folder), {"hole": _HOLE})
     streaming.run_available(stats, f"{scratch.path}/out", f"{scratch.path}/state")
     scene = F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("scene")
-    return spark.read.parquet(f"{scratch.path}/out").where("count > 0").select(scene, F.col("count").alias("n"), F.col("sum").alias("s"), F.round("mean", 4).alias("m"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    return spark.read.parquet(f"{scratch.path}/out").where("count > 0").select(scene, F.col("count").alias("n"), F.col("sum").alias("s"), F.expr(rounded("mean", 4)).alias("m"), F.col("min").alias("lo"), F.col("max").alias("hi"))
 
 
 @query(f"WITH {PX}, s AS (SELECT DISTINCT event_type AS scene FROM events) SELECT scene, CAST(4 * ceil(h / 32.0) AS BIGINT) AS n, 2000.0::DOUBLE AS right_edge, 100000.0 - h * 10.0::DOUBLE AS bottom FROM s, dim")
