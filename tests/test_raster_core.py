@@ -310,3 +310,20 @@ def test_open_cache_limit_and_off():
         held.get(f"p{i}", lambda i=i: made.append(i) or i)
     assert len(held.held) == cache.OPEN_LIMIT and held.get("p11", lambda: 99) == 11
     assert cache.OpenCache(0).get("x", lambda: 5) == 5
+
+
+def test_a_raster_of_many_tiles_opens_in_one_fetch(tmp_path):
+    """Its 12,000 places of tiles do not fit the first window; they are read with the tiles."""
+    bands = np.arange(3200 * 960, dtype=np.uint32).reshape(1, 3200, 960)
+    for big in (False, True):
+        data = write_cog(bands, tile=16, overviews=(2, 4), big=big, compression="none")
+        (tmp_path / "many.tif").write_bytes(data)
+        source = CountingSource(open_source(str(tmp_path / "many.tif")))
+        raster = engine.Raster(source)
+        assert source.fetches == 1 and source.bytes == 32_768 and [(t.width, t.height) for t in raster.meta.levels] == [(960, 3200), (480, 1600), (240, 800)]
+        values, known = raster.band_array(1)
+        assert known.all() and np.array_equal(values, bands.ravel())
+        assert source.bytes < len(data) + 3 * 32_768
+    (tmp_path / "cut.tif").write_bytes(data[:60_000])
+    with pytest.raises(ValueError, match="file ends inside a directory"):
+        engine.Raster(open_source(str(tmp_path / "cut.tif"))).band_array(1)
