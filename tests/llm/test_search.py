@@ -210,3 +210,19 @@ def test_threshold_tiles_walk_or_score_whole():
             scores[i] = -np.inf
             want = blocks.best_of(ids, scores, 10)
             assert best.ids[i].tolist() == want.tolist() and best.scores[i].tolist() == scores[want].tolist()
+
+
+def test_neighbours_keep_floors_over_blocks():
+    """Later blocks give fewer candidates, and the best over all blocks are those of brute force."""
+    rng = np.random.default_rng(6)
+    data, ids = rng.normal(size=(1500, 24)).astype(np.float32), np.arange(1500)
+    data[700:720] = data[3]
+    queries, best, given = neighbours.Side(ids[:50], ids[:50], data[:50]), blocks.Best(ids[:50], ids[:50], 5), []
+    for a in range(0, 1500, 300):
+        found_pairs = neighbours.near(5)(ids[:50], queries, neighbours.Side(ids[a : a + 300], ids[a : a + 300], data[a : a + 300]), best.floors)
+        given.append(len(found_pairs[0]))
+        best.add(*found_pairs)
+    assert given[-1] < given[0]
+    for i in range(50):
+        want = sorted((-cosine(data[i], data[j]), j) for j in range(1500) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(best.scores[i], best.ids[i], strict=True)] == want
