@@ -228,8 +228,7 @@ def train(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Forest:
     """`train` on documents of which only the sampled ones are measured."""
-    rows = _sample(labels, key, label, sample_rows).collect()  # bounded by the parameter
-    known = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
+    known = docs.sparkSession.createDataFrame(_sample(labels, key, label, sample_rows).toArrow())  # bounded by the parameter; no Python workers
     wanted = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     taught = wanted.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
     return train(measure(taught), known, label="label", sample_rows=sample_rows, **options)

@@ -3,7 +3,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyspark.sql.functions as F
 import pytest
+from pyspark.sql.functions import arrow_udf
 
 from rasterspark.llm import mixing, sharding
 from rasterspark.llm.queries import TARGETS
@@ -266,3 +269,34 @@ def test_a_class_of_few_documents_does_not_thin_out_all_others(spark):
     assert mixing.chances(raked, observed)[0, 1] == 1 and mixing.chances(raked, observed)[1, 0] == 1
     assert mixing.chances(raked, observed, 0.0)[1, 0] == pytest.approx(1.25 / 2)
     assert not mixing.chances(np.zeros((2, 2)), np.zeros((2, 2))).any()
+
+
+def test_classes_of_a_computed_column_are_computed_once(spark, tmp_path):
+    """A second computation in a task would run in a Python worker of its own."""
+    seen = tmp_path / "seen"
+
+    @arrow_udf("string")
+    def kind(column: pa.Array) -> pa.Array:
+        with seen.open("a") as f:
+            f.write(f"{len(column)}\n")
+        return pa.array([None if x % 7 == 0 else f"k{x % 70}" for x in column.to_pylist()])
+
+    rows = spark.range(0, 700, 1, 2).select(kind("id").alias("kind"), F.lit(1).alias("w"))
+    found = mixing.resolved(rows, {"kind": mixing.Tempered(None, 1.0)}, F.col("w"))["kind"].values
+    assert sum(map(int, seen.read_text().split())) == 700
+    assert set(found) == {f"k{x}" for x in range(70) if x % 7}
+
+
+def test_the_null_class_takes_no_place(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLASSES", 2)
+    rows = spark.createDataFrame([(None, 9), ("a", 1), ("b", 5), ("c", 3)], "kind string, w int")
+    assert mixing.resolved(rows, {"kind": mixing.Tempered(None, 1.0)}, F.col("w"))["kind"].values == ("b", "c")
+
+
+def test_cells_need_no_python_workers(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', 1), ('b', 2), ('*', 0) AS t(c, w)")
+    cells = mixing.calibrate(rows, ["c"], {"x": {"a": 0.5, "b": 0.5}})
+    assert "ExistingRDD" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in cells.orderBy("c").collect()] == [("a", 1.0, 1.5, 1.0), ("b", 2.0, 1.5, 0.5)]
+    none = mixing.calibrate(rows.limit(0), ["c"], {"x": {"a": 0.5, "b": 0.5}})
+    assert none.count() == 0 and none.columns == cells.columns
