@@ -1,5 +1,6 @@
 """Ordered joins, plans without shuffles of hot paths, shared reads of remote files, and the driver's entry."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -261,6 +262,13 @@ def test_the_entry_works_without_the_corpus_operators(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True).returncode  # a broken part is an error
 
 
+def test_the_pipeline_of_another_copy_does_not_count(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; assert e.corpus_pipeline is None and e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(ROOT)}, check=True)
+
+
 def test_zones_over_many_files(spark, paths):
     register(spark)
     rows = [(k, paths["hills"], zone("pair")) for k in range(3)]
