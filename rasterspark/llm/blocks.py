@@ -42,6 +42,20 @@ def numbered(scratch: Scratch, rows: DataFrame, repeats: bool) -> DataFrame:
     return scratch.table(rows.select("row", own.alias("own"), "vec_id", "vector", F.size("vector").alias("dims")), "vectors")
 
 
+def first_copies(scratch: Scratch, rows: DataFrame, most: int) -> DataFrame:
+    """`numbered` rows with only the first `most` of equal vectors, by id; all rows if that would leave more than half of them.
+
+    Equal vectors have equal scores, and ties go to the smaller id: a query that may meet all but one of them finds its
+    `most` - 1 best among these. Copies are left out before the shuffle too, so no task gets all copies of a vector.
+    """
+    n, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("vector"))).first()
+    if 2 * most * kinds > n:
+        return rows
+    place = F.row_number().over(Window.partitionBy("digest", "vector").orderBy("vec_id", "row"))
+    first = rows.withColumn("digest", F.xxhash64("vector")).withColumn("copy", place).where(F.col("copy") <= most)
+    return scratch.table(first.select(rows.columns), "first_copies")
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     """The same numbers as float32 where that holds all of them, else as float64."""
     small = values.astype(np.float32) if np.abs(values).max(initial=0) < 1e38 else values
@@ -125,7 +139,8 @@ def search(scratch: Scratch, queries: DataFrame, candidates: DataFrame, left: Ca
         for _, _, best in held:
             yield from best.rows(typed)
 
-    dealt = sides[0].union(sides[1]).repartition(q_groups * c_groups, "dims", "q", "c").sortWithinPartitions("dims", "q", "c", "side", "block")
+    # by number and not by hash, which leaves some tasks empty and gives others several groups
+    dealt = sides[0].union(sides[1]).repartitionById(q_groups * c_groups, F.col("q") * c_groups + F.col("c")).sortWithinPartitions("dims", "q", "c", "side", "block")
     tiles = dealt.mapInArrow(run, FOUND.format(kind=kind))
     # row_number below k is also applied before the exchange, so a query sends k rows of each task at most
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))

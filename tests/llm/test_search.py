@@ -5,6 +5,7 @@ import pytest
 
 from rasterspark.llm import blocks, neighbours, threshold
 from rasterspark.llm.queries import queries
+from rasterspark.session import shared_dir
 
 SCHEMA = "vec_id long, embedding array<float>, label int, block int, n int, score string"
 
@@ -226,3 +227,28 @@ def test_neighbours_keep_floors_over_blocks():
     for i in range(50):
         want = sorted((-cosine(data[i], data[j]), j) for j in range(1500) if j != i)[:5]
         assert [(-s, j) for s, j in zip(best.scores[i], best.ids[i], strict=True)] == want
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_copies_beyond_the_first_are_no_candidates(spark, repeats):
+    """Of rows that are mostly copies, few are scored and all that no step reads any more goes; the results are those of all rows."""
+    import glob
+
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(12, 5)).astype(np.float32)
+    known = {i: data[0 if i % 3 else i % 12] for i in range(600)}
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/rasterspark/neighbours-*"))
+    got = found(neighbours.nearest(frame(spark, known), every=20, k=3, block_rows=8, repeats=repeats))
+    assert got == brute(known, 20, 3, cosine)
+    at, = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/rasterspark/neighbours-*")) - before
+    assert {p.rsplit("/", 1)[1] for p in glob.glob(f"{at}/*")} == {"queries", "candidates"}
+    held = spark.read.parquet(f"{at}/candidates").selectExpr("sum(length(ids) / 8)", "max(length(vectors) / length(ids))").first()
+    assert tuple(held) == (4 * 4, 5 * 4 / 8)  # four vectors; components as float32
+
+
+def test_groups_of_blocks_are_dealt_evenly(spark):
+    """Each task has one group; by a hash some had none and others several."""
+    for found_rows in (threshold.top_k(frame(spark, vectors()), block_rows=16, repeats=True), neighbours.nearest(frame(spark, vectors()), block_rows=16, repeats=True)):
+        plan = found_rows._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+        assert len(dealt) == 1 and "hashpartitioning" not in dealt[0], plan
